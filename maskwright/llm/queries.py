@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op7_byte_bpe
+from .fingerprint import op1_fingerprint
+from .lang_id import op4_language_id
 from .near_dup import op9_near_duplicates
+from .token_store import op2_token_store
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -27,6 +31,10 @@ FROM n JOIN c ON c.x = n.doc_id LEFT JOIN d ON d.x = n.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
+    "op2_token_store": op2_token_store,
+    "op4_language_id": op4_language_id,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_near_duplicates": op9_near_duplicates,
 }
 ORACLES: dict[str, str] = {"op9_near_duplicates": OP9_SQL}
