@@ -10,7 +10,9 @@ from .byte_bpe import op7_byte_bpe
 from .fingerprint import op1_fingerprint
 from .lang_id import op4_language_id
 from .near_dup import op9_near_duplicates
+from .secret_scan import op8_secret_scan
 from .token_store import op2_token_store
+from .topk import op3_top_k
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -30,11 +32,22 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(d.k, 0)::BIGINT AS n_simila
 FROM n JOIN c ON c.x = n.doc_id LEFT JOIN d ON d.x = n.doc_id
 """
 
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_token_store": op2_token_store,
+    "op3_top_k": op3_top_k,
     "op4_language_id": op4_language_id,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_secret_scan": op8_secret_scan,
     "op9_near_duplicates": op9_near_duplicates,
 }
-ORACLES: dict[str, str] = {"op9_near_duplicates": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL, "op9_near_duplicates": OP9_SQL}
