@@ -32,7 +32,7 @@ def unpack_counts(payload: bytes) -> np.ndarray:
 
 def sum_slices(rows: DataFrame, bits: int, partitions: int) -> np.ndarray:
     """Add the payloads of ``rows`` (slice int, payload binary) into one table of 2 ** bits
-    counters. What reaches the driver is that table and nothing else."""
+    saturating counters. What reaches the driver is that table and nothing else."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -48,9 +48,9 @@ def sum_slices(rows: DataFrame, bits: int, partitions: int) -> np.ndarray:
                 {"slice": pa.array(list(sums), pa.int32()), "payload": pa.array([next(pack_counts(v, 1))[1] for v in sums.values()], pa.binary())}
             )
 
-    table = np.zeros(1 << bits, np.uint64)
+    table = np.zeros(1 << bits, np.uint32)
     edges = np.cumsum([0, *(len(p) for p in np.array_split(table, SLICES))])
     summed = rows.select("slice", "payload").repartition(min(partitions, SLICES), "slice").mapInArrow(reduce, "slice int, payload binary")
     for k, payload in summed.collect():
-        table[edges[k] : edges[k + 1]] = unpack_counts(bytes(payload))
+        table[edges[k] : edges[k + 1]] = np.minimum(unpack_counts(bytes(payload)).astype(np.uint64), 0xFFFFFFFF)
     return table

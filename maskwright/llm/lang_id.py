@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from .shared import tune
+from .shared import hash_limit, tune
 
 #: Letters of reference text per language: the bound of the training sample.
 REFERENCE = 16384
@@ -198,8 +198,7 @@ def reference_texts(docs: DataFrame, reference: int = REFERENCE) -> dict[str, st
         return {}
     most = {}
     for row in counts:
-        share = min(1.0, 4 * reference / max(1, row["chars"]) + 32 / row["rows"])
-        most[row["lang"]] = int((share * 2 - 1) * ((1 << 63) - 1))
+        most[row["lang"]] = hash_limit(4 * reference / max(1, row["chars"]) + 32 / row["rows"])
     top = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
     drawn = labelled.where(F.col("turn") <= top[F.col("lang")]).select("lang", "turn", F.substring("text", 1, reference).alias("text"))
     order = W.partitionBy("lang").orderBy("turn", "text")

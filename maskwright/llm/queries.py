@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op7_byte_bpe
 from .fingerprint import op1_fingerprint
 from .lang_id import op4_language_id
+from .line_dedup import op6_line_dedup
 from .near_dup import op9_near_duplicates
+from .pii_crf import op5_personal_data
 from .secret_scan import op8_secret_scan
 from .token_store import op2_token_store
 from .topk import op3_top_k
@@ -46,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_top_k": op3_top_k,
     "op4_language_id": op4_language_id,
+    "op5_personal_data": op5_personal_data,
+    "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_near_duplicates": op9_near_duplicates,

@@ -4,8 +4,8 @@ Both the line and the document deduplicators run on this engine. It goes through
 five distributed steps:
 
 1. profile   every unit (document or line) becomes a set of 64-bit token hashes; a fixed table
-             of 2 ** bits counters gathers which tokens are hot.
-2. count     tokens go to hash buckets, packed 32 bits each; a bucket counts exactly how many different sets
+             of 2 ** bits counters gathers how frequent they are.
+2. count     (if spec.counted) tokens go to hash buckets, packed 32 bits each; a bucket counts exactly how many different sets
              hold each token and returns those held by more than one. Hot tokens are left out: they
              rank last.
 3. publish   per set the rarest tokens that the threshold makes necessary go out, with their places.
@@ -51,12 +51,17 @@ CHAIN_FROM = 4096
 
 @dataclass(frozen=True)
 class Similarity:
-    """Link when den * |A & B| >= num * |A | B|; units of fewer than least tokens link with nothing."""
+    """Link when den * |A & B| >= num * |A | B|; units of fewer than least tokens link with nothing.
+
+    bits: of the table of token counts. counted: True counts every token exactly before publishing, for
+    tokens that mostly occur once; False ranks tokens by the table, for vocabularies not much larger than it.
+    """
 
     num: int
     den: int
     least: int = 1
     bits: int = 22
+    counted: bool = True
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         """Tokens that must be published: any partner shares one of the first n - ceil(t n) + 1."""
@@ -113,11 +118,11 @@ def profile(docs: DataFrame, units: Units, spec: Similarity) -> DataFrame:
     bits = spec.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.int64)
+        table = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for ids, subs, hashes, bounds in units(batch):
                 hashes, bounds = distinct_sets(hashes, bounds)
-                np.add.at(table, (hashes >> _U(64 - bits)).astype(np.int64), 1)
+                np.add.at(table, (hashes[np.repeat(np.diff(bounds) >= spec.least, np.diff(bounds))] >> _U(64 - bits)).astype(np.int64), 1)
                 k = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(subs, pa.int32()), pa.array(np.diff(bounds), pa.int32()), pa.array(signatures(hashes, bounds).view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
@@ -327,9 +332,16 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (signature of the root, of the member) that unite all candidates of a bucket."""
-    sig, n, token, place = (np.concatenate(x) for x in zip(*(_split(b, ["u8", "u4", "u8", "u4"]) for b in blobs)))
-    sig, owner = np.unique(sig, return_inverse=True)
-    key, n, place = (token & _U(0xFFFFFFFF)) << _U(32), n.astype(np.int64), place.astype(np.int64)
+    kinds = ["u8", "u4", "u8", "u4"] if spec.counted else ["u8", "u4", "u4", "u2", "u8"]
+    sig, n, token, place, *rest = (np.concatenate(x) for x in zip(*(_split(b, kinds) for b in blobs)))
+    sig, first, owner = np.unique(sig, return_index=True, return_inverse=True)
+    sketch = rest[0].reshape(-1, 2)[first] if rest else None
+    key, n, place = (token.astype(np.uint64) & _U(0xFFFFFFFF)) << _U(32), n.astype(np.int64), place.astype(np.int64)
+    # A set that came from several map tasks counts once.
+    order = np.lexsort((owner, key))
+    key, owner, n, place = key[order], owner[order], n[order], place[order]
+    once = np.concatenate([np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+    key, owner, n, place = key[once], owner[once], n[once], place[once]
     label = np.arange(len(sig))
     ranked = key | n.astype(np.uint64)
     order = np.argsort(ranked)
@@ -354,12 +366,82 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray
         apart = label[owner[a]] != label[owner[b]]
         a, b = a[apart], b[apart]
         good = spec.enough(np.minimum(left[a], left[b]), n[a] + n[b])
+        if sketch is not None:
+            a, b = a[good], b[good]
+            differ = np.bitwise_count(sketch[owner[a]] ^ sketch[owner[b]]).sum(1).astype(np.int64)
+            both = n[a] + n[b]
+            # The overlap is half of what remains of both sizes once the difference is taken off.
+            good = (both - differ) * (spec.den + spec.num) >= 2 * spec.num * both
         unite(label, owner[a[good]], owner[b[good]])
         start = stop
     member = np.flatnonzero(label != np.arange(len(sig)))
     return sig[label[member]], sig[member]
 
 
+SKETCH_BITS = 128
+
+
+def parity_sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two words a row: bit x is the parity of the tokens hashed to x. The bits in which two rows
+    differ are at most the tokens in which the sets differ."""
+    rows = len(bounds) - 1
+    cell = np.repeat(np.arange(rows) * SKETCH_BITS, np.diff(bounds)) + (hashes >> _U(13) & _U(SKETCH_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64).reshape(rows, 2)
+
+
+def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int) -> DataFrame:
+    """(bucket, blob) as _keys gives it, with sketches, ranking tokens by the count table. A token alone in its cell is
+    alone in the corpus and isn't published."""
+    bits = spec.bits
+
+    def pack(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        sig, n, token, place, sketch = (np.concatenate(x) for x in zip(*parts))
+        bucket = _bucket(token, buckets)
+        order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
+        bucket, sig, n, token, place, sketch = bucket[order], sig[order], n[order].astype(np.uint32), token[order].astype(np.uint32), place[order], sketch[order]
+        cuts = _runs(bucket)
+        yield _rows([int(bucket[a]) for a in cuts[:-1]], [_join(sig[a:b], n[a:b], token[a:b], place[a:b], sketch[a:b].reshape(-1)) for a, b in zip(cuts, cuts[1:])], "bucket")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = rank.value
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        load = 0
+        for batch in batches:
+            for _, _, hashes, bounds in units(batch):
+                hashes, bounds = distinct_sets(hashes, bounds)
+                sig, n = signatures(hashes, bounds), np.diff(bounds)
+                fresh = np.zeros(len(sig), bool)
+                for i in np.flatnonzero(n >= spec.least).tolist():
+                    s = int(sig[i])
+                    if s not in seen:
+                        seen.add(s)
+                        fresh[i] = True
+                if not fresh.any():
+                    continue
+                hashes, sig, n = hashes[np.repeat(fresh, n)], sig[fresh], n[fresh]
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                owner = np.repeat(np.arange(len(n)), n)
+                code = codes[(hashes >> _U(64 - bits)).astype(np.int64)]
+                order = np.lexsort((hashes, owner.astype(np.uint64) << _U(8) | code.astype(np.uint64)))
+                place = np.arange(len(owner)) - bounds[:-1][owner]
+                out = order[(place < spec.prefix(n)[owner]) & (code[order] > 0)]
+                at = owner[out]
+                rankings = np.empty(len(owner), np.int64)
+                rankings[order] = place
+                sketch = parity_sketches(hashes, bounds)
+                held.append((sig[at], n[at], hashes[out], np.minimum(rankings[out], 65535).astype(np.uint16), sketch[at]))
+                load += len(out)
+                if load >= FLUSH // 4:
+                    yield from pack(held)
+                    held, load = [], 0
+        if held:
+            yield from pack(held)
+
+    return docs.mapInArrow(run, "bucket int, blob binary")
+
+
 def _candidates(keys: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
     """Edges (u, v) between signatures that unite all candidate pairs."""
 
@@ -514,10 +596,15 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
     buckets = reducers(spark)
     sc = spark.sparkContext
     profiled = profile(docs, units, spec)
-    hot = sc.broadcast(hot_cells(hashtable.sum_slices(profiled.where("slice is not null"), spec.bits, buckets)))
+    table = hashtable.sum_slices(profiled.where("slice is not null"), spec.bits, buckets)
     known = profiled.where("slice is null").select("id", "sub", "n", "sig")
-    tokens = _tokens(docs, units, spec, hot, buckets)
-    edges = _candidates(_keys(_count_tokens(tokens, buckets), spec, buckets), spec, buckets)
+    if spec.counted:
+        tokens = _tokens(docs, units, spec, sc.broadcast(hot_cells(table)), buckets)
+        keys = _keys(_count_tokens(tokens, buckets), spec, buckets)
+    else:
+        keys = _publish(docs, units, spec, sc.broadcast(rarity(table)), buckets)
+    del table
+    edges = _candidates(keys, spec, buckets)
     comps = connected_components(edges)
     classes = (
         known.groupBy("sig")

@@ -67,6 +67,11 @@ def reducers(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hash_limit(share: float) -> int:
+    """The long below which a signed 64-bit hash falls with the given probability."""
+    return min((1 << 63) - 1, int(min(1.0, share) * (1 << 64)) - (1 << 63))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Complete runs of equal ``key`` from batches sorted by it; a run may span batches."""
     held: list[pa.Table] = []
