@@ -39,7 +39,7 @@ _U = np.uint64
 Units = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 FILTER_BITS = 24
-BLOCK_SETS = 256
+BLOCK_SETS = 1024
 BLOCK_TOKENS = 1 << 20
 FLUSH = 1_000_000
 #: A token is hot if its cell of the count table exceeds both.
@@ -307,7 +307,8 @@ def _keys(counted: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:]):
                 rows.append(int(bucket[a]))
                 at = owner[a:b]
-                blobs.append(_join(names[at], sizes[at].astype(np.uint32), token[a:b], place[a:b].astype(np.uint32)))
+                kept = token[a:b] if rows[-1] < 0 else token[a:b].astype(np.uint32)
+                blobs.append(_join(names[at], sizes[at].astype(np.uint32), kept, np.minimum(place[a:b], 65535).astype(np.uint16)))
             if rows:
                 yield _rows(rows, blobs, "bucket")
 
@@ -332,11 +333,11 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (signature of the root, of the member) that unite all candidates of a bucket."""
-    kinds = ["u8", "u4", "u8", "u4"] if spec.counted else ["u8", "u4", "u4", "u2", "u8"]
+    kinds = ["u8", "u4", "u4", "u2"] if spec.counted else ["u8", "u4", "u4", "u2", "u8"]
     sig, n, token, place, *rest = (np.concatenate(x) for x in zip(*(_split(b, kinds) for b in blobs)))
     sig, first, owner = np.unique(sig, return_index=True, return_inverse=True)
     sketch = rest[0].reshape(-1, 2)[first] if rest else None
-    key, n, place = (token.astype(np.uint64) & _U(0xFFFFFFFF)) << _U(32), n.astype(np.int64), place.astype(np.int64)
+    key, n, place = token.astype(np.uint64) << _U(32), n.astype(np.int64), place.astype(np.int64)
     # A set that came from several map tasks counts once.
     order = np.lexsort((owner, key))
     key, owner, n, place = key[order], owner[order], n[order], place[order]
@@ -379,6 +380,8 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray
 
 
 SKETCH_BITS = 128
+#: Rows of candidates, of about 60 bytes, that may be broadcast.
+SMALL_LIST = 200_000
 
 
 def parity_sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -451,7 +454,7 @@ def _candidates(keys: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
             if group.column("bucket")[0].as_py() < 0:
                 # Hot tokens: each is a vertex of its own, so that no list is gathered.
                 for blob in blobs:
-                    sig, _, token, _ = _split(blob, ["u8", "u4", "u8", "u4"])
+                    sig, _, token, _ = _split(blob, ["u8", "u4", "u8", "u2"])
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(mix64(token ^ _U(0xB5297A4D)).view(np.int64))], ["u", "v"])
                 continue
             root, member = forest(blobs, spec)
@@ -625,5 +628,8 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
     on_ids = sc.broadcast(_filter_table(members.select(F.col("first_id").alias("id")), buckets))
     on_sigs = sc.broadcast(_filter_table(members.select(F.col("sig").alias("id")), buckets))
     sets = _sets(docs, units, spec, on_ids, on_sigs)
-    links = persist(_links(placed.join(sets, "sig"), spec, buckets), "links")
+    # The sets needn't travel to meet their tasks if the list of tasks is small enough to go to them.
+    if members.count() <= SMALL_LIST:
+        placed = F.broadcast(placed)
+    links = persist(_links(sets.join(placed, "sig"), spec, buckets), "links")
     return known, classes, links
