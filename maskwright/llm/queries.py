@@ -11,6 +11,7 @@ from .fingerprint import op1_fingerprint
 from .lang_id import op4_language_id
 from .line_dedup import op6_line_dedup
 from .near_dup import op9_near_duplicates
+from .packing import op10_best_fit_packing
 from .pii_crf import op5_personal_data
 from .secret_scan import op8_secret_scan
 from .token_store import op2_token_store
@@ -53,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL, "op9_near_duplicates": OP9_SQL}
