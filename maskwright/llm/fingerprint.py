@@ -41,10 +41,11 @@ def sketches(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         pairs, bounds = bigram_hashes(hashes, bounds)
         row = np.repeat(np.searchsorted(at, lines[:-1], side="right") - 1, np.diff(bounds))
         # A short line has few words, so its bytes in threes count instead.
-        small = np.diff(lines) <= SHORT
+        size = np.diff(lines) - (part[np.maximum(lines[1:] - 1, 0)] == 10 if len(part) else 0)
+        small = size <= SHORT
         many = np.repeat(small, np.diff(bounds))
-        letter = np.repeat(small, np.diff(lines))
-        letter[np.concatenate([lines[1:] - 1, np.maximum(lines[1:] - 2, 0)])[np.concatenate([np.diff(lines) > 0] * 2)]] = False
+        place = np.arange(len(part)) - np.repeat(lines[:-1], np.diff(lines))
+        letter = place < np.repeat(np.where(small, size - 2, 0), np.diff(lines))
         i = np.flatnonzero(letter)
         threes = mix64(part[i].astype(np.uint64) << np.uint64(16) | part[i + 1].astype(np.uint64) << np.uint64(8) | part[i + 2])
         pairs = np.concatenate([pairs[~many], threes])
