@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .setjoin import Similarity, similar_classes
 from .textvec import slices, utf8_parts, word_hashes
 
+_ID, _SUBS = "__line_dedup_id", "__line_dedup_subs"
 #: Lines of fewer than 8 different words are never removed.
 LINES = Similarity(num=80, den=100, least=8, bits=24, counted=False)
 
@@ -57,12 +58,12 @@ def dedup_lines(docs: DataFrame, spec: Similarity = LINES) -> DataFrame:
     """
     docs = docs.drop("n_removed")
     gone = matched_lines(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), spec)
-    marked = docs.join(gone.select(F.col("id").alias("_id"), F.col("subs").alias("_subs")), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_subs", i)), "\n")
-    out = marked.withColumn("text", F.when(F.col("_subs").isNull(), F.col("text")).otherwise(kept))
+    marked = docs.join(gone.select(F.col("id").alias(_ID), F.col("subs").alias(_SUBS)), F.col("doc_id").eqNullSafe(F.col(_ID)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(_SUBS, i)), "\n")
+    out = marked.withColumn("text", F.when(F.col(_SUBS).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_subs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("n_removed", F.coalesce(F.size("_subs"), F.lit(0)).cast("long")).select(*docs.columns, "n_removed")
+        out = out.withColumn("n_chars", F.when(F.col(_SUBS).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn("n_removed", F.coalesce(F.size(_SUBS), F.lit(0)).cast("long")).select(*docs.columns, "n_removed")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
