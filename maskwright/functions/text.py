@@ -89,7 +89,8 @@ def pattern_count(text: Column, label: str) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """Spans of array<struct<label, byte_start, byte_end, ...>> replaced by placeholders, left to right.
 
-    Spans shouldn't overlap; a slice that isn't valid UTF-8 becomes empty."""
+    Spans shouldn't overlap; a slice that isn't valid UTF-8 becomes empty. A null text
+    stays null."""
     ordered = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["byte_start"].alias("byte_start"), i.alias("i"), s["byte_end"].alias("byte_end"), s["label"].alias("label"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     piece = lambda a, b: F.when(b > a, F.coalesce(byte_slice(text, a, b), F.lit(""))).otherwise("")
@@ -98,4 +99,4 @@ def redact(text: Column, spans: Column) -> Column:
         zero,
         lambda acc, s: F.struct(s["byte_end"].cast("int").alias("at"), F.concat(acc["out"], piece(acc["at"], s["byte_start"].cast("int")), placeholder(s["label"])).alias("out")),
     )
-    return F.concat(folded["out"], piece(folded["at"], F.octet_length(text)))
+    return F.when(text.isNotNull(), F.concat(folded["out"], piece(folded["at"], F.octet_length(text))))

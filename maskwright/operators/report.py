@@ -52,17 +52,25 @@ def percentile_at(values: Column, p: float) -> Column:
     """The value at index min(n - 1, floor(p / 100 * n)) of the sorted values; 0 without values."""
     ordered = F.sort_array(values)
     n = F.size(ordered)
-    return F.coalesce(F.try_element_at(ordered, F.least(n - 1, F.floor(F.lit(p / 100) * n)).cast("int") + 1), F.lit(0.0))
+    return F.when(n > 0, F.get(ordered, F.least(n - 1, F.floor(F.lit(p / 100) * n)).cast("int"))).otherwise(F.lit(0.0))
 
 
 def percentiles(df: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
-    """The same percentiles per group without gathering a group: ranks by a range-partitioned window would still meet
-    in one task, so values are counted first and a running sum over distinct values finds each index."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
-    by = W.partitionBy(group)
-    ranked = counts.withColumn("_to", F.sum("_n").over(by.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(by))
+    """percentile_at() of every group without gathering one: rows are range-partitioned by (group, value), ranks
+    come from the counts of the ranges before and a running number inside a range. Nulls don't count."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    parts = rows.repartitionByRange("_g", "_v").withColumn("_p", F.spark_partition_id())
+    local = parts.withColumn("_k", F.row_number().over(W.partitionBy("_p", "_g").orderBy("_v")))
+    counts = parts.groupBy("_p", "_g").count()
+    # One row per range and group.
+    by = W.partitionBy("_g")
+    base = counts.select(
+        "_p", F.col("_g"), F.coalesce(F.sum("count").over(by.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("count").over(by).alias("_all")
+    )
+    ranked = local.join(base, (local["_p"] == base["_p"]) & local["_g"].eqNullSafe(base["_g"])).select(local["_g"], "_v", (F.col("_base") + F.col("_k") - 1).alias("_rank"), "_all")
     at = {k: F.least(F.col("_all") - 1, F.floor(F.lit(p / 100) * F.col("_all"))) for k, p in points.items()}
-    return ranked.groupBy(group).agg(*[F.min(F.when(F.col("_to") > at[k], F.col(value))).alias(k) for k in points])
+    wanted = ranked.where(F.exists(F.array(*at.values()), lambda x: x == F.col("_rank")))
+    return wanted.groupBy(F.col("_g").alias(group)).agg(*[F.min(F.when(F.col("_rank") == at[k], F.col("_v"))).alias(k) for k in points])
 
 
 def stage_shares(df: DataFrame, stage: str, ns: str) -> DataFrame:
