@@ -52,9 +52,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes.where(f"n >= {spec.least}")
         .join(roots.withColumnRenamed("vertex", "sig"), "sig", "left")
         .join(totals, "sig", "left")
-        .select("sig", "weight", "first_id", F.coalesce("root", "sig").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select("sig", "weight", "least_id", F.coalesce("root", "sig").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    least = full.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = full.groupBy("root").agg(F.min("least_id").alias("component_id"))
     facts = full.join(least, "root").select("sig", (F.col("weight") - 1 + F.col("links")).alias("n_similar"), "component_id")
     linked = facts.where("n_similar > 0 or component_id is null")
     return known.join(linked, "sig", "left").select(

@@ -5,8 +5,8 @@ five distributed steps:
 
 1. profile   every unit (document or line) becomes a set of 64-bit token hashes; a fixed table
              of 2 ** bits counters gathers how frequent they are.
-2. count     (if spec.counted) tokens go to hash buckets, packed 32 bits each; a bucket counts exactly how many different sets
-             hold each token and returns those held by more than one. Hot tokens are left out: they
+2. count     (if spec.counted) tokens go to hash buckets, packed 48 bits each; a bucket counts how often
+             each occurs and returns those that occur more than once. Hot tokens are left out: they
              rank last.
 3. publish   per set the rarest tokens that the threshold makes necessary go out, with their places.
 4. unite     per bucket, sets that share a token and pass the length and positional filters are
@@ -22,11 +22,14 @@ that meet pairwise.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashtable
@@ -174,40 +177,39 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _tokens(docs: DataFrame, units: Units, spec: Similarity, hot, buckets: int) -> DataFrame:
-    """(bucket, blob): every set's tokens by hash bucket, as runs (sig, count, 32-bit keys), and for each set
-    once its (sig, n, hot tokens). Equal sets of a map task are sent once."""
+    """(bucket, blob): every set's tokens by hash bucket. A load is at most 65536 sets of one map task; a token
+    is 32 bits of its hash and 16 of its set's place in the load, however many buckets there are. The
+    load's list of sets (sig, n, hot tokens) travels with one of its buckets. Equal sets of a map task are sent once."""
     bits = spec.bits
 
-    def pack(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        sig, n, hashes = (np.concatenate(x) for x in zip(*parts))
-        owner = np.repeat(np.arange(len(sig)), n)
-        warm = hot.value[(hashes >> _U(64 - bits)).astype(np.int64)]
-        hot_hash, hot_count = hashes[warm], np.bincount(owner[warm], minlength=len(sig))
-        hashes, owner = hashes[~warm], owner[~warm]
-        bucket = _bucket(hashes, buckets)
-        order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-        bucket, owner, keys = bucket[order], owner[order], hashes[order].astype(np.uint32)
-        home = (sig % _U(buckets)).astype(np.int64)
-        by_home = np.argsort(home, kind="stable")
-        homes = np.searchsorted(home[by_home], np.arange(buckets + 1))
-        hot_at = np.concatenate([[0], np.cumsum(hot_count)])
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        names, blobs = [], []
-        for k in range(buckets):
-            a, b = cuts[k], cuts[k + 1]
-            mine = by_home[homes[k] : homes[k + 1]]
-            if a == b and not len(mine):
-                continue
-            runs = _runs(owner[a:b])
-            hots = np.concatenate([hot_hash[hot_at[i] : hot_at[i + 1]] for i in mine.tolist()]) if len(mine) else hot_hash[:0]
-            names.append(k)
-            blobs.append(_join(sig[owner[a:b][runs[:-1]]], np.diff(runs).astype(np.uint32), keys[a:b], sig[mine], n[mine].astype(np.uint32), hot_count[mine].astype(np.uint32), hots))
-        yield _rows(names, blobs, "bucket")
+    def pack(parts: list[tuple[np.ndarray, ...]], task: int, loads: Iterator[int]) -> Iterator[pa.RecordBatch]:
+        sigs, sizes, tokens = (np.concatenate(x) for x in zip(*parts))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        for first in range(0, len(sigs), 65536):
+            sig, n = sigs[first : first + 65536], sizes[first : first + 65536]
+            hashes = tokens[ends[first] : ends[first + len(sig)]]
+            owner = np.repeat(np.arange(len(sig)), n)
+            load = (task << 32) | next(loads)
+            warm = hot.value[(hashes >> _U(64 - bits)).astype(np.int64)]
+            listing = _join(sig, n.astype(np.uint32), np.bincount(owner[warm], minlength=len(sig)).astype(np.uint32), hashes[warm])
+            hashes, owner = hashes[~warm], owner[~warm]
+            bucket = _bucket(hashes, buckets)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
+            bucket, owner, keys = bucket[order], owner[order].astype(np.uint16), hashes[order].astype(np.uint32)
+            cuts = _runs(bucket)
+            rows = [(int(bucket[a]), keys[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])] or [(load % buckets, b"", b"")]
+            names, keys_, owners = zip(*rows)
+            lists = [listing] + [None] * (len(rows) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int32()), pa.array([load] * len(rows), pa.int64()), pa.array(keys_, pa.binary()), pa.array(owners, pa.binary()), pa.array(lists, pa.binary())],
+                ["bucket", "load", "keys", "owners", "listing"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
-        load = 0
+        size = 0
+        task, loads = TaskContext.get().partitionId(), itertools.count()
         for batch in batches:
             for _, _, hashes, bounds in units(batch):
                 hashes, bounds = distinct_sets(hashes, bounds)
@@ -220,53 +222,48 @@ def _tokens(docs: DataFrame, units: Units, spec: Similarity, hot, buckets: int)
                         fresh[i] = True
                 if fresh.any():
                     held.append((sig[fresh], n[fresh], hashes[np.repeat(fresh, n)]))
-                    load += len(held[-1][2])
-                if load >= FLUSH:
-                    yield from pack(held)
-                    held, load = [], 0
+                    size += len(held[-1][2])
+                if size >= FLUSH:
+                    yield from pack(held, task, loads)
+                    held, size = [], 0
         if held:
-            yield from pack(held)
+            yield from pack(held, task, loads)
 
-    return docs.mapInArrow(run, "bucket int, blob binary")
+    return docs.mapInArrow(run, "bucket int, load long, keys binary, owners binary, listing binary")
 
 
 def _count_tokens(tokens: DataFrame, buckets: int) -> DataFrame:
-    """(part, blob): the tokens that occur in more than one set, with the code of how many, sent back to
-    the part that keeps the set; and the lists of sets, passed on."""
+    """(load, bucket, keys, owners, codes, listing): the tokens that occur more than once in the corpus go back to their
+    load, with the code of how often; lists of sets are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "bucket"):
             here = group.column("bucket")[0].as_py()
-            sig, runs, keys, own, n, hot_n, hots = (
-                np.concatenate(x) for x in zip(*(_split(b, ["u8", "u4", "u4", "u8", "u4", "u4", "u8"]) for b in group.column("blob").to_pylist()))
-            )
-            names, ident = np.unique(sig, return_inverse=True)
-            pair = keys.astype(np.uint64) << _U(32) | np.repeat(ident, runs).astype(np.uint64)
-            pair.sort()
-            pair = pair[np.concatenate([np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1]])]
-            key = pair >> _U(32)
-            cuts = _runs(key)
+            loads, listings = group.column("load").to_pylist(), group.column("listing").to_pylist()
+            parts = [np.frombuffer(b, np.uint32) for b in group.column("keys").to_pylist()]
+            owners = [np.frombuffer(b, np.uint16) for b in group.column("owners").to_pylist()]
+            keys = np.concatenate(parts)
+            order = np.argsort(keys)
+            cuts = _runs(keys[order])
             count = np.diff(cuts)
-            common = np.repeat(count > 1, count)
-            code = np.repeat(rarity(count), count)[common]
-            owner, key = (pair[common] & _U(0xFFFFFFFF)).astype(np.int64), key[common].astype(np.uint32)
-            part = (names[owner] % _U(buckets)).astype(np.int64)
-            order = np.lexsort((owner, part))
-            part, owner, key, code = part[order], owner[order], key[order], code[order]
-            home = (own % _U(buckets)).astype(np.int64)
-            hot_at = np.concatenate([[0], np.cumsum(hot_n, dtype=np.int64)])
-            rows, blobs = [], []
-            for k in np.union1d(part, home).tolist():
-                a, b = np.searchsorted(part, [k, k + 1])
-                mine = np.flatnonzero(home == k) if k == here else np.zeros(0, np.int64)
-                at = _runs(owner[a:b])
-                hot = np.concatenate([hots[hot_at[i] : hot_at[i + 1]] for i in mine.tolist()]) if len(mine) else hots[:0]
-                rows.append(k)
-                blobs.append(_join(np.array([here], np.uint32), names[owner[a:b][at[:-1]]], np.diff(at).astype(np.uint32), key[a:b], code[a:b], own[mine], n[mine], hot_n[mine], hot))
-            if rows:
-                yield _rows(rows, blobs, "part")
+            codes = np.zeros(len(keys), np.uint8)
+            codes[order] = np.repeat(np.where(count > 1, rarity(count), 0), count)
+            at, out = 0, []
+            for load, part, owner, listing in zip(loads, parts, owners, listings):
+                code = codes[at : at + len(part)]
+                at += len(part)
+                common = code > 0
+                if listing is not None or common.any():
+                    out.append((load, part[common].tobytes(), owner[common].tobytes(), code[common].tobytes(), listing))
+            if out:
+                load, keys_, owners_, codes_, lists = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(load, pa.int64()), pa.array([here] * len(out), pa.int32()), *(pa.array(x, pa.binary()) for x in (keys_, owners_, codes_, lists))],
+                    ["load", "bucket", "keys", "owners", "codes", "listing"],
+                )
 
-    return tokens.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "part int, blob binary")
+    schema = "load long, bucket int, keys binary, owners binary, codes binary, listing binary"
+    return tokens.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def rarity(count: np.ndarray) -> np.ndarray:
@@ -279,19 +276,13 @@ def _keys(counted: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
     that no other set has come first and need no row. bucket -1: edges by hot tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "part"):
-            parts = [_split(b, ["u4", "u8", "u4", "u4", "u1", "u8", "u4", "u4", "u8"]) for b in group.column("blob").to_pylist()]
-            bucket = np.concatenate([np.repeat(p[0], len(p[3])) for p in parts]).astype(np.int64)
-            _, sig, runs, keys, code, own, n, hot_n, hots = (np.concatenate(x) for x in zip(*parts))
-            names, first = np.unique(own, return_index=True)
-            sizes = n[first].astype(np.int64)
-            # A set may come from several map tasks; one copy of its hot tokens counts.
-            kept = np.zeros(len(own), bool)
-            kept[first] = True
-            hots = hots[np.repeat(kept, hot_n)]
-            hot_owner = np.repeat(np.searchsorted(names, own[kept]), hot_n[kept])
-            owner = np.concatenate([np.searchsorted(names, np.repeat(sig, runs)), hot_owner])
-            bucket = np.concatenate([bucket, np.full(len(hots), -1)])
+        for group in whole_groups(batches, "load"):
+            names, n, hot_n, hots = _split(next(x for x in group.column("listing").to_pylist() if x is not None), ["u8", "u4", "u4", "u8"])
+            sizes = n.astype(np.int64)
+            keys, owner, code = (np.concatenate([np.frombuffer(b, kind) for b in group.column(c).to_pylist()]) for c, kind in (("keys", "u4"), ("owners", "u2"), ("codes", "u1")))
+            counts = [len(b) for b in group.column("codes").to_pylist()]
+            bucket = np.concatenate([np.repeat(group.column("bucket").to_numpy(), counts).astype(np.int64), np.full(len(hots), -1)])
+            owner = np.concatenate([owner.astype(np.int64), np.repeat(np.arange(len(names)), hot_n)])
             code = np.concatenate([code, np.full(len(hots), 255, np.uint8)])
             token = np.concatenate([keys.astype(np.uint64) | bucket[: len(keys)].astype(np.uint64) << _U(32), hots])
             order = np.lexsort((token, owner * 256 + code))
@@ -312,7 +303,7 @@ def _keys(counted: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
             if rows:
                 yield _rows(rows, blobs, "bucket")
 
-    return counted.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(run, "bucket int, blob binary")
+    return counted.repartition(buckets, "load").sortWithinPartitions("load").mapInArrow(run, "bucket int, blob binary")
 
 
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -484,6 +475,17 @@ def _filter_table(wanted: DataFrame, buckets: int) -> np.ndarray:
     return hashtable.sum_slices(wanted.select("id").mapInArrow(run, "slice int, payload binary"), FILTER_BITS, buckets) > 0
 
 
+def narrow(hashes: np.ndarray) -> bytes:
+    """48 bits of each hash, for sets under way to verification."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def widen(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _sets(docs: DataFrame, units: Units, spec: Similarity, wanted_ids, wanted_sigs) -> DataFrame:
     """(sig, hashes) of the units whose id and signature may be wanted."""
 
@@ -503,7 +505,7 @@ def _sets(docs: DataFrame, units: Units, spec: Similarity, wanted_ids, wanted_si
                 rows = rows[np.sort(first)]
                 if len(rows):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig[rows]), pa.array([hashes[bounds[i] : bounds[i + 1]].tobytes() for i in rows.tolist()], pa.binary())], ["sig", "hashes"]
+                        [pa.array(sig[rows]), pa.array([narrow(hashes[bounds[i] : bounds[i + 1]]) for i in rows.tolist()], pa.binary())], ["sig", "hashes"]
                     )
 
     return docs.mapInArrow(run, "sig long, hashes binary")
@@ -530,14 +532,16 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
             block = np.zeros((k, width), np.float32)
             block[owner[a:b], column[a:b] - c] = 1
             out += block @ block.T
-    return np.round(out).astype(np.int64)
+    return np.round(out, out=out)
 
 
 def verify(sets: list[np.ndarray], side: np.ndarray, diagonal: bool, spec: Similarity) -> np.ndarray:
     """Boolean matrix of links. Sets of one side meet only in the task of their own block."""
     sizes = np.array([len(s) for s in sets])
     overlap = intersections(sets)
-    linked = spec.enough(overlap, sizes[:, None] + sizes[None, :])
+    linked = np.empty(overlap.shape, bool)
+    for a in range(0, len(sets), 256):
+        linked[a : a + 256] = spec.enough(overlap[a : a + 256].astype(np.int64), sizes[a : a + 256, None] + sizes[None, :])
     np.fill_diagonal(linked, False)
     if not diagonal:
         linked &= side[:, None] != side[None, :]
@@ -569,7 +573,7 @@ def _links(placed: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
                 at = order[a:b]
                 if len(at) < 2:
                     continue
-                linked = verify([np.frombuffer(blobs[x], np.uint64) for x in at.tolist()], side[at], bool(i[at[0]] == j[at[0]]), spec)
+                linked = verify([widen(blobs[x]) for x in at.tolist()], side[at], bool(i[at[0]] == j[at[0]]), spec)
                 if not linked.any():
                     continue
                 label = np.arange(len(at))
@@ -589,7 +593,7 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
     """Classes of equal sets and their links.
 
     ``docs`` has a long column ``id`` and whatever ``units`` reads. Returns
-    (units: id, sub, n, sig), (classes: sig, weight, first_id, first_sub), and
+    (units: id, sub, n, sig), (classes: sig, weight, first_id, first_sub, n, least_id, null being first but not least), and
     (links: sig, links, earlier, root): for every class with a link the number of units in other classes linked
     with it, whether one of those comes before it (by first_id, first_sub), and edges (sig, root) that
     connect linked classes. A class may have several rows of links, one per task it took part in.
@@ -611,17 +615,27 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
     comps = connected_components(edges)
     classes = (
         known.groupBy("sig")
-        .agg(F.count("*").alias("weight"), F.min(F.struct("id", "sub")).alias("f"), F.first("n").alias("n"))
-        .select("sig", "weight", F.col("f.id").alias("first_id"), F.col("f.sub").alias("first_sub"), "n")
+        .agg(F.count("*").alias("weight"), F.min(F.struct("id", "sub")).alias("f"), F.first("n").alias("n"), F.min("id").alias("least_id"))
+        .select("sig", "weight", F.col("f.id").alias("first_id"), F.col("f.sub").alias("first_sub"), "n", "least_id")
     )
     members = persist(comps.join(classes, F.col("vertex") == F.col("sig")).select("root", "sig", "weight", "first_id", "first_sub", "n"), "members")
-    shape = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    # A component that is too large for one task is cut by size band, and a band by hash. Partners' sizes differ by less than
+    # a band, so a block meets the blocks of its own band and the two next to it.
+    whole = members.groupBy("root").agg((F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS) <= 1).alias("small"))
+    width = math.log(1.001 * spec.den / spec.num)
+    banded = members.join(whole, "root").withColumn("band", F.when(F.col("small"), 0).otherwise(F.floor(F.log("n") / width)).cast("int"))
+    shape = banded.groupBy("root", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    near = shape.select("root", F.col("band").alias("other"), F.col("blocks").alias("many"))
+    block = lambda band, part: (F.col(band).cast("long") * (1 << 32)) + part
     placed = (
-        members.join(shape, "root")
-        .withColumn("sub", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("sub", "other"))
-        .withColumn("j", F.greatest("sub", "other"))
+        banded.join(shape, ["root", "band"])
+        .withColumn("sub", block("band", F.pmod(F.xxhash64("sig"), F.col("blocks"))))
+        .withColumn("other", F.explode(F.when(F.col("small"), F.array("band")).otherwise(F.sequence(F.col("band") - 1, F.col("band") + 1))))
+        .join(near, ["root", "other"])
+        .withColumn("number", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+        .withColumn("partner", block("other", F.col("number")))
+        .withColumn("i", F.least("sub", "partner"))
+        .withColumn("j", F.greatest("sub", "partner"))
         .withColumn("task", F.xxhash64("root", "i", "j"))
         .select("task", F.col("root").alias("comp"), "i", "j", "sub", "sig", "weight", "first_id", "first_sub")
     )
