@@ -42,7 +42,7 @@ _U = np.uint64
 Units = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 FILTER_BITS = 24
-BLOCK_SETS = 1024
+BLOCK_SETS = 1536
 BLOCK_TOKENS = 1 << 20
 FLUSH = 1_000_000
 #: A token is hot if its cell of the count table exceeds both.

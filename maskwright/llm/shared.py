@@ -15,10 +15,12 @@ BATCH_ROWS = 2000
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches, so that very long texts don't pile up in a worker."""
+    """Bound Arrow batches, so that very long texts don't pile up in a worker, and let the shuffle files of
+    a step go when the step is over: what later steps need is in the shared folder."""
     for key, value in (
         ("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)),
         ("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)),
+        ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"),
     ):
         try:
             spark.conf.set(key, value)
@@ -54,15 +56,6 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame, *paths: str) -> None:
-    """Delete folders written by persist() once nothing reads them any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def reducers(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
