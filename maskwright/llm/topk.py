@@ -28,6 +28,8 @@ BLOCK = 8192
 QUERIES = 512
 #: Components up to this size keep every inner product exact in int64.
 EXACT = 1 << 28
+#: Below this share (one in so many) of a block's pairs, survivors are picked singly.
+SPARSE = 50
 _MOST = np.finfo(np.float64).max
 
 
@@ -72,18 +74,29 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     seen[np.take_along_axis(own, first, 1)] = -np.inf
     floor = np.sort(seen, axis=1)[:, -k] if seen.shape[1] >= k else np.full(len(q), -np.inf)
     alive = (bound >= floor[:, None]) & ~own
-    i, j = np.nonzero(alive)
     for a, b in stats[1:]:
-        fine = np.empty(len(i))
-        for s in range(0, len(i), 1 << 18):
-            at = slice(s, s + (1 << 18))
-            fine[at] = np.einsum("ij,ij->i", a[i[at]], b[j[at]])
-        keep = ~(fine + slack[i, j] < floor[i])
-        i, j = i[keep], j[keep]
-    score = np.empty(len(i), np.int64)
-    for s in range(0, len(i), 1 << 17):
-        at = slice(s, s + (1 << 17))
-        score[at] = exact_scores(q[i[at]], c[j[at]])
+        # While many pairs are left, a product of all is cheaper than picking pairs one by one.
+        if np.count_nonzero(alive) * SPARSE > alive.size:
+            with np.errstate(over="ignore", invalid="ignore"):
+                alive &= ~(a @ b.T + slack < floor[:, None])
+        else:
+            i, j = np.nonzero(alive)
+            with np.errstate(over="ignore", invalid="ignore"):
+                low = np.einsum("ij,ij->i", a[i], b[j]) + slack[i, j] < floor[i]
+            alive[i[low], j[low]] = False
+    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    if np.count_nonzero(alive) * SPARSE > alive.size and top < 2.0**53:
+        product = q @ c.T
+        i, j = np.nonzero(alive & (product >= floor[:, None]))
+        score = product[i, j].astype(np.int64)
+    else:
+        i, j = np.nonzero(alive)
+        score = np.empty(len(i), np.int64)
+        for s in range(0, len(i), 1 << 17):
+            at = slice(s, s + (1 << 17))
+            score[at] = exact_scores(q[i[at]], c[j[at]])
+        good = score.astype(np.float64) >= floor[i]
+        i, j, score = i[good], j[good], score[good]
     order = np.lexsort((c_ids[j], ~score, i))
     i, j, score = i[order], j[order], score[order]
     rank = np.arange(len(i)) - np.searchsorted(i, i)
