@@ -1,7 +1,8 @@
 """A training corpus in five stages: language, lines, near duplicates, personal data, packing.
 
 Every stage but the last returns documents, with the columns it was given; each works on all that the one
-before it kept.
+before it kept. Null and empty texts go in the first stage, as they have no language; a null source, lang or
+n_chars is no reason to drop a row; further columns pass through unchanged; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from maskwright.llm.shared import persist
 
 #: Ids of dropped documents that may be broadcast, 8 bytes each.
 SMALL_LIST = 1_000_000
+_GONE = "__corpus_pipeline_id"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +30,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id; of rows that repeat an id, one."""
+    """One document of each group of near duplicates, that of the least id; of rows that repeat both id and text, one.
+
+    A row without id stays only where its group has no id at all.
+    """
     found = persist(near_dup.near_duplicates(docs), "groups")
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    dropped = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias(_GONE)).distinct()
     small = dropped.count() <= SMALL_LIST
-    kept = docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti")
-    repeated = found.where("n_similar > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(F.broadcast(dropped) if small else dropped, F.col("doc_id").eqNullSafe(F.col(_GONE)), "left_anti")
+    repeated = found.where("n_similar > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(_GONE))
     if not repeated.isEmpty():
-        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+        same = F.col("doc_id").eqNullSafe(F.col(_GONE))
+        again = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, same, "left_anti").unionByName(again)
     return kept.select(*docs.columns)
 
 
