@@ -340,10 +340,11 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray
     ranked, owner, place, n = ranked[order], owner[order], place[order], n[order]
     low = np.searchsorted(ranked, (ranked & _U(0xFFFFFFFF00000000)) | spec.shortest(n).astype(np.uint64))
     reach = np.arange(len(ranked)) - low
-    # In a very long list neighbours by size are united unseen: verification settles the rest.
+    # In a very long list neighbours by size are united unseen: verification settles the rest. Windows of consecutive
+    # entries of one token overlap, so the first of each run is united whole, and the others follow by their left neighbour.
     chained = np.flatnonzero(reach > CHAIN_FROM)
     unite(label, owner[chained], owner[chained - 1])
-    for i in chained[::CHAIN_FROM].tolist():
+    for i in chained[np.diff(chained, prepend=-1) > 1].tolist():
         unite(label, owner[low[i] : i], owner[low[i] + 1 : i + 1])
     reach[chained] = 0
     left = n - place

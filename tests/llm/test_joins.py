@@ -216,3 +216,24 @@ def test_top_k_of_large_numbers():
     i, j, score = topk.block_top(np.array([0, 1]), q, np.array([5, 6, 7]), c, 3)
     exact = {(a, b): min(2**63 - 1, max(-(2**63), sum(int(x) * int(y) for x, y in zip(q[a], c[b])))) for a in range(2) for b in range(3)}
     assert {(a, b): s for a, b, s in zip(i.tolist(), j.tolist(), score.tolist())} == exact
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_lists_lose_no_candidates(monkeypatch, seed):
+    # Several lists of a bucket are longer than CHAIN_FROM; every pair that passes the filters must be in one component.
+    monkeypatch.setattr(setjoin, "CHAIN_FROM", 5)
+    rng = np.random.default_rng(seed)
+    spec = setjoin.Similarity(num=60, den=100)
+    lists = [np.full(k, 10) for k in (7, 7, 7, 8)] if seed < 2 else [rng.integers(5, 40, size=rng.integers(6, 60)) for _ in range(6)]
+    sizes = np.concatenate(lists).astype(np.uint32)
+    token = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.uint32)
+    place = np.where(rng.random(len(sizes)) < 0.3, 0, sizes - 1).astype(np.uint16)
+    left = sizes.astype(int) - place
+    sig = np.arange(1, len(sizes) + 1, dtype=np.uint64)
+    root = {int(x): int(x) for x in sig}
+    for r, m in zip(*setjoin.forest([setjoin._join(sig, sizes, token, place)], spec)):
+        root[int(m)] = int(r)
+    for a, b in itertools.combinations(range(len(sizes)), 2):
+        least, most = sorted((int(sizes[a]), int(sizes[b])))
+        if token[a] == token[b] and 100 * least >= 60 * most and spec.enough(min(left[a], left[b]), least + most):
+            assert root[int(sig[a])] == root[int(sig[b])]
