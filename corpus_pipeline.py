@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that match an earlier one; a document left blank by that goes."""
-    kept = line_dedup.dedup_lines(docs)
+    kept = line_dedup.dedup_lines(docs, line_dedup.EVERY_LINE)
     return kept.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t\v\f", "     ")) != "")).select(*docs.columns)
 
 

@@ -1,6 +1,7 @@
 """Operator 6: near-duplicate lines, by an exact set-similarity join.
 
-Every line is the set of its distinct words. The rarest words are published as far as the threshold demands
+Every line is the set of its distinct words; a word in a script that puts no spaces between words counts as its
+pairs of neighbouring characters. The rarest words are published as far as the threshold demands
 (prefix filter), partners differ in length by no more than it allows (length filter), and the place of
 a shared word bounds the overlap (positional filter). Survivors are verified by their exact Jaccard
 similarity, and a line that has a match before it, by document id and line number, goes.
@@ -15,11 +16,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .setjoin import Similarity, similar_classes
-from .textvec import slices, utf8_parts, word_hashes
+from .textvec import SPACE, bigram_hashes, mix64, slices, utf8_parts, word_hashes
 
 _ID, _SUBS = "__line_dedup_id", "__line_dedup_subs"
-#: Lines of fewer than 8 different words are never removed.
+#: LINES leaves lines of fewer than 8 different tokens alone; EVERY_LINE, of operator 6 and the pipeline, only those of none.
 LINES = Similarity(num=80, den=100, least=8, bits=24, counted=False)
+EVERY_LINE = Similarity(num=80, den=100, bits=24, counted=False)
+
+
+def script_grams(raw: np.ndarray, start: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds) with words that hold a Chinese, Japanese, Thai, Lao, Tibetan, Burmese or Khmer character
+    replaced by their pairs of neighbouring characters."""
+    lead = np.flatnonzero(raw >= 0xE0)
+    if not len(lead):
+        return hashes, bounds
+    a, b = raw[lead], raw[np.minimum(lead + 1, len(raw) - 1)]
+    unspaced = ((a == 0xE0) & (b >= 0xB8)) | ((a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F))) | ((a >= 0xE3) & (a <= 0xE9))
+    unspaced |= ((a == 0xEF) & (((b >= 0xA4) & (b <= 0xAB)) | (b == 0xBD) | (b == 0xBE))) | ((a == 0xF0) & (b >= 0xA0) & (b <= 0xB3))
+    if not unspaced.any():
+        return hashes, bounds
+    cut = np.zeros(len(hashes), bool)
+    cut[np.searchsorted(start, lead[unspaced], side="right") - 1] = True
+    at = np.flatnonzero((raw & 0xC0 != 0x80) & ~SPACE[raw])
+    word = np.searchsorted(start, at, side="right") - 1
+    at, word = at[cut[word]], word[cut[word]]
+    size = 1 + (raw[at] >= 0xC0).astype(np.int64) + (raw[at] >= 0xE0) + (raw[at] >= 0xF0)
+    code = np.zeros(len(at), np.uint64)
+    for k in range(4):
+        code = code << np.uint64(8) | np.where(k < size, raw[np.minimum(at + k, len(raw) - 1)], 0).astype(np.uint64)
+    capital = (raw[at] >= 65) & (raw[at] <= 90)
+    code[capital] += np.uint64(32 << 24)
+    grams, ends = bigram_hashes(mix64(code), np.concatenate([np.flatnonzero(np.diff(word, prepend=-1)), [len(word)]]))
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    rows = np.concatenate([row[~cut], np.repeat(row[np.flatnonzero(cut)], np.diff(ends))])
+    order = np.argsort(rows, kind="stable")
+    return np.concatenate([hashes[~cut], grams])[order], np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(bounds) - 1))])
 
 
 def line_units(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -34,7 +65,8 @@ def line_units(batch: pa.RecordBatch) -> Iterator[tuple]:
         doc = np.concatenate([np.arange(b - a), np.searchsorted(at, breaks - 1, side="right") - 1])
         order = np.lexsort((np.concatenate([at[:-1], breaks]), doc))
         starts, doc = np.concatenate([at[:-1], breaks])[order], doc[order]
-        hashes, _, bounds = word_hashes(part, np.append(starts, len(part)))
+        hashes, begin, bounds = word_hashes(part, np.append(starts, len(part)))
+        hashes, bounds = script_grams(part, begin, hashes, bounds)
         number = np.arange(len(doc)) - np.searchsorted(doc, doc)
         yield ids.slice(a, b - a).take(pa.array(doc)), number.astype(np.int32), hashes, bounds
 
@@ -52,7 +84,7 @@ def dedup_lines(docs: DataFrame, spec: Similarity = LINES) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``text`` rid of lines that match an earlier one, and n_removed long added.
 
     Earlier means a smaller doc_id (null first), or a smaller line number in the same document. A line of fewer
-    than spec.least different words stays. n_chars, if there, becomes the new length. A null text stays null; rows
+    than spec.least different words stays, as does a line of none. n_chars, if there, becomes the new length. A null text stays null; rows
     are neither lost nor added, and a text may become empty. Rows that repeat a doc_id share the
     removed line numbers of both, so ids should be unique. A column n_removed of the input is replaced.
     """
@@ -67,4 +99,4 @@ def dedup_lines(docs: DataFrame, spec: Similarity = LINES) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), EVERY_LINE)

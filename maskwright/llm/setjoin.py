@@ -67,8 +67,10 @@ class Similarity:
     counted: bool = True
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
-        """Tokens that must be published: any partner shares one of the first n - ceil(t n) + 1."""
-        return np.where(n >= self.least, n - -(-self.num * n // self.den) + 1, 0)
+        """Tokens that must be published: any partner shares one of the first n - ceil(t n) + 1. A set so small that
+        only an equal one is similar publishes none."""
+        alone = (self.shortest(n) == n) & (n * self.den // self.num == n)
+        return np.where((n >= self.least) & ~alone, n - self.shortest(n) + 1, 0)
 
     def shortest(self, n: np.ndarray) -> np.ndarray:
         """Size of the smallest partner."""

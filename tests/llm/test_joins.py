@@ -129,6 +129,24 @@ def test_line_dedup_equals_brute_force(spark):
     assert sorted((r.doc_id, r.text, r.n_removed) for r in got.collect()) == brute_lines(rows)
 
 
+def test_every_line_takes_part(spark, tmp_path):
+    rng = random.Random(5)
+    lines = [t for _, t in corpus(6, 200)] + ["", " ", "short one", "a b a b a b", "Solo"]
+    rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == brute_lines(rows, 1)
+
+
+def test_lines_without_spaces(spark):
+    han = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(60))
+    thai = "".join(chr(0x0E01 + 11 * k % 46) for k in range(23))
+    rows = [(0, han), (1, han[:30] + "A" + han[31:]), (2, han[::-1]), (3, thai + "\nx " + han[:20]), (4, thai), (5, han[:20] + " X")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.dedup_lines(df, line_dedup.EVERY_LINE).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(cases.empty(spark)).count() == 0
     messy = line_dedup.dedup_lines(cases.docs(spark, repeat=False)).collect()
