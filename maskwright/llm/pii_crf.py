@@ -4,8 +4,9 @@ Rules find e-mail addresses, IP addresses, card and phone numbers. The field lab
 that could belong to one (those with a digit or an at sign; all others are O). Neighbouring tokens share
 a chain potential. Equal or similar tokens anywhere in the document share a skip potential,
 so what is certain in one place (a rule's match is observed) decides the same thing written barely in
-another. Loopy sum-product message passing gives beliefs; tokens of belief above CERTAIN
-add spans. Occurrences of one token are linked in a chain, so edges stay linear in tokens.
+another, however far: an occurrence is linked to the first that a rule matched, or else to the one before it. So is
+a number written as several tokens, known by the digits of neighbouring tokens together. Loopy sum-product message
+passing until it converges gives beliefs; tokens of belief above CERTAIN add spans. Edges stay linear in tokens.
 
 The field is trained piecewise on the rules' own labels over a bounded sample of rows: node
 weights by multinomial logistic regression, edge potentials by smoothed co-occurrence.
@@ -35,13 +36,18 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
 _CANDIDATE = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
+_NUMBER = re.compile(r"[+]?[0-9][0-9().-]*")
 _EDGE = "()[]{}<>\"'.,;:!?*&%$#|"
 
 #: Token rows in the training sample, rows of the table drawn for it, and the belief that adds a span.
 SAMPLE = 20000
 DRAWN = 40000
 CERTAIN = 0.9
-ROUNDS = 10
+#: Messages that change by less have converged; a field whose loops never settle ends after ROUNDS.
+SETTLED = 1e-5
+ROUNDS = 1000
+#: Digits of a number written as several tokens: those of a local number at least, of a card at most.
+JOINED = (7, 19)
 
 
 def luhn(digits: str) -> bool:
@@ -86,13 +92,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Graph:
-    """Candidate tokens of one or more documents with chain and skip edges between them."""
+    """Candidate tokens of one or more documents with chain and skip edges between them. links: what messages pass along
+    in place of skip, which training counts; if None, skip."""
 
     spans: list[tuple[int, int]]
     features: list[tuple[str, ...]]
     observed: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    links: np.ndarray | None = None
 
 
 def _shape(token: str) -> str:
@@ -106,9 +114,10 @@ def _shape(token: str) -> str:
 
 def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
     """The field of one text. observed: label that a rule's span gives to a token, or -1."""
-    spans, features = [], []
+    spans, features, numbers = [], [], []
     last = None
     keys: dict[str, int] = {}
+    alike: dict[str, list[int]] = {}
     chain, skip = [], []
     for m in _TOKEN.finditer(text):
         if not _CANDIDATE.search(m[0]):
@@ -123,6 +132,7 @@ def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
         digits = _DIGITS.sub("", core)
         k = len(spans)
         spans.append((a, b))
+        numbers.append(digits if _NUMBER.fullmatch(core) else "")
         d = len(digits)
         features.append((
             "s:" + _shape(core), f"d:{min(d, 20)}", f"l:{min(len(core), 30) // 3}", f"@:{'@' in core}", f".:{min(core.count('.'), 4)}",
@@ -136,6 +146,7 @@ def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
                 if key in keys:
                     skip.append((keys[key], k))
                 keys[key] = k
+                alike.setdefault(key, []).append(k)
     observed = np.full(len(spans), -1)
     starts = np.array([s for s, _ in spans])
     for kind, a, b in base:
@@ -146,8 +157,44 @@ def graph(text: str, base: list[tuple[str, int, int]]) -> Graph:
                 break
             if e > a:
                 observed[k] = LABELS.index(kind)
+    far = _far(alike, numbers, observed, {b: a for a, b in chain})
+    # What is linked to a rule's match takes no word from others that aren't matched themselves.
+    held = {k for edge in far for k in edge if observed[k] < 0}
+    links = far | {(a, b) for a, b in skip if not (a in held and b in held)}
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Graph(spans, features, observed, pairs(chain), pairs(sorted(set(skip))))
+    return Graph(spans, features, observed, pairs(chain), pairs(sorted(set(skip))), pairs(sorted(links)))
+
+
+def _far(alike: dict[str, list[int]], numbers: list[str], observed: np.ndarray, before: dict[int, int]) -> set[tuple[int, int]]:
+    """Edges (lesser, greater) from every token that no rule matched to the first alike that one did, for tokens of one key
+    and for numbers of several tokens, which are paired by the place of their digits."""
+    found: set[tuple[int, int]] = set()
+    for places in alike.values():
+        anchor = next((k for k in places if observed[k] >= 0), None)
+        if anchor is not None:
+            found.update((min(anchor, k), max(anchor, k)) for k in places if observed[k] < 0)
+    known: dict[str, list[int]] = {}
+    bare: list[tuple[str, list[int]]] = []
+    for k in range(len(numbers)):
+        digits, tokens, at = "", [], k
+        while at is not None and numbers[at]:
+            digits, tokens = numbers[at] + digits, [at, *tokens]
+            if len(digits) > JOINED[1]:
+                break
+            if len(digits) >= JOINED[0]:
+                if all(observed[t] >= 0 for t in tokens):
+                    known.setdefault(digits, tokens)
+                elif all(observed[t] < 0 for t in tokens):
+                    bare.append((digits, tokens))
+            at = before.get(at)
+    for digits, tokens in bare:
+        if digits in known:
+            owner = [t for t in known[digits] for _ in numbers[t]]
+            place = 0
+            for t in tokens:
+                found.update((min(t, o), max(t, o)) for o in owner[place : place + 1])
+                place += len(numbers[t])
+    return found
 
 
 def merge(graphs: list[Graph]) -> Graph:
@@ -156,7 +203,7 @@ def merge(graphs: list[Graph]) -> Graph:
     join = lambda f: np.concatenate([np.zeros((0, 2), np.int64), *(f(g) + s for g, s in zip(graphs, shift))])
     return Graph(
         [s for g in graphs for s in g.spans], [f for g in graphs for f in g.features],
-        np.concatenate([np.zeros(0, int), *(g.observed for g in graphs)]), join(lambda g: g.chain), join(lambda g: g.skip),
+        np.concatenate([np.zeros(0, int), *(g.observed for g in graphs)]), join(lambda g: g.chain), join(lambda g: g.skip), join(lambda g: g.skip if g.links is None else g.links),
     )
 
 
@@ -175,13 +222,15 @@ class Field:
         return self.node[at].sum(1)
 
     def beliefs(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Marginal label probabilities of every token after ``rounds`` of message passing."""
+        """Marginal label probabilities of every token once messages have converged, or after ``rounds`` of passing them."""
         theta = self.unary(g.features)
         seen = g.observed >= 0
-        theta[seen] = -30.0
+        # So low that no number of messages outweighs a rule.
+        theta[seen] = -1e9
         theta[seen, g.observed[seen]] = 0.0
-        edges = np.concatenate([g.chain, g.skip])
-        pair = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
+        links = g.skip if g.links is None else g.links
+        edges = np.concatenate([g.chain, links])
+        pair = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(links), 0)])
         source = np.concatenate([edges[:, 0], edges[:, 1]])
         target = np.concatenate([edges[:, 1], edges[:, 0]])
         pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
@@ -194,7 +243,10 @@ class Field:
             top = out.max(1)
             new = np.log(np.exp(out - top[:, None, :]).sum(1)) + top
             new -= new.max(1)[:, None]
+            settled = np.abs(new - message).max() < SETTLED
             message = 0.5 * message + 0.5 * new
+            if settled:
+                break
         total = theta.copy()
         np.add.at(total, target, message)
         total = np.exp(total - total.max(1, initial=-np.inf, keepdims=True)) if len(total) else total

@@ -197,6 +197,33 @@ def test_repeats_take_the_label_of_what_is_certain(spark):
     assert pii_crf.redact_text(text, every) == "Reach <PHONE> by day. At night <PHONE> works too; item 17 and 18."
 
 
+def test_far_repeats_take_the_label_of_what_is_certain(spark):
+    rng = random.Random(1)
+    number = lambda: f"({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"
+    texts = [f"call +1 {number()} now" if k % 2 else f"version {k}.0 of {k} items" for k in range(300)]
+    for k in range(60):
+        a = number()
+        texts.append(f"+1 {a} or +1 {a}, pages {k} and {k}")
+    field = pii_crf.learn_field(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    text = "Reach +1 (509) 555-6973 by day. " + "Then 555-6973 works; item 17. " * 60
+    assert pii_crf.redact_text(text, pii_crf.annotate([text], field)[0][1]).count("555-6973") == 0
+    # Digits in several tokens are the number that a rule matched as one or in other pieces.
+    for bare in ("509 555 6973", "509-555-6973", "5095556973"):
+        text = f"Reach +1 (509) 555-6973 by day. At night {bare} works; item 17."
+        base = pii_crf.base_spans(text)
+        g = pii_crf.graph(text, base)
+        ends = {text[slice(*g.spans[b])] for a, b in g.links if g.observed[a] >= 0 > g.observed[b]}
+        assert ends == set(bare.split(" "))
+
+
+def test_beliefs_converge_on_a_long_chain():
+    k, n = len(pii_crf.LABELS), 60
+    same = np.where(np.eye(k) > 0, 4.0, -4.0)
+    field = pii_crf.Field({"f": 0}, np.zeros((2, k)), same, same)
+    g = pii_crf.Graph([(i, i + 1) for i in range(n)], [("f",)] * n, np.array([4] + [-1] * (n - 1)), np.array([[i, i + 1] for i in range(n - 1)]), np.zeros((0, 2), np.int64))
+    assert np.allclose(field.beliefs(g), field.beliefs(g, 2000), atol=1e-4) and field.beliefs(g)[-1].argmax() == 4
+
+
 def test_personal_data_of_messy_rows(spark):
     for field in (pii_crf.learn_field(cases.empty(spark)), pii_crf.learn_field(cases.docs(spark))):
         got = pii_crf.find_personal_data(cases.docs(spark), field).collect()
