@@ -23,13 +23,12 @@ from .shared import hash_limit, tune
 
 #: Letters of reference text per language: the bound of the training sample.
 REFERENCE = 16384
-ALPHABET = 48
 BLOCK = 256
 UNKNOWN = "und"
 
 
-def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """Moves of the suffix automaton of a sequence: (state, symbol) -> state, -1 where there is none."""
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Moves of the suffix automaton of a sequence: symbol -> state, by state."""
     link, length, moves = [-1], [0], [{}]
     last = 0
     for c in symbols.tolist():
@@ -55,34 +54,37 @@ def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.full((len(moves), alphabet), -1, np.int64)
-    for state, out in enumerate(moves):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return moves
 
 
 def parse_table(symbols: np.ndarray, alphabet: int) -> np.ndarray:
     """The greedy parse as a flat table: entry = (row of the next state << 2) | phrases ended by the move.
 
     A failing letter ends the phrase and begins the next; a letter that the reference lacks is a phrase."""
-    moves = suffix_automaton(symbols, alphabet)
-    root = moves[0]
-    state = np.arange(len(moves))[:, None]
-    restart = np.where(root >= 0, root, 0)[None, :]
-    ended = (state > 0).astype(np.int64) + (root < 0)[None, :]
-    to = np.where(moves >= 0, moves, restart)
-    return ((to * alphabet) << 2 | np.where(moves >= 0, 0, ended)).astype(np.int32).reshape(-1)
+    moves = suffix_automaton(symbols)
+    restart = np.ones(alphabet, np.int64)
+    for c, to in moves[0].items():
+        restart[c] = (to * alphabet) << 2
+    # One table in memory: a language of many letters has a wide one.
+    table = np.empty((len(moves), alphabet), np.int32 if len(moves) * alphabet < 1 << 29 else np.int64)
+    table[0] = restart
+    table[1:] = restart + 1
+    for state, out in enumerate(moves):
+        for c, to in out.items():
+            table[state, c] = (to * alphabet) << 2
+    return table.reshape(-1)
 
 
 @dataclass
 class LanguageModel:
-    """languages in order, the symbol of every code point (0: no letter), a parse table and bits a phrase each."""
+    """languages in order, the symbol of every code point (0: no letter), a parse table and bits a phrase each, and in
+    ``own`` what number each symbol has in a language's table: a letter that its reference lacks has the last."""
 
     languages: list[str]
     symbol: np.ndarray
     tables: list[np.ndarray]
     bits: np.ndarray
+    own: list[np.ndarray]
 
     def normalise(self, text: str) -> np.ndarray:
         """Symbols of one text: letters, and one 0 for each run of anything else."""
@@ -116,12 +118,12 @@ class LanguageModel:
         width = int(length[0])
         alive = np.searchsorted(-length, -np.arange(1, width + 1), side="right")
         letters = [symbols[begin[: alive[t]] + t].astype(np.int32) for t in range(width)]
-        for j, table in enumerate(self.tables):
-            state = np.zeros(len(rows), np.int32)
+        for j, (table, own) in enumerate(zip(self.tables, self.own)):
+            state = np.zeros(len(rows), table.dtype)
             count = np.zeros(len(rows), np.int32)
             for t in range(width):
                 n = alive[t]
-                move = table[(state[:n] >> 2) + letters[t]]
+                move = table[(state[:n] >> 2) + own[letters[t]]]
                 count[:n] += move & 3
                 state[:n] = move
             count += (state >> 2) != 0
@@ -154,31 +156,30 @@ def _letters() -> np.ndarray:
     return out
 
 
-def learn(samples: dict[str, str], reference: int = REFERENCE, alphabet: int = ALPHABET) -> LanguageModel:
-    """A model from one reference text per language, cut at ``reference`` code points."""
+def learn(samples: dict[str, str], reference: int = REFERENCE) -> LanguageModel:
+    """A model from one reference text per language, cut at ``reference`` code points. Every letter of a reference
+    text has a symbol of its own; all others share the last."""
     fold = _letters()
-    texts = {k: fold[np.frombuffer(v[:reference].encode("utf-32-le", "surrogatepass"), "<u4")] for k, v in sorted(samples.items())}
-    seen, count = np.unique(np.concatenate([*texts.values(), np.zeros(0, np.uint32)]), return_counts=True)
-    order = np.lexsort((seen, -count))
-    chosen = [int(c) for c in seen[order] if c][: alphabet - 2]
-    symbol = np.zeros(0x110000, np.uint8)
-    symbol[fold > 0] = alphabet - 1
-    number = np.zeros(0x110000, np.uint8)
-    number[chosen] = np.arange(1, len(chosen) + 1)
-    symbol = np.where(number[fold] > 0, number[fold], symbol)
-    model = LanguageModel([], symbol, [], np.zeros(0))
+    texts = {k: np.frombuffer(v[:reference].encode("utf-32-le", "surrogatepass"), "<u4") for k, v in sorted(samples.items())}
+    seen = np.unique(np.concatenate([np.zeros(1, np.uint32), *(fold[points] for points in texts.values())]))
+    number = np.zeros(0x110000, np.uint16 if len(seen) < 65535 else np.uint32)
+    number[seen] = np.arange(len(seen))
+    symbol = number[fold]
+    symbol[(fold > 0) & (symbol == 0)] = len(seen)
+    model = LanguageModel([], symbol, [], np.zeros(0), [])
     bits = []
-    for name, text in samples.items():
-        points = np.frombuffer(text[:reference].encode("utf-32-le", "surrogatepass"), "<u4")
+    for name, points in texts.items():
         symbols, _, letters = model.symbols(points, np.array([0, len(points)]))
-        # A letter outside the alphabet matches nothing, so the reference is cut there.
         if letters.sum():
+            used = np.union1d(symbols, [0])
+            own = np.full(len(seen) + 1, len(used), np.int32)
+            own[used] = np.arange(len(used))
             model.languages.append(name)
-            known = np.where(symbols == alphabet - 1, 0, symbols)
-            model.tables.append(parse_table(known, alphabet))
-            bits.append(np.log2(len(known) + 1))
-    order = np.argsort(np.array(model.languages, dtype=object)) if model.languages else []
-    return LanguageModel([model.languages[i] for i in order], symbol, [model.tables[i] for i in order], np.array([bits[i] for i in order]))
+            model.tables.append(parse_table(own[symbols], len(used) + 1))
+            model.own.append(own)
+            bits.append(np.log2(len(symbols) + 1))
+    model.bits = np.array(bits)
+    return model
 
 
 def remainder(doc_id: str = "doc_id"):

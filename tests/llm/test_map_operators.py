@@ -120,6 +120,15 @@ def test_parse_counts_longest_matches(text, reference):
     assert model.phrases(symbols, bounds)[0, 0] == brute_phrases(text, reference)
 
 
+def test_languages_of_many_scripts():
+    rng = random.Random(2)
+    ranges = {"ar": (0x627, 36), "el": (0x3B1, 17), "en": (97, 26), "ja": (0x3041, 80), "ru": (0x430, 32), "th": (0xE01, 46), "zh": (0x4E00, 900)}
+    words = {k: ["".join(chr(a + rng.randrange(n)) for _ in range(5)) for _ in range(150)] for k, (a, n) in ranges.items()}
+    model = lang_id.learn({k: " ".join(rng.choices(w, k=2000 if k == "en" else 600)) for k, w in words.items()})
+    names, scores = model.predict([" ".join(rng.choices(w, k=8)) for w in words.values()])
+    assert names == list(words) and min(scores) > 0.9
+
+
 def test_language_of_messy_rows(spark):
     model = lang_id.learn({"en": "the quick brown fox jumps over the lazy dog " * 20, "xx": "zzz qqq kkk " * 50})
     got = lang_id.identify(cases.docs(spark), model).select("doc_id", "lang_pred", "score").collect()
