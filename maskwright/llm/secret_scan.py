@@ -27,9 +27,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
 #: Least length of a run that the method judges, and the characters per token below which it is random.
-LENGTH = 20
+LENGTH = 16
 EFFICIENCY = 2.0
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 _DIGEST = re.compile(r"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
 _UUID = re.compile(r"(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -44,7 +44,7 @@ def is_random(run: str, path: str, efficiency: float = EFFICIENCY) -> bool:
     lower = sum(c.islower() for c in core)
     upper = sum(c.isupper() for c in core)
     # A key mixes at least two classes all through; numbers and words joined by signs don't.
-    if digits == len(core) or min(digits + upper, digits + lower) < 3 or digits < 2:
+    if digits == len(core) or min(digits + upper, digits + lower) < 3:
         return False
     longest = max((len(w) for w in _WORDS.findall(core) if not w[0].isdigit()), default=0)
     if longest > len(core) // 2:

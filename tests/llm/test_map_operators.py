@@ -309,6 +309,16 @@ def test_random_runs_stand_out():
     assert base == [] and every == [(4, 44, "random")]
 
 
+@pytest.mark.parametrize("size", [16, 17, 20, 40])
+def test_random_runs_without_digits_and_short_ones_stand_out(size):
+    rng = random.Random(size)
+    for alphabet in (string.ascii_letters, string.ascii_letters + string.digits):
+        keys = ["".join(rng.choices(alphabet, k=size)) for _ in range(200)]
+        assert sum(secret_scan.scan(f"see {k} here", RANKS)[1] == [(4, 4 + size, "random")] for k in keys) >= 180
+    words = ["getUserAccountName", "HTMLParserFactory", "parseXMLDocument", "electroencephalogram", "user_settings_page2", "2020-01-01T10:00:00", "SomeClassNameInJava"]
+    assert not any(secret_scan.scan(w, RANKS)[1] for w in words)
+
+
 def test_secrets_of_messy_rows(spark):
     got = secret_scan.find_secrets(cases.docs(spark), RANKS).collect()
     texts = {r[0]: r[1] or "" for r in cases.rows()}
