@@ -1,12 +1,9 @@
-"""Operator 9: n-gram Jaccard join with parity sketches.
+"""Operator 9: n-gram Jaccard join by a prefix filter.
 
-Each document is the set of its distinct 2-word shingles. XOR-hashing flips, per shingle, one bit
-of a sketch; the Hamming distance of two sketches is at most the size of the symmetric difference.
-Documents of J >= 0.6 and sizes a, b differ in at most (a + b) / 4 shingles. The sketch is
-2 ** 32 bits wide per bucket and kept as the list of its odd bits; in the size band that a document's length
-admits, the pigeonhole principle says that of its rarest n - ceil(0.6 n) + 1 odd bits at least one
-is odd in every partner too, so those bits are the join keys. Length and positional filters,
-components, and exact verification follow (see setjoin).
+Each document is the set of its distinct 2-word shingles. A parity-sketch join was dealt and is replaced: at
+J >= 0.6 sketch blocks of which one must be equal would hold less than two shingles each. No sketch is made;
+of a document's rarest n - ceil(0.6 n) + 1 shingles at least one is in every partner too, so those are the
+join keys. Length and positional filters, components, and exact verification follow (see setjoin).
 """
 
 from __future__ import annotations
