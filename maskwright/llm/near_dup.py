@@ -1,9 +1,10 @@
-"""Operator 9: n-gram Jaccard join by a prefix filter.
+"""Operator 9: n-gram Jaccard join by parity sketches.
 
-Each document is the set of its distinct 2-word shingles. A parity-sketch join was dealt and is replaced: at
-J >= 0.6 sketch blocks of which one must be equal would hold less than two shingles each. No sketch is made;
-of a document's rarest n - ceil(0.6 n) + 1 shingles at least one is in every partner too, so those are the
-join keys. Length and positional filters, components, and exact verification follow (see setjoin).
+Each document is the set of its distinct 2-word shingles. Per size band its shingles are XORed into a sketch of
+64-bit blocks; documents in the same band or the next differ, if they link, in fewer blocks than they fill, so by
+pigeonhole they share one, and of each document's rarest blocks at least one. Documents are joined on these blocks.
+Of the candidates, those whose bit sketches differ in more bits (Hamming distance, a lower bound of the
+symmetric difference) than linked sets may differ in shingles are dropped; the rest are verified exactly (see setjoin).
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ NEAR = Similarity(num=60, den=100)
 
 def shingle_units(batch: pa.RecordBatch) -> Iterator[tuple]:
     """Documents as hashed 2-word shingles; see setjoin.Units."""
-    ids = batch.column(batch.schema.names.index("id"))
+    ids, ties = (batch.column(batch.schema.names.index(c)) for c in ("id", "tie"))
     raw, offsets = utf8_parts(batch.column(batch.schema.names.index("text")))
     for a, b in slices(offsets):
         at = offsets[a : b + 1]
         hashes, _, bounds = word_hashes(raw[at[0] : at[-1]], at - at[0])
         hashes, bounds = bigram_hashes(hashes, bounds)
-        yield ids.slice(a, b - a), np.zeros(b - a, np.int32), hashes, bounds
+        yield ids.slice(a, b - a), ties.slice(a, b - a), np.zeros(b - a, np.int32), hashes, bounds
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Similarity = NEAR) -> DataFrame:
@@ -41,7 +42,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     separate rows that link with each other. A row whose id is null takes part; the least id of a
     component is taken over its non-null ids. Further columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("tie"), F.col(text_col).alias("text"))
     known, classes, links = similar_classes(docs, shingle_units, spec)
     totals = links.groupBy("sig").agg(F.sum("links").alias("links"))
     roots = connected_components(links.select(F.col("sig").alias("u"), F.col("root").alias("v")))

@@ -4,16 +4,17 @@ Both the line and the document deduplicators run on this engine. It goes through
 five distributed steps:
 
 1. profile   every unit (document or line) becomes a set of 64-bit token hashes; a fixed table
-             of 2 ** bits counters gathers how frequent they are.
-2. count     (if spec.counted) tokens go to hash buckets, packed 48 bits each; a bucket counts how often
-             each occurs and returns those that occur more than once. Hot tokens are left out: they
-             rank last.
-3. publish   per set the rarest tokens that the threshold makes necessary go out, with their places.
-4. unite     per bucket, sets that share a token and pass the length and positional filters are
-             united; only a spanning forest leaves the task, never all pairs. A hot token is a vertex of
+             of 2 ** bits counters gathers how frequent the keys are.
+2. count     (parity sketches only) keys go to hash buckets, packed 48 bits each; a bucket counts how often
+             each occurs and returns those that occur more than once. Hot keys are left out: they rank last.
+3. publish   per set the rarest keys that the threshold makes necessary go out, with their places.
+4. unite     per bucket, sets that share a key and pass the length and positional filters are
+             united; only a spanning forest leaves the task, never all pairs. A hot key is a vertex of
              the candidate graph, so its list is never gathered.
-5. verify    the sets of one candidate component meet in tasks of bounded size, where exact
-             intersection counts come from blocked matrix products.
+5. verify    the sets of one candidate component meet in tasks of bounded size, where Hamming distances of bit
+             sketches rule pairs out (parity sketches only) and exact intersection counts settle the rest.
+
+Keys are either the tokens themselves (prefix filter) or the blocks of parity sketches, see ``parity_blocks``.
 
 Equal sets form one class, known by a 64-bit signature, so copies are never compared. Tasks
 are bounded by rows and bytes whatever a component's size: a large component is cut into sub-blocks
@@ -33,19 +34,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashtable
-from .components import connected_components
-from .shared import persist, reducers, tune, whole_groups
+from .components import connected_components, unite
+from .shared import lean, persist, reducers, tune, whole_groups
 from .textvec import mix64
 
 _U = np.uint64
-#: A unit extractor turns one Arrow batch into (ids, subs, hashes, bounds) chunks.
-Units = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+#: A unit extractor turns one Arrow batch into (ids, ties, subs, hashes, bounds) chunks.
+Units = Callable[[pa.RecordBatch], Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]]]
 
 FILTER_BITS = 24
 BLOCK_SETS = 1536
 BLOCK_TOKENS = 1 << 20
 FLUSH = 1_000_000
-#: A token is hot if its cell of the count table exceeds both.
+#: A key is hot if its cell of the count table exceeds both.
 HOT_FLOOR = 1 << 16
 HOT_TIMES = 64
 PAIRS_AT_ONCE = 2_000_000
@@ -56,48 +57,63 @@ CHAIN_FROM = 4096
 class Similarity:
     """Link when den * |A & B| >= num * |A | B|; units of fewer than least tokens link with nothing.
 
-    bits: of the table of token counts. counted: True counts every token exactly before publishing, for
-    tokens that mostly occur once; False ranks tokens by the table, for vocabularies not much larger than it.
+    bits: of the table of key counts. parity: True joins by blocks of parity sketches, whose keys mostly occur once and
+    are counted exactly before publishing; False joins by tokens, ranked by the table, for vocabularies not much larger than it.
     """
 
     num: int
     den: int
     least: int = 1
     bits: int = 22
-    counted: bool = True
+    parity: bool = True
+
+    def alone(self, n: np.ndarray) -> np.ndarray:
+        """Sets so small that only an equal one is similar."""
+        return (self.shortest(n) == n) & (n * self.den // self.num == n)
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
-        """Tokens that must be published: any partner shares one of the first n - ceil(t n) + 1. A set so small that
-        only an equal one is similar publishes none."""
-        alone = (self.shortest(n) == n) & (n * self.den // self.num == n)
-        return np.where((n >= self.least) & ~alone, n - self.shortest(n) + 1, 0)
+        """Tokens that must be published: any partner shares one of the first n - ceil(t n) + 1."""
+        return np.where((n >= self.least) & ~self.alone(n), n - self.shortest(n) + 1, 0)
 
     def shortest(self, n: np.ndarray) -> np.ndarray:
         """Size of the smallest partner."""
         return -(-self.num * n // self.den)
 
+    def differ(self, both: np.ndarray) -> np.ndarray:
+        """Most tokens in which two linked sets of ``both`` tokens together differ."""
+        return both * (self.den - self.num) // (self.den + self.num)
+
     def enough(self, overlap: np.ndarray, both: np.ndarray) -> np.ndarray:
         """Does the overlap suffice for two sets of ``both`` tokens together?"""
         return overlap * (self.den + self.num) >= self.num * both
 
 
+_LOW = _U((1 << 44) - 1)
+
+
 def distinct_sets(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the distinct hashes, and the new bounds."""
+    """Per row the distinct hashes in ascending order, and the new bounds. 44 bits of a hash are kept; the low 20 of
+    the result are made of them."""
     counts = np.diff(bounds)
     rows = len(counts)
     if len(hashes) == 0:
         return hashes, np.zeros(rows + 1, np.int64)
     row = np.repeat(np.arange(rows, dtype=np.uint64), counts)
-    order = np.argsort(row << _U(44) | hashes >> _U(20))
-    row, hashes = row[order], hashes[order]
-    fresh = np.empty(len(hashes), bool)
-    fresh[0] = True
-    np.not_equal(hashes[1:], hashes[:-1], out=fresh[1:])
-    fresh[1:] |= row[1:] != row[:-1]
-    kept = np.add.reduceat(fresh.astype(np.int64), bounds[:-1][counts > 0])
+    if rows <= 1 << 20:
+        row <<= _U(44)
+        row |= hashes >> _U(20)
+        row.sort()
+        fresh = np.concatenate([[True], row[1:] != row[:-1]])
+        kept = row[fresh] & _LOW
+    else:
+        high = hashes >> _U(20)
+        order = np.lexsort((high, row))
+        row, high = row[order], high[order]
+        fresh = np.concatenate([[True], (high[1:] != high[:-1]) | (row[1:] != row[:-1])])
+        kept = high[fresh]
     sizes = np.zeros(rows, np.int64)
-    sizes[counts > 0] = kept
-    return hashes[fresh], np.concatenate([[0], np.cumsum(sizes)])
+    sizes[counts > 0] = np.add.reduceat(fresh.astype(np.int64), bounds[:-1][counts > 0])
+    return kept << _U(20) | mix64(kept) & _U(0xFFFFF), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -114,31 +130,112 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-PROFILE = "id long, sub int, n int, sig long, slice int, payload binary"
+def bands(n: np.ndarray) -> np.ndarray:
+    """Size band of every set: 4 ** band <= n < 4 ** (band + 1)."""
+    return (np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1) // 2
+
+
+def block_bits(band: np.ndarray) -> np.ndarray:
+    """log2 of the number of a sketch's blocks by size band; 44, that is, a block for each token, in the lowest bands."""
+    return np.where(band < 3, 44, np.where(band == 3, 9, 2 * band + 2))
+
+
+def full_blocks(n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Blocks that n tokens fill at the least, of 2 ** bits: nine deviations below the mean."""
+    with np.errstate(divide="ignore"):
+        g = np.exp2(bits.astype(np.float64))
+        empty = np.exp(n * np.log1p(-1 / g))
+        spread = np.sqrt(np.maximum(0, g * (empty - (1 + n / g) * empty * empty)))
+    return np.where(bits == 44, n, np.floor(g * (1 - empty) - 9 * spread)).astype(np.int64)
+
+
+@dataclass
+class Blocks:
+    """Sets seen in the sketches of one size band each. row: of the set. own: Is it the set's own band, or the next? need: blocks to
+    publish. keys: of the filled blocks, delimited by ends."""
+
+    row: np.ndarray
+    own: np.ndarray
+    need: np.ndarray
+    keys: np.ndarray
+    ends: np.ndarray
+
+
+def parity_blocks(spec: Similarity, hashes: np.ndarray, bounds: np.ndarray) -> Blocks:
+    """The filled blocks of the parity sketches of distinct_sets(...).
+
+    In size band r a set has a sketch of 2 ** block_bits(r) blocks of 64 bits. A token belongs to the block that its hash begins
+    with, and XORs a random pattern into it; so the sketches of two sets differ in no more blocks than the sets do
+    in tokens, and the others are equal (pigeonhole). If A and B fill a and b blocks and differ in d tokens at
+    most, at least max(a, b) - d filled blocks are equal, and in any common order of keys one of these is among
+    the first a - (max(a, b) - d) + 1 of A, and likewise for B. ``need`` bounds that from the set's own size: a partner
+    is in the set's band or in the next one, where the smaller set is sketched once more; how many
+    blocks a larger partner fills at the least is known up to nine standard deviations (full_blocks).
+    """
+    n = np.diff(bounds)
+    rows = np.flatnonzero((n >= spec.least) & (n > 0) & ~spec.alone(n))
+    band = bands(n[rows])
+    most = n[rows] * spec.den // spec.num
+    up = np.flatnonzero(most >= 4 ** (band + 1))
+    row = np.concatenate([rows, rows[up]])
+    own = np.arange(len(row)) < len(rows)
+    r = np.concatenate([band, band[up] + 1])
+    size, most = n[row], np.concatenate([most, most[up]])
+    begin = bounds[:-1][row]
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    token = hashes[at]
+    bits = block_bits(r)
+    block = token >> np.repeat((64 - bits).astype(np.uint64), size)
+    block = np.where(np.repeat(bits == 44, size), token, block)
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = block[1:] != block[:-1]
+    fresh[np.cumsum(size) - size] = True
+    first = np.flatnonzero(fresh)
+    entry = np.repeat(np.arange(len(row)), size)[first]
+    filled = np.bincount(entry, minlength=len(row))
+    with np.errstate(over="ignore"):
+        keys = np.bitwise_xor.reduceat(mix64(token), first) if len(first) else np.zeros(0, np.uint64)
+        keys = mix64(keys ^ mix64(block[first] * _U(0x9E3779B97F4A7C15) + r[entry].astype(np.uint64)))
+    # Blocks that are equal at the least: with a smaller partner, with a larger one of the band, with one of the next band.
+    low = 4**r
+    largest = np.minimum(most, np.where(own, 4 ** (r + 1) - 1, most))
+    least = np.where(own, size, low)
+    by_size = full_blocks(least, bits) - spec.differ(size + least)
+    larger = np.maximum(by_size, filled - spec.differ(size + largest))
+    equal = np.where(own, np.minimum(filled - spec.differ(2 * size), larger), larger)
+    if own.any() and (full_blocks(size[own], bits[own]) > filled[own]).any():
+        raise ValueError("a set fills fewer sketch blocks than nine deviations allow")
+    return Blocks(row, own, np.where(size > 0, filled - np.maximum(equal, 1) + 1, 0), keys, np.concatenate([[0], np.cumsum(filled)]))
+
+
+PROFILE = "id long, tie long, sub int, n int, sig long, slice int, payload binary"
 
 
 def profile(docs: DataFrame, units: Units, spec: Similarity) -> DataFrame:
-    """Rows of two kinds, written to the shared folder: the units (id, sub, n, sig) and slices
-    of the token counts."""
+    """Rows of two kinds, written to the shared folder: the units (id, tie, sub, n, sig) and slices
+    of the key counts."""
     bits = spec.bits
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.uint32)
+        names = [c.split()[0] for c in PROFILE.split(", ")]
         for batch in batches:
-            for ids, subs, hashes, bounds in units(batch):
+            for ids, ties, subs, hashes, bounds in units(batch):
                 hashes, bounds = distinct_sets(hashes, bounds)
-                np.add.at(table, (hashes[np.repeat(np.diff(bounds) >= spec.least, np.diff(bounds))] >> _U(64 - bits)).astype(np.int64), 1)
+                n = np.diff(bounds)
+                keys = parity_blocks(spec, hashes, bounds).keys if spec.parity else hashes if spec.least <= 1 else hashes[np.repeat(n >= spec.least, n)]
+                np.add.at(table, (keys >> _U(64 - bits)).astype(np.int64), 1)
                 k = len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(subs, pa.int32()), pa.array(np.diff(bounds), pa.int32()), pa.array(signatures(hashes, bounds).view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                    ["id", "sub", "n", "sig", "slice", "payload"],
+                    [ids, ties, pa.array(subs, pa.int32()), pa.array(n, pa.int32()), pa.array(signatures(hashes, bounds).view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names
                 )
         packed = list(hashtable.pack_counts(table))
         if packed:
             k = len(packed)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array([s for s, _ in packed], pa.int32()), pa.array([p for _, p in packed], pa.binary())],
-                ["id", "sub", "n", "sig", "slice", "payload"],
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array([s for s, _ in packed], pa.int32()), pa.array([p for _, p in packed], pa.binary())],
+                names,
             )
 
     return persist(docs.mapInArrow(run, PROFILE), "profile")
@@ -178,28 +275,47 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> _U(20)) % _U(buckets)).astype(np.uint32)
 
 
-def _tokens(docs: DataFrame, units: Units, spec: Similarity, hot, buckets: int) -> DataFrame:
-    """(bucket, blob): every set's tokens by hash bucket. A load is at most 65536 sets of one map task; a token
-    is 32 bits of its hash and 16 of its set's place in the load, however many buckets there are. The
-    load's list of sets (sig, n, hot tokens) travels with one of its buckets. Equal sets of a map task are sent once."""
+def _fresh(sig: np.ndarray, wanted: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which wanted rows hold a signature that the task hasn't seen."""
+    out = np.zeros(len(sig), bool)
+    at = np.flatnonzero(wanted)
+    _, first = np.unique(sig[at], return_index=True)
+    at = at[first]
+    new = np.fromiter((int(x) not in seen for x in sig[at].tolist()), bool, len(at))
+    seen.update(sig[at[new]].tolist())
+    out[at[new]] = True
+    return out
+
+
+def _take_rows(hashes: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(bounds)
+    return hashes[np.repeat(rows, n)], np.concatenate([[0], np.cumsum(n[rows])])
+
+
+def _blocks(docs: DataFrame, units: Units, spec: Similarity, hot, buckets: int) -> DataFrame:
+    """(bucket, load, keys, owners, listing): the keys of every set's sketches by hash bucket. A load is at most 65536 sketches
+    of one map task; a key is 32 bits of its hash and 16 of its sketch's place in the load, however many
+    buckets there are. The load's list of sketches travels with one of its buckets. Equal sets of a map task are sent once."""
     bits = spec.bits
 
     def pack(parts: list[tuple[np.ndarray, ...]], task: int, loads: Iterator[int]) -> Iterator[pa.RecordBatch]:
-        sigs, sizes, tokens = (np.concatenate(x) for x in zip(*parts))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
+        sigs, sizes, cells, needs, keys = (np.concatenate(x) for x in zip(*parts))
+        filled = (cells >> 1).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(filled)])
         for first in range(0, len(sigs), 65536):
-            sig, n = sigs[first : first + 65536], sizes[first : first + 65536]
-            hashes = tokens[ends[first] : ends[first + len(sig)]]
-            owner = np.repeat(np.arange(len(sig)), n)
+            at = slice(first, first + 65536)
+            sig, full = sigs[at], filled[at]
+            hashes = keys[ends[first] : ends[first + len(sig)]]
+            owner = np.repeat(np.arange(len(sig)), full)
             load = (task << 32) | next(loads)
             warm = hot.value[(hashes >> _U(64 - bits)).astype(np.int64)]
-            listing = _join(sig, n.astype(np.uint32), np.bincount(owner[warm], minlength=len(sig)).astype(np.uint32), hashes[warm])
+            listing = _join(sig, sizes[at].astype(np.uint32), cells[at].astype(np.uint32), needs[at].astype(np.uint32), np.bincount(owner[warm], minlength=len(sig)).astype(np.uint32), hashes[warm])
             hashes, owner = hashes[~warm], owner[~warm]
             bucket = _bucket(hashes, buckets)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-            bucket, owner, keys = bucket[order], owner[order].astype(np.uint16), hashes[order].astype(np.uint32)
+            bucket, owner, short = bucket[order], owner[order].astype(np.uint16), hashes[order].astype(np.uint32)
             cuts = _runs(bucket)
-            rows = [(int(bucket[a]), keys[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])] or [(load % buckets, b"", b"")]
+            rows = [(int(bucket[a]), short[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])] or [(load % buckets, b"", b"")]
             names, keys_, owners = zip(*rows)
             lists = [listing] + [None] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays(
@@ -207,24 +323,26 @@ def _tokens(docs: DataFrame, units: Units, spec: Similarity, hot, buckets: int)
                 ["bucket", "load", "keys", "owners", "listing"],
             )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         task, loads = TaskContext.get().partitionId(), itertools.count()
         for batch in batches:
-            for _, _, hashes, bounds in units(batch):
+            for _, _, _, hashes, bounds in units(batch):
                 hashes, bounds = distinct_sets(hashes, bounds)
-                sig, n = signatures(hashes, bounds), np.diff(bounds)
-                fresh = np.zeros(len(sig), bool)
-                for i in np.flatnonzero(n >= spec.least).tolist():
-                    s = int(sig[i])
-                    if s not in seen:
-                        seen.add(s)
-                        fresh[i] = True
-                if fresh.any():
-                    held.append((sig[fresh], n[fresh], hashes[np.repeat(fresh, n)]))
-                    size += len(held[-1][2])
+                sig = signatures(hashes, bounds)
+                fresh = _fresh(sig, np.diff(bounds) >= spec.least, seen)
+                if not fresh.any():
+                    continue
+                hashes, bounds = _take_rows(hashes, bounds, fresh)
+                found = parity_blocks(spec, hashes, bounds)
+                if not len(found.row):
+                    continue
+                cells = np.diff(found.ends) << 1 | found.own
+                held.append((sig[fresh][found.row], np.diff(bounds)[found.row], cells, found.need, found.keys))
+                size += len(found.keys)
                 if size >= FLUSH:
                     yield from pack(held, task, loads)
                     held, size = [], 0
@@ -234,10 +352,11 @@ def _tokens(docs: DataFrame, units: Units, spec: Similarity, hot, buckets: int)
     return docs.mapInArrow(run, "bucket int, load long, keys binary, owners binary, listing binary")
 
 
-def _count_tokens(tokens: DataFrame, buckets: int) -> DataFrame:
-    """(load, bucket, keys, owners, codes, listing): the tokens that occur more than once in the corpus go back to their
-    load, with the code of how often; lists of sets are passed on."""
+def _count_keys(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(load, bucket, keys, owners, codes, listing): the keys that occur more than once in the corpus go back to their
+    load, with the code of how often; lists of sketches are passed on."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "bucket"):
             here = group.column("bucket")[0].as_py()
@@ -265,7 +384,7 @@ def _count_tokens(tokens: DataFrame, buckets: int) -> DataFrame:
                 )
 
     schema = "load long, bucket int, keys binary, owners binary, codes binary, listing binary"
-    return tokens.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def rarity(count: np.ndarray) -> np.ndarray:
@@ -273,14 +392,15 @@ def rarity(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(np.log2(np.maximum(count, 1).astype(np.float64)) * 8), 254).astype(np.uint8)
 
 
-def _keys(counted: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
-    """(bucket, blob): of each set the tokens it must publish, with their places in the order of rarity. Tokens
-    that no other set has come first and need no row. bucket -1: edges by hot tokens."""
+def _keys(counted: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, blob): of each sketch the keys it must publish, with their places in the order of rarity. Keys
+    that no other set has come first and need no row. bucket -1: edges by hot keys."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "load"):
-            names, n, hot_n, hots = _split(next(x for x in group.column("listing").to_pylist() if x is not None), ["u8", "u4", "u4", "u8"])
-            sizes = n.astype(np.int64)
+            names, n, cells, needs, hot_n, hots = _split(next(x for x in group.column("listing").to_pylist() if x is not None), ["u8", "u4", "u4", "u4", "u4", "u8"])
+            filled = (cells >> 1).astype(np.int64)
             keys, owner, code = (np.concatenate([np.frombuffer(b, kind) for b in group.column(c).to_pylist()]) for c, kind in (("keys", "u4"), ("owners", "u2"), ("codes", "u1")))
             counts = [len(b) for b in group.column("codes").to_pylist()]
             bucket = np.concatenate([np.repeat(group.column("bucket").to_numpy(), counts).astype(np.int64), np.full(len(hots), -1)])
@@ -290,8 +410,8 @@ def _keys(counted: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
             order = np.lexsort((token, owner * 256 + code))
             owner, bucket, token = owner[order], bucket[order], token[order]
             held = np.bincount(owner, minlength=len(names))
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(held) - held, held) + (sizes - held)[owner]
-            need = place < spec.prefix(sizes)[owner]
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(held) - held, held) + (filled - held)[owner]
+            need = place < needs.astype(np.int64)[owner]
             owner, bucket, token, place = owner[need], bucket[need], token[need], place[need]
             order = np.argsort(bucket, kind="stable")
             owner, bucket, token, place = owner[order], bucket[order], token[order], place[order]
@@ -300,48 +420,40 @@ def _keys(counted: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:]):
                 rows.append(int(bucket[a]))
                 at = owner[a:b]
-                kept = token[a:b] if rows[-1] < 0 else token[a:b].astype(np.uint32)
-                blobs.append(_join(names[at], sizes[at].astype(np.uint32), kept, np.minimum(place[a:b], 65535).astype(np.uint16)))
+                if rows[-1] < 0:
+                    blobs.append(_join(names[at], token[a:b]))
+                else:
+                    blobs.append(_join(names[at], n[at], token[a:b].astype(np.uint32), place[a:b].astype(np.uint32), cells[at]))
             if rows:
                 yield _rows(rows, blobs, "bucket")
 
     return counted.repartition(buckets, "load").sortWithinPartitions("load").mapInArrow(run, "bucket int, blob binary")
 
 
-def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the sets that hold a[i] and b[i]; label ends flat, at the least member."""
-    while len(a):
-        la, lb = label[a], label[b]
-        apart = la != lb
-        if not apart.any():
-            return
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            flat = label[label]
-            if np.array_equal(flat, label):
-                break
-            label[:] = flat
-
-
 def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (signature of the root, of the member) that unite all candidates of a bucket."""
-    kinds = ["u8", "u4", "u4", "u2"] if spec.counted else ["u8", "u4", "u4", "u2", "u8"]
-    sig, n, token, place, *rest = (np.concatenate(x) for x in zip(*(_split(b, kinds) for b in blobs)))
+    # With parity sketches the last is the number of filled blocks, doubled, and one if the band is the set's own; else a short sketch.
+    kinds = ["u8", "u4", "u4", "u4", "u4" if spec.parity else "u8"]
+    sig, n, token, place, last = (np.concatenate(x) for x in zip(*(_split(b, kinds) for b in blobs)))
     sig, first, owner = np.unique(sig, return_index=True, return_inverse=True)
-    sketch = rest[0].reshape(-1, 2)[first] if rest else None
+    sketch = None if spec.parity else last.reshape(-1, 2)[first]
+    cells = last.astype(np.int64) if spec.parity else np.zeros(len(token), np.int64)
     key, n, place = token.astype(np.uint64) << _U(32), n.astype(np.int64), place.astype(np.int64)
     # A set that came from several map tasks counts once.
     order = np.lexsort((owner, key))
-    key, owner, n, place = key[order], owner[order], n[order], place[order]
+    key, owner, n, place, cells = key[order], owner[order], n[order], place[order], cells[order]
     once = np.concatenate([np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-    key, owner, n, place = key[once], owner[once], n[once], place[once]
+    key, owner, n, place, cells = key[once], owner[once], n[once], place[once], cells[once]
     label = np.arange(len(sig))
     ranked = key | n.astype(np.uint64)
     order = np.argsort(ranked)
-    ranked, owner, place, n = ranked[order], owner[order], place[order], n[order]
+    ranked, owner, place, n, cells = ranked[order], owner[order], place[order], n[order], cells[order]
     low = np.searchsorted(ranked, (ranked & _U(0xFFFFFFFF00000000)) | spec.shortest(n).astype(np.uint64))
     reach = np.arange(len(ranked)) - low
+    filled = cells >> 1
+    if spec.parity:
+        # Of a pair the larger set is in its own band; two sets of the band below meet in that one.
+        reach[cells & 1 == 0] = 0
     # In a very long list neighbours by size are united unseen: verification settles the rest. Windows of consecutive
     # entries of one token overlap, so the first of each run is united whole, and the others follow by their left neighbour.
     chained = np.flatnonzero(reach > CHAIN_FROM)
@@ -349,7 +461,7 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray
     for i in chained[np.diff(chained, prepend=-1) > 1].tolist():
         unite(label, owner[low[i] : i], owner[low[i] + 1 : i + 1])
     reach[chained] = 0
-    left = n - place
+    left = (filled if spec.parity else n) - place
     total = np.cumsum(reach)
     start = 0
     while start < len(reach):
@@ -360,8 +472,11 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray
         a = np.repeat(low[start:stop] - (np.cumsum(r) - r), r) + np.arange(len(b))
         apart = label[owner[a]] != label[owner[b]]
         a, b = a[apart], b[apart]
-        good = spec.enough(np.minimum(left[a], left[b]), n[a] + n[b])
-        if sketch is not None:
+        if spec.parity:
+            # The first key that both have leaves room for as many equal blocks as there must be.
+            good = np.minimum(left[a], left[b]) >= np.maximum(1, np.maximum(filled[a], filled[b]) - spec.differ(n[a] + n[b]))
+        else:
+            good = spec.enough(np.minimum(left[a], left[b]), n[a] + n[b])
             a, b = a[good], b[good]
             differ = np.bitwise_count(sketch[owner[a]] ^ sketch[owner[b]]).sum(1).astype(np.int64)
             both = n[a] + n[b]
@@ -378,57 +493,58 @@ SKETCH_BITS = 128
 SMALL_LIST = 200_000
 
 
-def parity_sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Two words a row: bit x is the parity of the tokens hashed to x. The bits in which two rows
+def parity_sketches(hashes: np.ndarray, bounds: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """bits / 64 words a row: bit x is the parity of the tokens hashed to x. The bits in which two rows
     differ are at most the tokens in which the sets differ."""
     rows = len(bounds) - 1
-    cell = np.repeat(np.arange(rows) * SKETCH_BITS, np.diff(bounds)) + (hashes >> _U(13) & _U(SKETCH_BITS - 1)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.uint64).reshape(rows, 2)
+    cell = np.repeat(np.arange(rows) * bits, np.diff(bounds)) + (hashes >> _U(20) & _U(bits - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=rows * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64).reshape(rows, bits // 64)
 
 
 def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int) -> DataFrame:
-    """(bucket, blob) as _keys gives it, with sketches, ranking tokens by the count table. A token alone in its cell is
-    alone in the corpus and isn't published."""
+    """(bucket, blob) as _keys gives it, with sketches, ranking tokens by the count table (code 255: hot). A token alone in
+    its cell is alone in the corpus and isn't published."""
     bits = spec.bits
 
     def pack(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        sig, n, token, place, sketch = (np.concatenate(x) for x in zip(*parts))
+        sig, n, token, place, sketch, hot = (np.concatenate(x) for x in zip(*parts))
+        if hot.any():
+            yield _rows([-1], [_join(sig[hot], token[hot])], "bucket")
+            sig, n, token, place, sketch = sig[~hot], n[~hot], token[~hot], place[~hot], sketch[~hot]
+        token = mix64(token)
         bucket = _bucket(token, buckets)
         order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-        bucket, sig, n, token, place, sketch = bucket[order], sig[order], n[order].astype(np.uint32), token[order].astype(np.uint32), place[order], sketch[order]
+        bucket, sig, n, token, place, sketch = bucket[order], sig[order], n[order].astype(np.uint32), token[order].astype(np.uint32), place[order].astype(np.uint32), sketch[order]
         cuts = _runs(bucket)
-        yield _rows([int(bucket[a]) for a in cuts[:-1]], [_join(sig[a:b], n[a:b], token[a:b], place[a:b], sketch[a:b].reshape(-1)) for a, b in zip(cuts, cuts[1:])], "bucket")
+        if len(bucket):
+            yield _rows([int(bucket[a]) for a in cuts[:-1]], [_join(sig[a:b], n[a:b], token[a:b], place[a:b], sketch[a:b].reshape(-1)) for a, b in zip(cuts, cuts[1:])], "bucket")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = rank.value
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
         load = 0
         for batch in batches:
-            for _, _, hashes, bounds in units(batch):
+            for _, _, _, hashes, bounds in units(batch):
                 hashes, bounds = distinct_sets(hashes, bounds)
                 sig, n = signatures(hashes, bounds), np.diff(bounds)
-                fresh = np.zeros(len(sig), bool)
-                for i in np.flatnonzero(n >= spec.least).tolist():
-                    s = int(sig[i])
-                    if s not in seen:
-                        seen.add(s)
-                        fresh[i] = True
+                fresh = _fresh(sig, (n >= spec.least) & (n > 0) & ~spec.alone(n), seen)
                 if not fresh.any():
                     continue
-                hashes, sig, n = hashes[np.repeat(fresh, n)], sig[fresh], n[fresh]
-                bounds = np.concatenate([[0], np.cumsum(n)])
+                hashes, bounds = _take_rows(hashes, bounds, fresh)
+                sig, n = sig[fresh], n[fresh]
                 owner = np.repeat(np.arange(len(n)), n)
                 code = codes[(hashes >> _U(64 - bits)).astype(np.int64)]
-                order = np.lexsort((hashes, owner.astype(np.uint64) << _U(8) | code.astype(np.uint64)))
+                # Tokens of a set are in the order of their hashes, which a stable sort keeps among equal codes.
+                order = np.argsort(owner << 8 | code, kind="stable")
                 place = np.arange(len(owner)) - bounds[:-1][owner]
-                out = order[(place < spec.prefix(n)[owner]) & (code[order] > 0)]
+                out = (place < spec.prefix(n)[owner]) & (code[order] > 0)
+                out, place = order[out], place[out]
                 at = owner[out]
-                rankings = np.empty(len(owner), np.int64)
-                rankings[order] = place
                 sketch = parity_sketches(hashes, bounds)
-                held.append((sig[at], n[at], hashes[out], np.minimum(rankings[out], 65535).astype(np.uint16), sketch[at]))
+                held.append((sig[at], n[at], hashes[out], place, sketch[at], code[out] == 255))
                 load += len(out)
                 if load >= FLUSH // 4:
                     yield from pack(held)
@@ -442,13 +558,14 @@ def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int
 def _candidates(keys: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
     """Edges (u, v) between signatures that unite all candidate pairs."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "bucket"):
             blobs = group.column("blob").to_pylist()
             if group.column("bucket")[0].as_py() < 0:
                 # Hot tokens: each is a vertex of its own, so that no list is gathered.
                 for blob in blobs:
-                    sig, _, token, _ = _split(blob, ["u8", "u4", "u8", "u2"])
+                    sig, token = _split(blob, ["u8", "u8"])
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(mix64(token ^ _U(0xB5297A4D)).view(np.int64))], ["u", "v"])
                 continue
             root, member = forest(blobs, spec)
@@ -492,6 +609,7 @@ def widen(raw: bytes) -> np.ndarray:
 def _sets(docs: DataFrame, units: Units, spec: Similarity, wanted_ids, wanted_sigs) -> DataFrame:
     """(sig, hashes) of the units whose id and signature may be wanted."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_on, sigs_on = wanted_ids.value, wanted_sigs.value
         for batch in batches:
@@ -499,7 +617,7 @@ def _sets(docs: DataFrame, units: Units, spec: Similarity, wanted_ids, wanted_si
             batch = batch.filter(pa.array(ids_on[_marks(ids)]))
             if not batch.num_rows:
                 continue
-            for _, _, hashes, bounds in units(batch):
+            for _, _, _, hashes, bounds in units(batch):
                 hashes, bounds = distinct_sets(hashes, bounds)
                 sig = signatures(hashes, bounds).view(np.int64)
                 sizes = np.diff(bounds)
@@ -538,13 +656,32 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return np.round(out, out=out)
 
 
+def near_rows(sets: list[np.ndarray], spec: Similarity) -> np.ndarray:
+    """Which sets have another within reach of their bit sketches: the Hamming distance is at most the number of
+    tokens in which two sets differ."""
+    sizes = np.array([len(s) for s in sets])
+    bits = max(128, min(1 << 13, 1 << int(2 * sizes.max() - 1).bit_length()))
+    sketch = parity_sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]), bits)
+    some = np.zeros(len(sets), bool)
+    step = max(1, (1 << 22) // (len(sets) * sketch.shape[1]))
+    for a in range(0, len(sets), step):
+        apart = np.bitwise_count(sketch[a : a + step, None, :] ^ sketch[None, :, :]).sum(2, dtype=np.int64)
+        close = apart <= spec.differ(sizes[a : a + step, None] + sizes[None, :])
+        close[np.arange(len(close)), a + np.arange(len(close))] = False
+        some[a : a + step] = close.any(1)
+    return some
+
+
 def verify(sets: list[np.ndarray], side: np.ndarray, diagonal: bool, spec: Similarity) -> np.ndarray:
     """Boolean matrix of links. Sets of one side meet only in the task of their own block."""
     sizes = np.array([len(s) for s in sets])
-    overlap = intersections(sets)
-    linked = np.empty(overlap.shape, bool)
-    for a in range(0, len(sets), 256):
-        linked[a : a + 256] = spec.enough(overlap[a : a + 256].astype(np.int64), sizes[a : a + 256, None] + sizes[None, :])
+    linked = np.zeros((len(sets), len(sets)), bool)
+    rows = np.flatnonzero(near_rows(sets, spec)) if spec.parity else np.arange(len(sets))
+    if not len(rows):
+        return linked
+    overlap = intersections([sets[k] for k in rows])
+    for a in range(0, len(rows), 256):
+        linked[np.ix_(rows[a : a + 256], rows)] = spec.enough(overlap[a : a + 256].astype(np.int64), sizes[rows[a : a + 256], None] + sizes[None, rows])
     np.fill_diagonal(linked, False)
     if not diagonal:
         linked &= side[:, None] != side[None, :]
@@ -555,8 +692,9 @@ LINKS = "sig long, links long, earlier boolean, root long"
 
 
 def _links(placed: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
-    """placed: (task, comp, i, j, sub, sig, weight, first_id, first_sub, hashes), one row per set and task."""
+    """placed: (task, comp, i, j, sub, sig, weight, first_id, first_tie, first_sub, hashes), one row per set and task."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "task"):
             sig = group.column("sig").to_numpy()
@@ -566,6 +704,7 @@ def _links(placed: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
             side = group.column("sub").to_numpy()
             weight = group.column("weight").to_numpy()
             first_id = group.column("first_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+            first_tie = group.column("first_tie").to_numpy()
             first_sub = group.column("first_sub").to_numpy()
             comp, i, j = (group.column(c).to_numpy() for c in ("comp", "i", "j"))
             blobs = group.column("hashes").to_pylist()
@@ -582,7 +721,7 @@ def _links(placed: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
                 label = np.arange(len(at))
                 unite(label, *np.nonzero(linked))
                 turn = np.empty(len(at), np.int64)
-                turn[np.lexsort((sig[at], first_sub[at], first_id[at]))] = np.arange(len(at))
+                turn[np.lexsort((sig[at], first_sub[at], first_tie[at], first_id[at]))] = np.arange(len(at))
                 earlier = (linked & (turn[None, :] < turn[:, None])).any(1)
                 some = linked.any(1)
                 yield pa.RecordBatch.from_arrays(
@@ -595,33 +734,40 @@ def _links(placed: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
 def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of equal sets and their links.
 
-    ``docs`` has a long column ``id`` and whatever ``units`` reads. Returns
-    (units: id, sub, n, sig), (classes: sig, weight, first_id, first_sub, n, least_id, null being first but not least), and
-    (links: sig, links, earlier, root): for every class with a link the number of units in other classes linked
-    with it, whether one of those comes before it (by first_id, first_sub), and edges (sig, root) that
-    connect linked classes. A class may have several rows of links, one per task it took part in.
+    ``docs`` has long columns ``id`` and ``tie`` and whatever ``units`` reads. Returns
+    (units: id, tie, sub, n, sig), (classes: sig, weight, first_id, first_tie, first_sub, n, least_id, null being first but not
+    least), and (links: sig, links, earlier, root): for every class with a link the number of units in other classes
+    linked with it, whether one of those comes before it (by first_id, first_tie, first_sub), and edges (sig, root)
+    that connect linked classes. A class may have several rows of links, one per task it took part in.
     """
     spark = docs.sparkSession
     tune(spark)
     buckets = reducers(spark)
     sc = spark.sparkContext
+    sent = []
+
+    def share(value):
+        sent.append(sc.broadcast(value))
+        return sent[-1]
+
     profiled = profile(docs, units, spec)
     table = hashtable.sum_slices(profiled.where("slice is not null"), spec.bits, buckets)
-    known = profiled.where("slice is null").select("id", "sub", "n", "sig")
-    if spec.counted:
-        tokens = _tokens(docs, units, spec, sc.broadcast(hot_cells(table)), buckets)
-        keys = _keys(_count_tokens(tokens, buckets), spec, buckets)
+    known = profiled.where("slice is null").select("id", "tie", "sub", "n", "sig")
+    hot = hot_cells(table)
+    if spec.parity:
+        keys = _keys(_count_keys(_blocks(docs, units, spec, share(hot), buckets), buckets), buckets)
     else:
-        keys = _publish(docs, units, spec, sc.broadcast(rarity(table)), buckets)
+        codes = rarity(table)
+        codes[hot] = 255
+        keys = _publish(docs, units, spec, share(codes), buckets)
     del table
-    edges = _candidates(keys, spec, buckets)
-    comps = connected_components(edges)
+    comps = connected_components(_candidates(keys, spec, buckets))
     classes = (
         known.groupBy("sig")
-        .agg(F.count("*").alias("weight"), F.min(F.struct("id", "sub")).alias("f"), F.first("n").alias("n"), F.min("id").alias("least_id"))
-        .select("sig", "weight", F.col("f.id").alias("first_id"), F.col("f.sub").alias("first_sub"), "n", "least_id")
+        .agg(F.count("*").alias("weight"), F.min(F.struct("id", "tie", "sub")).alias("f"), F.first("n").alias("n"), F.min("id").alias("least_id"))
+        .select("sig", "weight", F.col("f.id").alias("first_id"), F.col("f.tie").alias("first_tie"), F.col("f.sub").alias("first_sub"), "n", "least_id")
     )
-    members = persist(comps.join(classes, F.col("vertex") == F.col("sig")).select("root", "sig", "weight", "first_id", "first_sub", "n"), "members")
+    members = persist(comps.join(classes, F.col("vertex") == F.col("sig")).select("root", "sig", "weight", "first_id", "first_tie", "first_sub", "n"), "members")
     # A component that is too large for one task is cut by size band, and a band by hash. Partners' sizes differ by less than
     # a band, so a block meets the blocks of its own band and the two next to it.
     whole = members.groupBy("root").agg((F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS) <= 1).alias("small"))
@@ -630,7 +776,7 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
     shape = banded.groupBy("root", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     near = shape.select("root", F.col("band").alias("other"), F.col("blocks").alias("many"))
     block = lambda band, part: (F.col(band).cast("long") * (1 << 32)) + part
-    placed = (
+    placed = persist(
         banded.join(shape, ["root", "band"])
         .withColumn("sub", block("band", F.pmod(F.xxhash64("sig"), F.col("blocks"))))
         .withColumn("other", F.explode(F.when(F.col("small"), F.array("band")).otherwise(F.sequence(F.col("band") - 1, F.col("band") + 1))))
@@ -640,13 +786,15 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
         .withColumn("i", F.least("sub", "partner"))
         .withColumn("j", F.greatest("sub", "partner"))
         .withColumn("task", F.xxhash64("root", "i", "j"))
-        .select("task", F.col("root").alias("comp"), "i", "j", "sub", "sig", "weight", "first_id", "first_sub")
+        .select("task", F.col("root").alias("comp"), "i", "j", "sub", "sig", "weight", "first_id", "first_tie", "first_sub"),
+        "placed",
     )
-    on_ids = sc.broadcast(_filter_table(members.select(F.col("first_id").alias("id")), buckets))
-    on_sigs = sc.broadcast(_filter_table(members.select(F.col("sig").alias("id")), buckets))
+    on_ids = share(_filter_table(members.select(F.col("first_id").alias("id")), buckets))
+    on_sigs = share(_filter_table(members.select(F.col("sig").alias("id")), buckets))
     sets = _sets(docs, units, spec, on_ids, on_sigs)
     # The sets needn't travel to meet their tasks if the list of tasks is small enough to go to them.
-    if members.count() <= SMALL_LIST:
-        placed = F.broadcast(placed)
-    links = persist(_links(sets.join(placed, "sig"), spec, buckets), "links")
+    near_by = F.broadcast(placed) if placed.count() <= SMALL_LIST else placed
+    links = persist(_links(sets.join(near_by, "sig"), spec, buckets), "links")
+    for value in sent:
+        value.destroy()
     return known, classes, links

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes that one Arrow batch handed to a Python worker may take, where the session sets none.
-BATCH_BYTES = 16 << 20
+#: Bytes that one Arrow batch handed to a Python worker may take.
+BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 
 
@@ -56,6 +58,23 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable) -> Callable:
+    """``run``, a function over batches, whose worker gives its free memory back when the task is over: workers are
+    kept for later tasks, and several lie idle beside those at work."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def reducers(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

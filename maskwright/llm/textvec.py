@@ -14,20 +14,30 @@ _U64 = np.uint64
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _RADIX_INV = pow(_RADIX, -1, 1 << 64)
 
-#: ASCII white space as the operators see it: space and \t\n\v\f\r.
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-_rng = np.random.default_rng(20240229)
-_CODES = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) | _U64(1)
-_FOLDED = _CODES.copy()
-_FOLDED[65:91] = _CODES[97:123]
+#: A byte counts in a word's hash by a polynomial of these numbers.
+_A, _B, _C = _U64(0xD6E8FEB86659FD93), _U64(0xA3AAAC6C61E0A3D1), _U64(0xC2B2AE3D27D4EB4F)
 
 _powers: dict[int, np.ndarray] = {}
 
 
+def is_space(raw: np.ndarray) -> np.ndarray:
+    """ASCII white space as the operators see it: space and \\t\\n\\v\\f\\r."""
+    return ((raw - np.uint8(9)) < 5) | (raw == 32)
+
+
+def _byte_codes(raw: np.ndarray, fold_case: bool) -> np.ndarray:
+    if fold_case:
+        raw = raw + (((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+    x = raw.astype(np.uint64)
+    out = x * _A
+    out += _B
+    out *= x
+    out += _C
+    return out
+
+
 def _power_table(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2**64 for i in [0, n); grown by doubling and kept per process."""
+    """base ** i modulo 2**64 for i in [0, n); grown by doubling and kept per process up to 16 MB."""
     table = _powers.get(base)
     if table is None:
         table = np.ones(1, dtype=np.uint64)
@@ -35,7 +45,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             step = _U64(pow(base, len(table), 1 << 64))
             table = np.concatenate([table, table * step])
-    if len(table) <= 1 << 23:
+    if len(table) <= 1 << 21:
         _powers[base] = table
     return table[:n]
 
@@ -66,7 +76,7 @@ def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, offsets - first
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 21):
+def slices(offsets: np.ndarray, limit: int = 1 << 20):
     """Row ranges whose texts together take about ``limit`` bytes (one row at least)."""
     n, at = len(offsets) - 1, 0
     while at < n:
@@ -87,7 +97,9 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold_case: bool = True, br
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
-    solid = ~SPACE[raw] if breaks is None else ~(SPACE | breaks)[raw]
+    solid = ~is_space(raw)
+    if breaks is not None:
+        solid &= ~breaks[raw]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     begin = solid.copy()
@@ -99,7 +111,10 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold_case: bool = True, br
     with np.errstate(over="ignore"):
         running = np.empty(n + 1, dtype=np.uint64)
         running[0] = 0
-        np.cumsum((_FOLDED if fold_case else _CODES)[raw] * _power_table(_RADIX, n), out=running[1:])
+        codes = _byte_codes(raw, fold_case)
+        codes *= _power_table(_RADIX, n)
+        np.cumsum(codes, out=running[1:])
+        del codes
         hashes = mix64((running[stop] - running[start]) * _power_table(_RADIX_INV, n)[start])
     return hashes, start, np.searchsorted(start, offsets)
 

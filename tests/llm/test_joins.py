@@ -55,16 +55,81 @@ def corpus(seed, n=160):
 
 
 @pytest.mark.parametrize("floor", [1 << 16, 5])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, floor):
-    # A low floor makes tokens hot, so that the candidate graph goes through them.
+@pytest.mark.parametrize("seed", [1, 5])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, floor, seed):
+    # A low floor makes keys hot, so that the candidate graph goes through them.
     monkeypatch.setattr(setjoin, "HOT_FLOOR", floor)
     monkeypatch.setattr(setjoin, "HOT_TIMES", 1)
     monkeypatch.setattr(setjoin, "BLOCK_SETS", 20)
-    rows = corpus(1) + [(900, None), (901, ""), (902, " \n "), (903, "Solo"), (904, "sOLO"), (905, cases.LONG), (906, cases.LONG + " more")]
+    monkeypatch.setattr(setjoin, "CHAIN_FROM", 6)
+    monkeypatch.setattr(components, "SMALL", 0 if floor == 5 else components.SMALL)
+    rng = random.Random(seed)
+    rows = corpus(seed) + [(900, None), (901, ""), (902, " \n "), (903, "Solo"), (904, "sOLO"), (905, cases.LONG), (906, cases.LONG + " more")]
+    # Sizes around the bounds of bands, partners of up to 1 / 0.6 times the size, long texts.
+    words = [f"w{k}" for k in range(3000)]
+    for n in (3, 4, 5, 15, 16, 26, 63, 64, 65, 107, 255, 256, 300, 700):
+        text = [rng.choice(words) for _ in range(n + 1)]
+        for much in (0, 0.2, 0.5, 0.6, 0.66, 0.7):
+            rows.append((1000 + len(rows), " ".join(text + [rng.choice(words) for _ in range(int(much * n))])))
+        for much in (0.05, 0.1, 0.13, 0.2):
+            rows.append((1000 + len(rows), " ".join(rng.choice(words) if rng.random() < much else w for w in text)))
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(tuple(r) for r in got) == brute_near(rows)
 
 
+def near_pair(rng, n, b):
+    """Two sets of n <= b tokens that link at J >= 0.6 just so."""
+    overlap = -(-60 * (n + b) // 160)
+    own = rng.integers(0, (1 << 64) - 1, size=n + b - overlap, dtype=np.uint64)
+    return own[:n], np.concatenate([own[:overlap], own[n:]])
+
+
+def test_parity_blocks_of_linked_sets_meet():
+    # Whatever the order of keys: of two sets that just link, the published blocks share one.
+    rng = np.random.default_rng(11)
+    spec = near_dup.NEAR
+    for trial in range(400):
+        n = int(rng.integers(2, 1500) if trial % 2 else rng.choice([3, 4, 15, 16, 63, 64, 255, 256, 1023, 1024]))
+        b = int(rng.integers(n, n * 5 // 3 + 1))
+        sets = near_pair(rng, n, b)
+        hashes, bounds = setjoin.distinct_sets(np.concatenate(sets), np.array([0, n, n + b]))
+        found = setjoin.parity_blocks(spec, hashes, bounds)
+        salt = np.uint64(rng.integers(1 << 62))
+        published = collections.defaultdict(set)
+        for k in range(len(found.row)):
+            keys = found.keys[found.ends[k] : found.ends[k + 1]]
+            published[int(found.row[k])] |= set(keys[np.argsort(setjoin.mix64(keys ^ salt))][: found.need[k]].tolist())
+        # Common blocks first is the order that serves; unshared ones first is the worst.
+        shared = {r: set(found.keys[np.repeat(found.row, np.diff(found.ends)) == r].tolist()) for r in (0, 1)}
+        both = shared[0] & shared[1]
+        worst = collections.defaultdict(set)
+        for k in range(len(found.row)):
+            keys = sorted(found.keys[found.ends[k] : found.ends[k + 1]].tolist(), key=lambda x: (x in both, x))
+            worst[int(found.row[k])] |= set(keys[: found.need[k]])
+        alone = spec.alone(np.array([n]))[0] or spec.alone(np.array([b]))[0]
+        assert alone or (published[0] & published[1] and worst[0] & worst[1]), (n, b)
+
+
+def test_blocks_filled_at_least():
+    # The difference grows with the size, so the least partner of a range decides.
+    for band in range(3, 10):
+        n = np.unique(np.geomspace(4**band, 4 ** (band + 1) - 1, 300).astype(np.int64))
+        bits = setjoin.block_bits(np.full(len(n), band))
+        spare = setjoin.full_blocks(n, bits) - n / 4
+        assert (np.diff(spare) >= -1).all() and (setjoin.full_blocks(n, bits) > n // 2).all()
+
+
+def test_near_rows_keep_links():
+    rng = np.random.default_rng(2)
+    sets = [s for _ in range(20) for s in near_pair(rng, int(rng.integers(3, 400)), 400)[:2] if len(s)]
+    sets = [setjoin.distinct_sets(s, np.array([0, len(s)]))[0] for s in sets]
+    near = setjoin.near_rows(sets, near_dup.NEAR)
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        k = len(np.intersect1d(sets[i], sets[j]))
+        if near_dup.NEAR.enough(k, len(sets[i]) + len(sets[j])):
+            assert near[i] and near[j]
+
+
 def test_near_duplicates_of_messy_rows(spark):
     got = near_dup.near_duplicates(cases.docs(spark)).collect()
     assert sorted(tuple(r) for r in got) == brute_near([(r[0], r[1]) for r in cases.rows()])
@@ -103,55 +168,66 @@ def test_components(spark, seed):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def brute_lines(rows, least=8):
+def brute_lines(spark, rows):
+    """Rows (id, text) in order of id, null first, and hash of the text; each line with a word is held against all before it."""
+    texts = list({t for _, t in rows if t is not None})
+    tie = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) h").collect()} if texts else {}
+    tie[None] = 42
     before, out = [], []
-    for i, t in sorted(rows, key=lambda r: r[0]):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]])):
         kept = []
         for line in (t or "").split("\n"):
             w = set(WORD.findall(lower(line)))
-            alike = len(w) >= least and any(100 * len(w & x) >= 80 * len(w | x) for x in before)
-            if len(w) >= least:
+            alike = any(100 * len(w & x) >= 80 * len(w | x) for x in before if w)
+            if w:
                 before.append(w)
             if not alike:
                 kept.append(line)
-        out.append((i, None if t is None else "\n".join(kept), len((t or "").split("\n")) - len(kept)))
-    return sorted(out, key=lambda r: r[0])
+        out.append((i, None if t is None else "\n".join(kept), 0 if t is None else len(t.split("\n")) - len(kept)))
+    return sorted(out, key=str)
 
 
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(2)
-    lines = [t for _, t in corpus(4, 200)] + ["", "", "short one"]
+def line_rows(seed):
+    rng = random.Random(seed)
+    lines = [t for _, t in corpus(seed + 1, 200)] + ["", " ", "\t", "short one", "a b a b a b", "Solo"]
     rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for k in range(60)]
-    rows += [(100 + k, t) for k, t in enumerate(cases.TEXTS)]
+    return rows + [(100 + k, t) for k, t in enumerate(cases.TEXTS)]
+
+
+@pytest.mark.parametrize("floor", [1 << 16, 5])
+@pytest.mark.parametrize("case", ["plain", "repeated ids", "repeated rows", "no ids"])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, case, floor):
+    # A low floor makes words hot and sends the components the distributed way.
+    monkeypatch.setattr(setjoin, "HOT_FLOOR", floor)
+    if floor == 5:
+        monkeypatch.setattr(setjoin, "HOT_TIMES", 1)
+        monkeypatch.setattr(components, "SMALL", 0)
+    rows = line_rows(2)
+    if case == "repeated ids":
+        rows = [(7, "y\nA"), (7, "z\nU"), (8, "A\nA"), (3, "v w"), (3, "v w\nA")] + [(i // 3, t) for i, t in rows]
+    elif case == "repeated rows":
+        rows = rows + rows[::2] + rows[::3] + [(5000, None), (5000, None), (5001, "new words here"), (5001, "new words here")]
+    elif case == "no ids":
+        rows = [(None, t) for t in dict.fromkeys(t for _, t in rows)]
     df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, _id int, _subs string").repartition(3)
     got = line_dedup.dedup_lines(df)
     assert got.columns == ["doc_id", "text", "_id", "_subs", "n_removed"]
-    assert sorted((r.doc_id, r.text, r.n_removed) for r in got.collect()) == brute_lines(rows)
-
-
-def test_every_line_takes_part(spark, tmp_path):
-    rng = random.Random(5)
-    lines = [t for _, t in corpus(6, 200)] + ["", " ", "short one", "a b a b a b", "Solo"]
-    rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for k in range(60)]
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
-    got = line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == brute_lines(rows, 1)
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got.collect()), key=str) == brute_lines(spark, rows)
 
 
 def test_lines_without_spaces(spark):
     han = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(60))
     thai = "".join(chr(0x0E01 + 11 * k % 46) for k in range(23))
     rows = [(0, han), (1, han[:30] + "A" + han[31:]), (2, han[::-1]), (3, thai + "\nx " + han[:20]), (4, thai), (5, han[:20] + " X")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = line_dedup.dedup_lines(df, line_dedup.EVERY_LINE).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 1}
 
 
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(cases.empty(spark)).count() == 0
-    messy = line_dedup.dedup_lines(cases.docs(spark, repeat=False)).collect()
-    assert {r.doc_id: r.text for r in messy} == {i: t for i, t, _ in brute_lines([(r[0], r[1]) for r in cases.rows(repeat=False)])}
-    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in messy)
+    messy = line_dedup.dedup_lines(cases.docs(spark)).collect()
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in messy), key=str) == brute_lines(spark, [(r[0], r[1]) for r in cases.rows()])
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in messy if r.n_removed)
 
 
 def brute_pack(items, capacity):
@@ -241,15 +317,15 @@ def test_long_lists_lose_no_candidates(monkeypatch, seed):
     # Several lists of a bucket are longer than CHAIN_FROM; every pair that passes the filters must be in one component.
     monkeypatch.setattr(setjoin, "CHAIN_FROM", 5)
     rng = np.random.default_rng(seed)
-    spec = setjoin.Similarity(num=60, den=100)
+    spec = setjoin.Similarity(num=60, den=100, parity=False)
     lists = [np.full(k, 10) for k in (7, 7, 7, 8)] if seed < 2 else [rng.integers(5, 40, size=rng.integers(6, 60)) for _ in range(6)]
     sizes = np.concatenate(lists).astype(np.uint32)
     token = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.uint32)
-    place = np.where(rng.random(len(sizes)) < 0.3, 0, sizes - 1).astype(np.uint16)
+    place = np.where(rng.random(len(sizes)) < 0.3, 0, sizes - 1).astype(np.uint32)
     left = sizes.astype(int) - place
     sig = np.arange(1, len(sizes) + 1, dtype=np.uint64)
     root = {int(x): int(x) for x in sig}
-    for r, m in zip(*setjoin.forest([setjoin._join(sig, sizes, token, place)], spec)):
+    for r, m in zip(*setjoin.forest([setjoin._join(sig, sizes, token, place, np.zeros(2 * len(sig), np.uint64))], spec)):
         root[int(m)] = int(r)
     for a, b in itertools.combinations(range(len(sizes)), 2):
         least, most = sorted((int(sizes[a]), int(sizes[b])))
