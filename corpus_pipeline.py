@@ -7,14 +7,15 @@ n_chars is no reason to drop a row; further columns pass through unchanged; an e
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskwright.llm import lang_id, line_dedup, near_dup, packing, pii_crf
 from maskwright.llm.shared import persist
 
-#: Ids of dropped documents that may be broadcast, 8 bytes each.
-SMALL_LIST = 1_000_000
-_GONE = "__corpus_pipeline_id"
+#: Dropped documents, of 16 bytes, that may be broadcast.
+SMALL_LIST = 500_000
+_ID, _TIE = "__corpus_pipeline_id", "__corpus_pipeline_tie"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,19 +31,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id; of rows that repeat both id and text, one.
-
-    A row without id stays only where its group has no id at all.
-    """
-    found = persist(near_dup.near_duplicates(docs), "groups")
-    dropped = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias(_GONE)).distinct()
-    small = dropped.count() <= SMALL_LIST
-    kept = docs.join(F.broadcast(dropped) if small else dropped, F.col("doc_id").eqNullSafe(F.col(_GONE)), "left_anti")
-    repeated = found.where("n_similar > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(_GONE))
+    """One document of each group of near duplicates: that of the least id, or, where none has an id, of the least hash of its
+    text; of rows that repeat both id and text, one."""
+    named = docs.withColumn(_ID, F.col("doc_id").cast("long")).withColumn(_TIE, F.xxhash64("text"))
+    found = persist(near_dup.groups(named.select(F.col(_ID).alias("id"), F.col(_TIE).alias("tie"), "text")), "groups").where("n_similar > 0")
+
+    def chosen(rows: DataFrame, how: str) -> DataFrame:
+        rows = rows.select("id", "tie").distinct()
+        near = F.broadcast(rows) if rows.count() <= SMALL_LIST else rows
+        return named.join(near, named[_ID].eqNullSafe(near["id"]) & (named[_TIE] == near["tie"]), how)
+
+    first = "(id <=> keep.id and tie = keep.tie)"
+    kept = chosen(found.where(f"not {first}"), "left_anti")
+    repeated = persist(found.where(first).groupBy("id", "tie").count().where("count > 1").select("id", "tie"), "repeated")
     if not repeated.isEmpty():
-        same = F.col("doc_id").eqNullSafe(F.col(_GONE))
-        again = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, same, "left_anti").unionByName(again)
+        again = chosen(repeated, "left_semi").dropDuplicates([_ID, _TIE])
+        kept = kept.join(repeated, kept[_ID].eqNullSafe(repeated["id"]) & (kept[_TIE] == repeated["tie"]), "left_anti").unionByName(again)
     return kept.select(*docs.columns)
 
 
@@ -53,7 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bin and place of every piece of every document."""
-    return packing.pack(packing.text_items(docs))
+    return packing.pack(packing.text_items(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 STAGES = [

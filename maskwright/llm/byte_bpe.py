@@ -1,11 +1,11 @@
 """Operator 7: byte-level BPE encoding and decoding by overlapping chunks.
 
-A text of up to ``chunk`` code points is encoded where it is. A longer one is cut into chunks of that
-length, each with an overlap into the next, which are pre-tokenised in parallel, each from its own
-arbitrary start. Where a boundary of one chunk falls on a boundary of the next inside the overlap,
-both agree from there on, as the pattern only looks ahead; there the text is cut, and the pieces are
-encoded in parallel. A chunk that never resynchronises stays in the piece before it. Decoding
-concatenates the raw bytes of the ids.
+A text is cut into chunks of ``chunk`` code points, each with an overlap into the next, which are pre-tokenised in
+parallel, each from its own arbitrary start. Where a boundary of one chunk falls on a boundary of the
+next inside the overlap, both agree from there on, as the pattern only looks ahead; there the text is cut, and the
+pieces are encoded in parallel. Where chunks don't resynchronise, as within one very long token, the text is
+followed from the last sure boundary until it meets a later chunk's. Decoding concatenates the raw bytes of the ids.
+A text of one chunk is one piece, and is encoded where it is.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import tune
+from .shared import lean, persist, tune
 
-CHUNK = 65536
-OVERLAP = 512
+CHUNK = 4096
+OVERLAP = 256
 #: The last code points of a window, whose boundaries may be due to the window's end.
 UNSURE = 8
 
@@ -49,19 +49,26 @@ def boundaries(window: str) -> np.ndarray:
     return starts[starts < len(window) - UNSURE]
 
 
-def stitch(chunks: list[tuple[int, list[int], list[int]]], chunk: int) -> list[int]:
-    """Cuts of a text from its chunks (number, boundaries in the first part, boundaries past the chunk).
+def stitch(text: str, chunks: list[tuple[int, list[int], list[int]]], chunk: int) -> list[int]:
+    """Cuts of a text from its chunks (number, boundaries in the overlap with the chunk before, boundaries past the chunk).
 
-    A chunk is trusted from where its boundaries meet those of a trusted chunk before it; without
-    such a place it, and whatever follows, stays uncut until a trusted chunk is at hand again: none is.
+    A chunk is trusted from where its boundaries meet those of a trusted chunk before it. Without such a place the
+    text is matched on from the last sure boundary until one falls on a boundary of a later chunk's head.
     """
-    cuts, trusted = [0], True
-    ordered = sorted(chunks)
-    for (_, _, tail), (k, head, _) in zip(ordered, ordered[1:]):
-        meet = sorted({t - chunk for t in tail} & set(head)) if trusted else []
-        trusted = bool(meet)
-        if meet:
-            cuts.append(k * chunk + meet[0])
+    chunks = sorted(chunks)
+    cuts, k = [0], 1
+    heads = [set(head) for _, head, _ in chunks]
+    while k < len(chunks):
+        meet = min((t for t in chunks[k - 1][2] if t - chunk in heads[k]), default=None)
+        if meet is not None:
+            cuts.append(meet + (k - 1) * chunk)
+            k += 1
+            continue
+        sure = next((m.start() for m in _pattern().finditer(text, cuts[-1]) if m.start() >= k * chunk and m.start() % chunk in heads[m.start() // chunk]), None)
+        if sure is None:
+            break
+        cuts.append(sure)
+        k = sure // chunk + 1
     return cuts
 
 
@@ -85,15 +92,18 @@ def _digests(ids: pa.Array, encoded: list[np.ndarray], path: str) -> pa.RecordBa
 
 
 def encode_long(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
-    """(doc_id, key, ids binary) of texts longer than a chunk, worked on in parallel chunks."""
+    """(key, k, ids binary) of texts (key, text) longer than a chunk, worked on in parallel chunks."""
 
     def pre_tokenise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [boundaries(w) for w in frame["window"]]
             yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "head": [b[b < overlap] for b in found], "tail": [b[b >= chunk] for b in found]})
 
-    def cut(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": [key[0]], "cuts": [stitch(list(zip(frame["k"], frame["head"], frame["tail"])), chunk)]})
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, text, chunks in zip(frame["key"], frame["text"], frame["chunks"]):
+                cuts = stitch(text, [(c["k"], c["head"], c["tail"]) for c in chunks], chunk)
+                yield pd.DataFrame({"key": key, "k": range(len(cuts)), "piece": [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]})
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -103,15 +113,12 @@ def encode_long(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFra
         "key",
         F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk)), lambda k: F.substring("text", k * chunk + 1, F.lit(chunk + overlap)))).alias("k", "window"),
     )
-    cuts = (
-        windows.repartition("key", "k").mapInPandas(pre_tokenise, "key string, k int, head array<long>, tail array<long>")
-        .groupBy("key").applyInPandas(cut, "key string, cuts array<long>")
-    )
-    ends = F.concat(F.slice("cuts", F.lit(2), F.size("cuts")), F.array(F.length("text").cast("long")))
-    pieces = long.join(cuts, "key").select(
-        "key", F.posexplode(F.transform(F.arrays_zip("cuts", ends.alias("ends")), lambda x: F.substring("text", x["cuts"] + 1, x["ends"] - x["cuts"]))).alias("k", "piece")
+    chunks = (
+        windows.repartition("key", "k").mapInPandas(lean(pre_tokenise), "key string, k int, head array<int>, tail array<int>")
+        .groupBy("key").agg(F.collect_list(F.struct("k", "head", "tail")).alias("chunks"))
     )
-    return pieces.repartition("key", "k").mapInPandas(encode, "key string, k int, ids binary")
+    pieces = long.join(chunks, "key").mapInPandas(lean(cut), "key string, k int, piece string")
+    return pieces.repartition("key", "k").mapInPandas(lean(encode), "key string, k int, ids binary")
 
 
 def byte_bpe(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -131,13 +138,15 @@ def byte_bpe(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVER
             found = [digest(np.frombuffer(b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["k"])), "<u4"), path) for parts in frame["parts"]]
             yield pd.DataFrame({"key": frame["key"], "n_tokens": [x[0] for x in found], "ids_sha256": [x[1] for x in found], "decoded_sha256": [x[2] for x in found]})
 
-    short = docs.where(f"coalesce(length(text), 0) <= {chunk}").mapInArrow(encode, RESULT)
+    short = docs.where(f"coalesce(length(text), 0) <= {chunk}").mapInArrow(lean(encode), RESULT)
+    # Equal texts are encoded once.
     rows = docs.where(f"length(text) > {chunk}").withColumn("key", F.sha2("text", 256))
-    long = rows.select("key", "text").dropDuplicates(["key"])
+    long = persist(rows.select("key", "text").dropDuplicates(["key"]), "long")
     whole = encode_long(long, path, chunk, overlap).groupBy("key").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
-    digests = whole.mapInPandas(finish, "key string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    digests = whole.mapInPandas(lean(finish), "key string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return short.unionByName(rows.select("doc_id", "key").join(digests, "key").drop("key"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over documents; see byte_bpe."""
     return byte_bpe(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

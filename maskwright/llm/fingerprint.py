@@ -5,8 +5,9 @@ paragraphs: the order of paragraphs doesn't matter, equal multisets have equal
 sums, and a paragraph is inserted or deleted by adding or subtracting its vector. The vector has two parts:
 
 * DENSE lanes modulo 2 ** 64, all bits from one cryptographic hash of the paragraph, for equality;
-* SKETCH lanes modulo 2 ** 16, in which each word pair of the paragraph (each byte triple of a short one) adds 1 or -1 to one lane, for likeness:
-  read as signed numbers they estimate the cosine of two documents' bags of word pairs.
+* SKETCH lanes modulo 2 ** 32, in which each word pair and each byte triple of the paragraph adds or takes a weight at one lane, for likeness:
+  read as signed numbers they estimate the cosine of two documents' bags of those. A short paragraph has few words, so its triples
+  weigh more; by eighths, as it grows to BLEND bytes, its pairs take over.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import reducers, tune, whole_groups
+from .shared import lean, reducers, tune, whole_groups
 from .textvec import bigram_hashes, mix64, slices, utf8_parts, word_hashes
 
 DENSE = 8
 SKETCH = 128
-#: Bytes of a line up to which its sketch is made of byte triples, not of word pairs.
-SHORT = 80
-WIDTH = DENSE * 8 + SKETCH * 2
+#: Bytes from which a line's word pairs alone count, with all of WEIGHT.
+BLEND = 128
+WEIGHT = 8
+WIDTH = DENSE * 8 + SKETCH * 4
 
 
 def sketches(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -40,19 +42,18 @@ def sketches(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         hashes, _, bounds = word_hashes(part, lines, fold_case=False)
         pairs, bounds = bigram_hashes(hashes, bounds)
         row = np.repeat(np.searchsorted(at, lines[:-1], side="right") - 1, np.diff(bounds))
-        # A short line has few words, so its bytes in threes count instead.
         size = np.diff(lines) - (part[np.maximum(lines[1:] - 1, 0)] == 10 if len(part) else 0)
-        small = size <= SHORT
-        many = np.repeat(small, np.diff(bounds))
-        place = np.arange(len(part)) - np.repeat(lines[:-1], np.diff(lines))
-        letter = place < np.repeat(np.where(small, size - 2, 0), np.diff(lines))
-        i = np.flatnonzero(letter)
+        weight = np.minimum(size * WEIGHT // BLEND, WEIGHT)
+        heavy = np.repeat(weight, np.diff(bounds))
+        small = np.flatnonzero((weight < WEIGHT) & (size > 2))
+        i = np.arange(int((size[small] - 2).sum())) - np.repeat(np.cumsum(size[small] - 2) - (size[small] - 2) - lines[:-1][small], size[small] - 2)
         threes = mix64(part[i].astype(np.uint64) << np.uint64(16) | part[i + 1].astype(np.uint64) << np.uint64(8) | part[i + 2])
-        pairs = np.concatenate([pairs[~many], threes])
-        row = np.concatenate([row[~many], np.searchsorted(at, i, side="right") - 1])
+        heavy = np.concatenate([heavy, np.repeat(WEIGHT - weight[small], size[small] - 2)])
+        pairs = np.concatenate([pairs, threes])
+        row = np.concatenate([row, np.searchsorted(at, i, side="right") - 1])
         lane = row * SKETCH + (pairs >> np.uint64(8)).astype(np.int64) % SKETCH
         sign = ((pairs & np.uint64(1)).astype(np.int64) << 1) - 1
-        out[a:b] = np.bincount(lane, weights=sign, minlength=(b - a) * SKETCH).astype(np.int64).reshape(b - a, SKETCH)
+        out[a:b] = np.bincount(lane, weights=sign * heavy, minlength=(b - a) * SKETCH).astype(np.int64).reshape(b - a, SKETCH)
     return out
 
 
@@ -94,12 +95,12 @@ class Fingerprint:
 
 
 def _hex(lanes: np.ndarray, counts: np.ndarray) -> str:
-    return (lanes.astype("<u8").tobytes() + (counts & 0xFFFF).astype("<u2").tobytes()).hex()
+    return (lanes.astype("<u8").tobytes() + (counts & 0xFFFFFFFF).astype("<u4").tobytes()).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Cosine of the signed sketch lanes, in 0..1, row by row; 1 where the fingerprints are the same."""
-    a, b = ((x.astype(np.int64) + 0x8000 & 0xFFFF).astype(np.float64) - 0x8000 for x in (a, b))
+    a, b = ((x.astype(np.int64) + (1 << 31) & 0xFFFFFFFF).astype(np.float64) - (1 << 31) for x in (a, b))
     norm = np.sqrt((a * a).sum(1) * (b * b).sum(1))
     cosine = (a * b).sum(1) / np.where(norm > 0, norm, 1)
     return np.where(same, 1.0, np.clip(cosine, 0.0, 1.0))
@@ -107,7 +108,7 @@ def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 def likeness_hex(a: str, b: str) -> float:
     """Likeness of two fingerprints as strings."""
-    x, y = (np.frombuffer(bytes.fromhex(v)[8 * DENSE :], "<u2")[None, :] for v in (a, b))
+    x, y = (np.frombuffer(bytes.fromhex(v)[8 * DENSE :], "<u4")[None, :] for v in (a, b))
     return float(likeness(x, y, np.array([a == b]))[0])
 
 
@@ -131,7 +132,7 @@ def _describe(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
         for group in (part, changed):
             column = pa.array(group, pa.large_string())
             raw, offsets = utf8_parts(column)
-            counts = sketches(raw, offsets) & 0xFFFF
+            counts = sketches(raw, offsets) & 0xFFFFFFFF
             whole = raw.tobytes()
             cut = offsets.tolist()
             lanes = [dense(whole[i:j]) for i, j in zip(cut, cut[1:])]
@@ -218,8 +219,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield from _describe([d if k else None for k, d, _ in own], [t for _, _, t in own] + [min(tails)[2]])
 
     schema = "part int, tail int, ids array<long>, sizes array<long>, blob binary"
-    return docs.mapInArrow(ship, schema).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(describe, RESULT)
+    return docs.mapInArrow(lean(ship), schema).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(describe), RESULT)
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 over documents; see fingerprints."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -19,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from .shared import hash_limit, tune
+from .shared import hash_limit, lean, tune
 
 #: Letters of reference text per language: the bound of the training sample.
 REFERENCE = 16384
 BLOCK = 256
+#: Entries, of 4 bytes, of a parse table in memory.
+DENSE = 1 << 23
 UNKNOWN = "und"
 
 
@@ -57,16 +59,34 @@ def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
     return moves
 
 
-def parse_table(symbols: np.ndarray, alphabet: int) -> np.ndarray:
+@dataclass
+class SparseTable:
+    """The moves of a parse table that don't fail, by ascending place; others follow from the letter."""
+
+    keys: np.ndarray
+    moves: np.ndarray
+    restart: np.ndarray
+
+    def next(self, row: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        place = row + letter
+        at = np.minimum(np.searchsorted(self.keys, place), len(self.keys) - 1)
+        return np.where(self.keys[at] == place, self.moves[at], self.restart[letter] + (row != 0))
+
+
+def parse_table(symbols: np.ndarray, alphabet: int, dense: int = DENSE) -> np.ndarray | SparseTable:
     """The greedy parse as a flat table: entry = (row of the next state << 2) | phrases ended by the move.
 
-    A failing letter ends the phrase and begins the next; a letter that the reference lacks is a phrase."""
+    A failing letter ends the phrase and begins the next; a letter that the reference lacks is a phrase. A table of more
+    than ``dense`` entries, as of a script of thousands of letters, is kept sparse."""
     moves = suffix_automaton(symbols)
     restart = np.ones(alphabet, np.int64)
     for c, to in moves[0].items():
         restart[c] = (to * alphabet) << 2
-    # One table in memory: a language of many letters has a wide one.
-    table = np.empty((len(moves), alphabet), np.int32 if len(moves) * alphabet < 1 << 29 else np.int64)
+    if len(moves) * alphabet > dense:
+        known = sorted((state * alphabet + c, (to * alphabet) << 2) for state, out in enumerate(moves) for c, to in out.items())
+        keys, to = np.array(known, np.int64).reshape(-1, 2).T
+        return SparseTable(np.ascontiguousarray(keys), np.ascontiguousarray(to), restart)
+    table = np.empty((len(moves), alphabet), np.int32)
     table[0] = restart
     table[1:] = restart + 1
     for state, out in enumerate(moves):
@@ -82,7 +102,7 @@ class LanguageModel:
 
     languages: list[str]
     symbol: np.ndarray
-    tables: list[np.ndarray]
+    tables: list[np.ndarray | SparseTable]
     bits: np.ndarray
     own: list[np.ndarray]
 
@@ -119,11 +139,12 @@ class LanguageModel:
         alive = np.searchsorted(-length, -np.arange(1, width + 1), side="right")
         letters = [symbols[begin[: alive[t]] + t].astype(np.int32) for t in range(width)]
         for j, (table, own) in enumerate(zip(self.tables, self.own)):
-            state = np.zeros(len(rows), table.dtype)
+            sparse = isinstance(table, SparseTable)
+            state = np.zeros(len(rows), np.int64 if sparse else table.dtype)
             count = np.zeros(len(rows), np.int32)
             for t in range(width):
                 n = alive[t]
-                move = table[(state[:n] >> 2) + own[letters[t]]]
+                move = table.next(state[:n] >> 2, own[letters[t]]) if sparse else table[(state[:n] >> 2) + own[letters[t]]]
                 count[:n] += move & 3
                 state[:n] = move
             count += (state >> 2) != 0
@@ -191,17 +212,17 @@ def reference_texts(docs: DataFrame, reference: int = REFERENCE) -> dict[str, st
     """Per language the texts of the labelled rows that come first in hash order, until ``reference`` code points are
     there. Rows whose remainder is 2 are held out. What reaches the driver is bounded by ``reference`` a language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != 2)).select(
-        "lang", "text", F.xxhash64(F.col("doc_id"), F.lit(7)).alias("turn")
+        "lang", "text", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(7)).alias("turn")
     )
-    # A bounded number of rows a language: those under a hash threshold set from its count.
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).collect()
+    # A bounded number of rows a language: those under a hash threshold set from its count. Rows that repeat id and text count once.
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("turn").alias("rows"), F.avg(F.length("text")).alias("chars")).collect()
     if not counts:
         return {}
     most = {}
     for row in counts:
-        most[row["lang"]] = hash_limit(4 * reference / max(1, row["chars"]) + 32 / row["rows"])
+        most[row["lang"]] = hash_limit(4 * reference / max(1, row["chars"] * row["rows"]) + 32 / max(1, row["rows"]))
     top = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
-    drawn = labelled.where(F.col("turn") <= top[F.col("lang")]).select("lang", "turn", F.substring("text", 1, reference).alias("text"))
+    drawn = labelled.where(F.col("turn") <= top[F.col("lang")]).select("lang", "turn", F.substring("text", 1, reference).alias("text")).dropDuplicates(["lang", "turn"])
     order = W.partitionBy("lang").orderBy("turn", "text")
     wanted = (
         drawn.withColumn("before", F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -234,10 +255,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             names, scores = shared.value.predict(batch.column(where).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over documents: doc_id, held_out, lang_pred, score; see identify."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(reference_texts(docs))
     return identify(docs.select("doc_id", "text", (remainder() == 2).alias("held_out")), model).drop("text")

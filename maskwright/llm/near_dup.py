@@ -33,6 +33,26 @@ def shingle_units(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield ids.slice(a, b - a), ties.slice(a, b - a), np.zeros(b - a, np.int32), hashes, bounds
 
 
+def groups(docs: DataFrame, spec: Similarity = NEAR) -> DataFrame:
+    """(id, tie, n, n_similar, component_id, keep) for every row of ``docs`` (id long, tie long, text): see near_duplicates. keep: id and
+    tie of the component's first document, rows without id being last; null where nothing is linked."""
+    known, classes, links = similar_classes(docs, shingle_units, spec)
+    totals = links.groupBy("sig").agg(F.sum("links").alias("links"))
+    roots = connected_components(links.select(F.col("sig").alias("u"), F.col("root").alias("v")))
+    full = (
+        classes.where("n > 0")
+        .join(roots.withColumnRenamed("vertex", "sig"), "sig", "left")
+        .join(totals, "sig", "left")
+        .select("sig", "weight", "least_id", "keep", F.coalesce("root", "sig").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    )
+    least = full.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("keep").alias("keep"))
+    facts = full.drop("keep").join(least, "root").select("sig", (F.col("weight") - 1 + F.col("links")).alias("n_similar"), "component_id", "keep")
+    linked = facts.where("n_similar > 0")
+    return known.join(linked, "sig", "left").select(
+        "id", "tie", "n", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "id").alias("component_id"), "keep"
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Similarity = NEAR) -> DataFrame:
     """(doc_id, n_shingles, n_similar, component_id) for every row of ``docs``.
 
@@ -43,25 +63,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is taken over its non-null ids. Further columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("tie"), F.col(text_col).alias("text"))
-    known, classes, links = similar_classes(docs, shingle_units, spec)
-    totals = links.groupBy("sig").agg(F.sum("links").alias("links"))
-    roots = connected_components(links.select(F.col("sig").alias("u"), F.col("root").alias("v")))
-    full = (
-        classes.where(f"n >= {spec.least}")
-        .join(roots.withColumnRenamed("vertex", "sig"), "sig", "left")
-        .join(totals, "sig", "left")
-        .select("sig", "weight", "least_id", F.coalesce("root", "sig").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
-    least = full.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    facts = full.join(least, "root").select("sig", (F.col("weight") - 1 + F.col("links")).alias("n_similar"), "component_id")
-    linked = facts.where("n_similar > 0 or component_id is null")
-    return known.join(linked, "sig", "left").select(
-        F.col("id").alias("doc_id"),
-        F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
-        F.coalesce("component_id", "id").alias("component_id"),
-    )
+    return groups(docs, spec).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "n_similar", "component_id")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over documents; see near_duplicates."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,13 +1,14 @@
 """Operator 10: conflict-constrained best-fit packing.
 
-Pieces of documents go into bins of fixed capacity, longest first, each into the tightest bin that takes
+Pieces of documents, measured in tokens, go into bins of fixed capacity, longest first, each into the tightest bin that takes
 it. A bin takes at most one piece of a source and one of a duplicate cluster: it carries a bitmap of each,
 and the search goes on through the bins in order of residual room until one is compatible. Bins that
 lack a frequent source or cluster are kept in an order of their own, so that a source with a third of all rows
 doesn't make the search step over every bin that has it.
 
-Rows are dealt by a hash of their id into groups of about GROUP rows, packed independently: the
-work of a task is bounded, and a source or cluster of any size is spread over all groups.
+Rows are dealt by a hash of their id and cluster into groups of about GROUP rows, packed independently; rows that repeat both
+more than REPEATED times are dealt by their place in the table. So the work of a task is bounded, and a source or
+cluster of any size is spread over all groups.
 """
 
 from __future__ import annotations
@@ -15,11 +16,20 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 
+from collections.abc import Iterator
+
 import pandas as pd
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CAPACITY = 8192
+from .byte_bpe import encode_texts
+from .shared import lean, persist, tune
+
+#: Tokens of a bin.
+CAPACITY = 2048
 GROUP = 20000
+REPEATED = 64
 #: Share of a group from which a source or cluster has an order of bins of its own.
 FREQUENT = 0.1
 _LOW = (1 << 32) - 1
@@ -119,9 +129,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     (doc_id, length long, source string, cluster long); see pack_group.
 
     A null length counts as 0; a row of length 0 takes a place without room. Repeated rows are packed each. An
-    empty table gives no rows.
+    empty table gives no rows. Further columns are ignored.
     """
-    groups = max(1, -(-items.count() // group))
+    keyed = items.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length"),
+        F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"), F.monotonically_increasing_id().alias("place"),
+    )
+    # Written, so that a row's place in the table is the same whenever it is read.
+    rows = persist(keyed.withColumn("turn", F.xxhash64("doc_id", "cluster", F.lit(3))), "items")
+    groups = max(1, -(-rows.count() // group))
+    heavy = rows.groupBy("turn").count().where(F.col("count") > REPEATED).select("turn", F.lit(True).alias("heavy"))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows = [
@@ -133,18 +150,26 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    dealt = items.select(
-        F.pmod(F.xxhash64("doc_id", "cluster", F.lit(3)), F.lit(groups)).alias("part"),
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length"),
-        F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"),
-    )
+    turn = F.when(F.col("heavy"), F.xxhash64("turn", "place")).otherwise(F.col("turn"))
+    dealt = rows.join(heavy, "turn", "left").select(F.pmod(turn, F.lit(groups)).alias("part"), "doc_id", "length", "source", "cluster")
     return dealt.groupBy("part").applyInPandas(run, RESULT)
 
 
-def text_items(docs: DataFrame) -> DataFrame:
-    """Documents as items: their length in UTF-8 bytes, and equal texts as one cluster."""
-    return docs.select("doc_id", F.octet_length("text").cast("long").alias("length"), "source", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("cluster"))
+def text_items(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, length, source, cluster) of documents: their length in tokens of the byte-level vocabulary at ``path``, and equal texts as
+    one cluster. A null text has no tokens and no cluster."""
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pa.array([len(x) for x in encode_texts(batch.column(1).to_pylist(), path)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, batch.column(2), batch.column(3)], ["doc_id", "length", "source", "cluster"])
+
+    cluster = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), cluster.alias("cluster"))
+    return texts.mapInArrow(lean(run), "doc_id long, length long, source string, cluster long")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(text_items(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Operator 10 over documents: places of pieces in bins of CAPACITY tokens; see pack."""
+    return pack(text_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken")))

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import hash_limit, tune
+from .shared import hash_limit, lean, persist, tune
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -105,7 +105,7 @@ class Graph:
 
 def _shape(token: str) -> str:
     out = []
-    for c in token[:24]:
+    for c in token:
         k = "9" if c.isdigit() else "a" if c.isalpha() else c
         if len(out) < 2 or out[-1] != k or out[-2] != k:
             out.append(k)
@@ -286,24 +286,26 @@ def learn_field(docs: DataFrame, sample: int = SAMPLE, drawn: int = DRAWN) -> Fi
     and labels, and counts of label pairs, reach the driver."""
     total = docs.count()
     share = hash_limit(drawn / max(1, total))
-    rows = docs.where(F.col("text").isNotNull() & (F.xxhash64(F.col("doc_id"), F.lit(5)) <= share) & F.col("text").rlike("[0-9@]")).select("doc_id", "text")
+    turn = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(5))
+    # Rows that repeat id and text count once.
+    rows = docs.where(F.col("text").isNotNull() & (turn <= share) & F.col("text").rlike("[0-9@]")).groupBy(turn.alias("row")).agg(F.first("text").alias("text"))
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = np.zeros((2, len(LABELS), len(LABELS)), np.int64)
         for frame in frames:
             out = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+            for row, text in zip(frame["row"], frame["text"]):
                 g = graph(text, base_spans(text))
                 label = np.maximum(g.observed, 0)
                 for k, edges in enumerate((g.chain, g.skip)):
                     np.add.at(pairs[k], (label[edges[:, 0]], label[edges[:, 1]]), 1)
                 for k, f in enumerate(g.features):
-                    turn = hashlib.blake2b(f"{doc_id}:{k}".encode(), digest_size=6).digest()
+                    turn = hashlib.blake2b(f"{row}:{k}".encode(), digest_size=6).digest()
                     out.append((int.from_bytes(turn, "big"), list(f), int(label[k])))
             yield pd.DataFrame(out, columns=["turn", "features", "label"])
         yield pd.DataFrame({"turn": [-1], "features": [[str(v) for v in pairs.reshape(-1)]], "label": [0]})
 
-    found = rows.mapInPandas(tokens, "turn long, features array<string>, label int")
+    found = persist(rows.mapInPandas(lean(tokens), "turn long, features array<string>, label int"), "tokens")
     counts = found.where("turn = -1").select(F.posexplode("features").alias("k", "n")).groupBy("k").agg(F.sum(F.col("n").cast("long")).alias("n")).collect()
     pairs = np.zeros(2 * len(LABELS) ** 2)
     for k, n in counts:
@@ -369,7 +371,7 @@ def find_personal_data(docs: DataFrame, field: Field) -> DataFrame:
             added = pa.array([len(spans) - len(base) for base, spans in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, shas, every, added], [c.split()[0] for c in RESULT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), RESULT)
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -405,9 +407,10 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
                 columns[size] = pa.array([None if t is None else len(t) for t in new], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over documents; see find_personal_data."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return find_personal_data(docs, learn_field(docs))

@@ -736,7 +736,7 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
 
     ``docs`` has long columns ``id`` and ``tie`` and whatever ``units`` reads. Returns
     (units: id, tie, sub, n, sig), (classes: sig, weight, first_id, first_tie, first_sub, n, least_id, null being first but not
-    least), and (links: sig, links, earlier, root): for every class with a link the number of units in other classes
+    least, keep: the first document, null last), and (links: sig, links, earlier, root): for every class with a link the number of units in other classes
     linked with it, whether one of those comes before it (by first_id, first_tie, first_sub), and edges (sig, root)
     that connect linked classes. A class may have several rows of links, one per task it took part in.
     """
@@ -764,8 +764,8 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
     comps = connected_components(_candidates(keys, spec, buckets))
     classes = (
         known.groupBy("sig")
-        .agg(F.count("*").alias("weight"), F.min(F.struct("id", "tie", "sub")).alias("f"), F.first("n").alias("n"), F.min("id").alias("least_id"))
-        .select("sig", "weight", F.col("f.id").alias("first_id"), F.col("f.tie").alias("first_tie"), F.col("f.sub").alias("first_sub"), "n", "least_id")
+        .agg(F.count("*").alias("weight"), F.min(F.struct("id", "tie", "sub")).alias("f"), F.first("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "tie")).alias("keep"))
+        .select("sig", "weight", F.col("f.id").alias("first_id"), F.col("f.tie").alias("first_tie"), F.col("f.sub").alias("first_sub"), "n", "least_id", "keep")
     )
     members = persist(comps.join(classes, F.col("vertex") == F.col("sig")).select("root", "sig", "weight", "first_id", "first_tie", "first_sub", "n"), "members")
     # A component that is too large for one task is cut by size band, and a band by hash. Partners' sizes differ by less than

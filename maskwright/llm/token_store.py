@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
-from .shared import fresh_path, persist, reducers, tune
+from .shared import fresh_path, lean, persist, reducers, tune
 
 MAGIC = b"MWTOKENS"
 BLOCK = 4096
@@ -235,7 +235,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> DataFrame:
         .select("doc_id", "text")
     )
     # One row a file, so a single ordered window over them is small whatever the corpus.
-    manifest = persist(ordered.mapInArrow(write, "part int, file string, n_docs long, n_ids long"), "manifest")
+    manifest = persist(ordered.mapInArrow(lean(write), "part int, file string, n_docs long, n_ids long"), "manifest")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -271,6 +271,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over documents: written, then read back; see write_tokens and read_tokens."""
     folder = fresh_path(spark, "tokens")
     manifest = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), folder)
     return read_tokens(manifest, folder)

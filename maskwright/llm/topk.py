@@ -161,4 +161,5 @@ def top_k(vectors: DataFrame, divisor: int, k: int = K) -> DataFrame:
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over embeddings, with the rows whose vec_id is divisible by 50 as queries; see top_k."""
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 50)

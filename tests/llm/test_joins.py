@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from maskwright.llm import components, line_dedup, near_dup, packing, setjoin, topk
+from maskwright.llm import byte_bpe, components, line_dedup, near_dup, packing, setjoin, topk
 
 from . import cases
 
@@ -259,25 +260,35 @@ def test_packing_equals_brute_force():
 
 def test_packing_of_messy_rows(spark):
     docs = cases.docs(spark)
-    got = packing.pack(packing.text_items(docs), 1000, 5).collect()
+    items = packing.text_items(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    got = packing.pack(items, 1000, 5).collect()
     lengths = collections.Counter()
     for r in got:
         lengths[r.doc_id] += r.length
         assert 0 <= r.offset and r.offset + r.length <= 1000
     want = collections.Counter()
     for r in cases.rows():
-        want[r[0]] += len((r[1] or "").encode())
+        want[r[0]] += len(byte_bpe.encode_texts([r[1]], public_tokenizers.path("byte_bpe_50k.tiktoken"))[0])
     assert lengths == want
     room = collections.defaultdict(list)
     for r in got:
         room[r.bin_id].append((r.offset, r.offset + r.length))
     assert all(a[1] <= b[0] for spans in room.values() for a, b in itertools.pairwise(sorted(spans)))
-    assert packing.pack(packing.text_items(cases.empty(spark))).count() == 0
+    assert packing.pack(packing.text_items(cases.empty(spark), public_tokenizers.path("byte_bpe_50k.tiktoken"))).count() == 0
     # One document of a source a bin: all rows but one are of source "s".
     sources = collections.Counter(r.bin_id for r in got if r.length < 1000 and r.doc_id != 3)
     assert max(sources.values()) == 1
 
 
+def test_packing_spreads_repeated_rows(spark):
+    # 500 rows of null id and one text, in groups of about 50: no group gets many more.
+    same = spark.createDataFrame([(None, 10, "s", 1)] * 500 + [(k, 10, None, None) for k in range(500)], "doc_id long, length long, source string, cluster long").repartition(4)
+    got = packing.pack(same, 100, 50).collect()
+    sizes = collections.Counter(r.bin_id >> 32 for r in got)
+    assert len(got) == 1000 and len(sizes) == 20 and max(sizes.values()) < 100
+    assert max(collections.Counter(r.bin_id for r in got if r.doc_id is None).values()) == 1
+
+
 def brute_top(rows, divisor, k):
     def usable(v):
         return v and all(x is not None and np.isfinite(x) for x in v)

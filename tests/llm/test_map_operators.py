@@ -39,6 +39,20 @@ def test_fingerprint_is_a_multiset_hash(lines, rng):
     assert fingerprint.likeness_hex(fingerprint.Fingerprint("a b").hex(), fingerprint.Fingerprint("a b").hex()) == 1
 
 
+def test_likeness_has_no_step_in_length():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    for size in range(3, 200, 3):
+        line = ""
+        while len(line) < size:
+            line += " " * bool(line) + rng.choice(words)
+        more = line + " os"
+        other = " ".join(rng.choices(words, k=len(line.split())))
+        near, far = (fingerprint.likeness_hex(fingerprint.Fingerprint(line).hex(), fingerprint.Fingerprint(x).hex()) for x in (more, other))
+        assert len(line) < 12 or near > 0.8
+        assert near > far or line == other
+
+
 def test_fingerprints(spark):
     rows = sorted(((r[0], r[1] or "") for r in cases.rows()), key=lambda r: (r[0], r[1]))
     want = []
@@ -129,6 +143,31 @@ def test_languages_of_many_scripts():
     assert names == list(words) and min(scores) > 0.9
 
 
+def test_sparse_and_dense_tables_agree():
+    rng = np.random.default_rng(1)
+    model = lang_id.learn({"a": "abcab cabba accb", "b": "ccc abd dbd"})
+    for name in range(2):
+        reference = rng.integers(0, 6, size=300)
+        dense, sparse = (lang_id.parse_table(reference, 7, d) for d in (1 << 20, 0))
+        text, bounds = rng.integers(0, 7, size=900), np.array([0, 10, 10, 400, 900])
+        model.own[name] = np.arange(7, dtype=np.int32)
+        counts = []
+        for table in (dense, sparse):
+            model.tables[name] = table
+            counts.append(lang_id.LanguageModel(["x"], model.symbol, [table], np.ones(1), [model.own[name]]).phrases(text, bounds)[:, 0].tolist())
+        assert counts[0] == counts[1]
+
+
+def test_rows_without_ids_are_learned_from(spark):
+    rows = [(None, "the quick brown fox number %d" % k, "en") for k in range(40)] + [(None, "le renard brun saute %d fois" % k, "fr") for k in range(40)]
+    rows += [(None, "the same text again", "en")] * 4000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = lang_id.reference_texts(docs)
+    assert set(texts) == {"en", "fr"} and "quick" in texts["en"] and texts["en"].count("again") == 1
+    field = pii_crf.learn_field(spark.createDataFrame([(None, f"mail a{k}@b.org now {k}") for k in range(50)], "doc_id long, text string"))
+    assert len(field.vocabulary) > 5
+
+
 def test_language_of_messy_rows(spark):
     model = lang_id.learn({"en": "the quick brown fox jumps over the lazy dog " * 20, "xx": "zzz qqq kkk " * 50})
     got = lang_id.identify(cases.docs(spark), model).select("doc_id", "lang_pred", "score").collect()
@@ -277,7 +316,25 @@ def test_stitched_cuts_are_token_boundaries(text):
         b = byte_bpe.boundaries(text[k * chunk : k * chunk + chunk + overlap])
         parts.append((k, b[b < overlap].tolist(), b[b >= chunk].tolist()))
     true = {m.start() for m in byte_bpe._pattern().finditer(text)}
-    assert set(byte_bpe.stitch(parts, chunk)) <= true
+    assert set(byte_bpe.stitch(text, parts, chunk)) <= true
+
+
+def test_trust_returns_after_a_long_token(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(["alpha", "it's", "12", "b,"]) for _ in range(n))
+    text = prose(3000) + "z" * 30000 + prose(4000) + " " * 9000 + prose(2000)
+    chunk, overlap = 1000, 60
+    parts = []
+    for k in range(-(-len(text) // chunk)):
+        b = byte_bpe.boundaries(text[k * chunk : k * chunk + chunk + overlap])
+        parts.append((k, b[b < overlap].tolist(), b[b >= chunk].tolist()))
+    cuts = byte_bpe.stitch(text, parts, chunk)
+    assert set(cuts) <= {m.start() for m in byte_bpe._pattern().finditer(text)}
+    lengths = sorted(b - a for a, b in zip(cuts, [*cuts[1:], len(text)]))
+    assert lengths[-1] < 33000 and lengths[-2] < 12000 and lengths[-3] < 3 * chunk
+    ids = np.array(byte_bpe.encoding(RANKS).encode_ordinary(text), "<u4")
+    got = byte_bpe.byte_bpe(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS, chunk, overlap).first()
+    assert (got.n_tokens, got.ids_sha256) == (len(ids), sha(ids.tobytes()))
 
 
 # -- 8 ---------------------------------------------------------------------------------------------------------------
