@@ -8,11 +8,12 @@ five distributed steps:
 2. count     (parity sketches only) keys go to hash buckets, packed 48 bits each; a bucket counts how often
              each occurs and returns those that occur more than once. Hot keys are left out: they rank last.
 3. publish   per set the rarest keys that the threshold makes necessary go out, with their places.
-4. unite     per bucket, sets that share a key and pass the length and positional filters are
-             united; only a spanning forest leaves the task, never all pairs. A hot key is a vertex of
-             the candidate graph, so its list is never gathered.
+4. unite     per bucket, sets that share a key and pass the length, positional and sketch filters are
+             united; only a spanning forest leaves the task, never all pairs. With parity sketches, pairs that a short
+             sketch doesn't show to be alike go out singly, and stay if the Hamming distance of
+             their whole sketches allows a link. A hot key is a vertex of the candidate graph, so its list is never gathered.
 5. verify    the sets of one candidate component meet in tasks of bounded size, where Hamming distances of bit
-             sketches rule pairs out (parity sketches only) and exact intersection counts settle the rest.
+             sketches rule sets out (parity sketches only) and exact intersection counts settle the rest.
 
 Keys are either the tokens themselves (prefix filter) or the blocks of parity sketches, see ``parity_blocks``.
 
@@ -50,6 +51,8 @@ FLUSH = 1_000_000
 HOT_FLOOR = 1 << 16
 HOT_TIMES = 64
 PAIRS_AT_ONCE = 2_000_000
+#: Bits of the short sketches that travel with keys.
+SKETCH_BITS = 128
 CHAIN_FROM = 4096
 
 
@@ -137,7 +140,7 @@ def bands(n: np.ndarray) -> np.ndarray:
 
 def block_bits(band: np.ndarray) -> np.ndarray:
     """log2 of the number of a sketch's blocks by size band; 44, that is, a block for each token, in the lowest bands."""
-    return np.where(band < 3, 44, np.where(band == 3, 9, 2 * band + 2))
+    return np.where(band < 3, 44, 2 * band + 3)
 
 
 def full_blocks(n: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -208,12 +211,12 @@ def parity_blocks(spec: Similarity, hashes: np.ndarray, bounds: np.ndarray) -> B
     return Blocks(row, own, np.where(size > 0, filled - np.maximum(equal, 1) + 1, 0), keys, np.concatenate([[0], np.cumsum(filled)]))
 
 
-PROFILE = "id long, tie long, sub int, n int, sig long, slice int, payload binary"
+PROFILE = "id long, tie long, sub int, n int, sig long, sketch binary, slice int, payload binary"
 
 
 def profile(docs: DataFrame, units: Units, spec: Similarity) -> DataFrame:
-    """Rows of two kinds, written to the shared folder: the units (id, tie, sub, n, sig) and slices
-    of the key counts."""
+    """Rows of two kinds, written to the shared folder: the units (id, tie, sub, n, sig, and with parity sketches the whole bit
+    sketch) and slices of the key counts."""
     bits = spec.bits
 
     @lean
@@ -228,13 +231,14 @@ def profile(docs: DataFrame, units: Units, spec: Similarity) -> DataFrame:
                 np.add.at(table, (keys >> _U(64 - bits)).astype(np.int64), 1)
                 k = len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, ties, pa.array(subs, pa.int32()), pa.array(n, pa.int32()), pa.array(signatures(hashes, bounds).view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names
+                    [ids, ties, pa.array(subs, pa.int32()), pa.array(n, pa.int32()), pa.array(signatures(hashes, bounds).view(np.int64)),
+                     pa.array(whole_sketches(hashes, bounds), pa.binary()) if spec.parity else pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names
                 )
         packed = list(hashtable.pack_counts(table))
         if packed:
             k = len(packed)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array([s for s, _ in packed], pa.int32()), pa.array([p for _, p in packed], pa.binary())],
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([s for s, _ in packed], pa.int32()), pa.array([p for _, p in packed], pa.binary())],
                 names,
             )
 
@@ -299,7 +303,7 @@ def _blocks(docs: DataFrame, units: Units, spec: Similarity, hot, buckets: int)
     bits = spec.bits
 
     def pack(parts: list[tuple[np.ndarray, ...]], task: int, loads: Iterator[int]) -> Iterator[pa.RecordBatch]:
-        sigs, sizes, cells, needs, keys = (np.concatenate(x) for x in zip(*parts))
+        sigs, sizes, cells, needs, short_, keys = (np.concatenate(x) for x in zip(*parts))
         filled = (cells >> 1).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(filled)])
         for first in range(0, len(sigs), 65536):
@@ -309,7 +313,7 @@ def _blocks(docs: DataFrame, units: Units, spec: Similarity, hot, buckets: int)
             owner = np.repeat(np.arange(len(sig)), full)
             load = (task << 32) | next(loads)
             warm = hot.value[(hashes >> _U(64 - bits)).astype(np.int64)]
-            listing = _join(sig, sizes[at].astype(np.uint32), cells[at].astype(np.uint32), needs[at].astype(np.uint32), np.bincount(owner[warm], minlength=len(sig)).astype(np.uint32), hashes[warm])
+            listing = _join(sig, sizes[at].astype(np.uint32), cells[at].astype(np.uint32), needs[at].astype(np.uint32), np.bincount(owner[warm], minlength=len(sig)).astype(np.uint32), hashes[warm], short_[at].reshape(-1))
             hashes, owner = hashes[~warm], owner[~warm]
             bucket = _bucket(hashes, buckets)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
@@ -341,7 +345,7 @@ def _blocks(docs: DataFrame, units: Units, spec: Similarity, hot, buckets: int)
                 if not len(found.row):
                     continue
                 cells = np.diff(found.ends) << 1 | found.own
-                held.append((sig[fresh][found.row], np.diff(bounds)[found.row], cells, found.need, found.keys))
+                held.append((sig[fresh][found.row], np.diff(bounds)[found.row], cells, found.need, parity_sketches(hashes, bounds)[found.row], found.keys))
                 size += len(found.keys)
                 if size >= FLUSH:
                     yield from pack(held, task, loads)
@@ -399,7 +403,8 @@ def _keys(counted: DataFrame, buckets: int) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "load"):
-            names, n, cells, needs, hot_n, hots = _split(next(x for x in group.column("listing").to_pylist() if x is not None), ["u8", "u4", "u4", "u4", "u4", "u8"])
+            names, n, cells, needs, hot_n, hots, sketch = _split(next(x for x in group.column("listing").to_pylist() if x is not None), ["u8", "u4", "u4", "u4", "u4", "u8", "u8"])
+            sketch = sketch.reshape(-1, 2)
             filled = (cells >> 1).astype(np.int64)
             keys, owner, code = (np.concatenate([np.frombuffer(b, kind) for b in group.column(c).to_pylist()]) for c, kind in (("keys", "u4"), ("owners", "u2"), ("codes", "u1")))
             counts = [len(b) for b in group.column("codes").to_pylist()]
@@ -423,21 +428,22 @@ def _keys(counted: DataFrame, buckets: int) -> DataFrame:
                 if rows[-1] < 0:
                     blobs.append(_join(names[at], token[a:b]))
                 else:
-                    blobs.append(_join(names[at], n[at], token[a:b].astype(np.uint32), place[a:b].astype(np.uint32), cells[at]))
+                    blobs.append(_join(names[at], n[at], token[a:b].astype(np.uint32), place[a:b].astype(np.uint32), sketch[at].reshape(-1), cells[at]))
             if rows:
                 yield _rows(rows, blobs, "bucket")
 
     return counted.repartition(buckets, "load").sortWithinPartitions("load").mapInArrow(run, "bucket int, blob binary")
 
 
-def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (signature of the root, of the member) that unite all candidates of a bucket."""
-    # With parity sketches the last is the number of filled blocks, doubled, and one if the band is the set's own; else a short sketch.
-    kinds = ["u8", "u4", "u4", "u4", "u4" if spec.parity else "u8"]
-    sig, n, token, place, last = (np.concatenate(x) for x in zip(*(_split(b, kinds) for b in blobs)))
+def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
+    """Star edges (signature of the root, of the member) that unite the candidates of a bucket, and pairs (signature, signature) of
+    those that only their whole sketches can judge."""
+    # With parity sketches the last is the number of filled blocks, doubled, and one if the band is the set's own.
+    kinds = ["u8", "u4", "u4", "u4", "u8", *["u4"] * spec.parity]
+    sig, n, token, place, sketch, *cells = (np.concatenate(x) for x in zip(*(_split(b, kinds) for b in blobs)))
     sig, first, owner = np.unique(sig, return_index=True, return_inverse=True)
-    sketch = None if spec.parity else last.reshape(-1, 2)[first]
-    cells = last.astype(np.int64) if spec.parity else np.zeros(len(token), np.int64)
+    sketch = sketch.reshape(-1, 2)[first]
+    cells = cells[0].astype(np.int64) if cells else np.zeros(len(token), np.int64)
     key, n, place = token.astype(np.uint64) << _U(32), n.astype(np.int64), place.astype(np.int64)
     # A set that came from several map tasks counts once.
     order = np.lexsort((owner, key))
@@ -464,6 +470,7 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray
     left = (filled if spec.parity else n) - place
     total = np.cumsum(reach)
     start = 0
+    weak: list[np.ndarray] = []
     while start < len(reach):
         stop = int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right"))
         stop = max(stop, start + 1)
@@ -472,23 +479,28 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, np.ndarray
         a = np.repeat(low[start:stop] - (np.cumsum(r) - r), r) + np.arange(len(b))
         apart = label[owner[a]] != label[owner[b]]
         a, b = a[apart], b[apart]
+        both = n[a] + n[b]
         if spec.parity:
             # The first key that both have leaves room for as many equal blocks as there must be.
-            good = np.minimum(left[a], left[b]) >= np.maximum(1, np.maximum(filled[a], filled[b]) - spec.differ(n[a] + n[b]))
+            good = np.minimum(left[a], left[b]) >= np.maximum(1, np.maximum(filled[a], filled[b]) - spec.differ(both))
         else:
-            good = spec.enough(np.minimum(left[a], left[b]), n[a] + n[b])
-            a, b = a[good], b[good]
-            differ = np.bitwise_count(sketch[owner[a]] ^ sketch[owner[b]]).sum(1).astype(np.int64)
-            both = n[a] + n[b]
-            # The overlap is half of what remains of both sizes once the difference is taken off.
-            good = (both - differ) * (spec.den + spec.num) >= 2 * spec.num * both
-        unite(label, owner[a[good]], owner[b[good]])
+            good = spec.enough(np.minimum(left[a], left[b]), both)
+        a, b, both = owner[a[good]], owner[b[good]], both[good]
+        apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1).astype(np.int64)
+        good = apart <= spec.differ(both)
+        if spec.parity:
+            # Sets that have nothing in common differ in about so many bits; half of that is no chance.
+            likely = 4 * apart <= SKETCH_BITS * (1 - np.exp(-2 * both / SKETCH_BITS))
+            weak.append(np.stack([a, b], 1)[good & ~likely])
+            good &= likely
+        unite(label, a[good], b[good])
         start = stop
     member = np.flatnonzero(label != np.arange(len(sig)))
-    return sig[label[member]], sig[member]
+    left_over = np.concatenate(weak) if weak else np.zeros((0, 2), np.int64)
+    left_over = np.unique(left_over[label[left_over[:, 0]] != label[left_over[:, 1]]], axis=0)
+    return sig[label[member]], sig[member], sig[left_over[:, 0]], sig[left_over[:, 1]]
 
 
-SKETCH_BITS = 128
 #: Rows of candidates, of about 60 bytes, that may be broadcast.
 SMALL_LIST = 200_000
 
@@ -502,6 +514,48 @@ def parity_sketches(hashes: np.ndarray, bounds: np.ndarray, bits: int = SKETCH_B
     return np.packbits(odd).view(np.uint64).reshape(rows, bits // 64)
 
 
+def whole_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Per set a parity sketch of at least two bits a token, 128 at the least."""
+    n = np.diff(bounds)
+    bits = 1 << np.maximum(7, np.frexp(np.maximum(2 * n - 1, 1).astype(np.float64))[1].astype(np.int64))
+    out: list[bytes] = [b""] * len(n)
+    for size in np.unique(bits).tolist():
+        rows = np.flatnonzero(bits == size)
+        for a in range(0, len(rows), max(1, (1 << 22) // size)):
+            some = rows[a : a + max(1, (1 << 22) // size)]
+            picked = np.zeros(len(n), bool)
+            picked[some] = True
+            made = parity_sketches(*_take_rows(hashes, bounds, picked), size)
+            for k, row in zip(some.tolist(), made):
+                out[k] = row.tobytes()
+    return out
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Distance of two sketches; the longer is folded to the length of the shorter, as a bit's place is a remainder."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _within_reach(pairs: DataFrame, sketches: DataFrame, spec: Similarity) -> DataFrame:
+    """The pairs (u, v) whose sketches differ in no more bits than linked sets differ in tokens."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.array([hamming(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], np.int64)
+            both = batch.column(4).to_numpy()
+            yield batch.filter(pa.array(apart <= spec.differ(both))).select(["u", "v"])
+
+    side = lambda x: sketches.select(F.col("sig").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("n").cast("long").alias(f"{x}_n"))
+    joined = pairs.join(side("u"), "u").join(side("v"), "v")
+    return joined.select("u", "v", "u_sketch", "v_sketch", (F.col("u_n") + F.col("v_n")).alias("both")).mapInArrow(run, "u long, v long")
+
+
 def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int) -> DataFrame:
     """(bucket, blob) as _keys gives it, with sketches, ranking tokens by the count table (code 255: hot). A token alone in
     its cell is alone in the corpus and isn't published."""
@@ -556,7 +610,7 @@ def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int
 
 
 def _candidates(keys: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
-    """Edges (u, v) between signatures that unite all candidate pairs."""
+    """Edges (u, v, weak) between signatures that unite all candidate pairs; a weak one is a pair to be judged yet."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,15 +620,17 @@ def _candidates(keys: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
                 # Hot tokens: each is a vertex of its own, so that no list is gathered.
                 for blob in blobs:
                     sig, token = _split(blob, ["u8", "u8"])
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(mix64(token ^ _U(0xB5297A4D)).view(np.int64))], ["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(mix64(token ^ _U(0xB5297A4D)).view(np.int64)), pa.array(np.zeros(len(sig), bool))], ["u", "v", "weak"])
                 continue
-            root, member = forest(blobs, spec)
-            if len(root):
-                yield pa.RecordBatch.from_arrays([pa.array(root.view(np.int64)), pa.array(member.view(np.int64))], ["u", "v"])
+            root, member, one, other = forest(blobs, spec)
+            u, v = np.concatenate([root, one]).view(np.int64), np.concatenate([member, other]).view(np.int64)
+            for a in range(0, len(u), 1 << 16):
+                at = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(v[at]), pa.array(np.arange(len(u))[at] >= len(root))], ["u", "v", "weak"])
 
     spread = F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket").cast("long"))
     placed = keys.withColumn("at", spread).repartition(buckets, "at").sortWithinPartitions("bucket").select("bucket", "blob")
-    return placed.mapInArrow(run, "u long, v long")
+    return placed.mapInArrow(run, "u long, v long, weak boolean")
 
 
 def _marks(keys: np.ndarray) -> np.ndarray:
@@ -761,7 +817,14 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
         codes[hot] = 255
         keys = _publish(docs, units, spec, share(codes), buckets)
     del table
-    comps = connected_components(_candidates(keys, spec, buckets))
+    edges = _candidates(keys, spec, buckets)
+    if spec.parity:
+        found = persist(edges, "candidates")
+        weak = persist(found.where("weak").select("u", "v").distinct(), "weak")
+        ends = weak.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+        sketches = persist(profiled.where("slice is null").select("sig", "n", "sketch").join(ends, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+        edges = found.where("not weak").select("u", "v").unionByName(_within_reach(weak, sketches, spec))
+    comps = connected_components(edges.select("u", "v"))
     classes = (
         known.groupBy("sig")
         .agg(F.count("*").alias("weight"), F.min(F.struct("id", "tie", "sub")).alias("f"), F.first("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "tie")).alias("keep"))

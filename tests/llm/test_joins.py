@@ -120,6 +120,16 @@ def test_blocks_filled_at_least():
         assert (np.diff(spare) >= -1).all() and (setjoin.full_blocks(n, bits) > n // 2).all()
 
 
+def test_whole_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 64, 65, 200, 3000):
+        a, b = near_pair(rng, n, n * 5 // 3)
+        hashes, bounds = setjoin.distinct_sets(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        one, other = setjoin.whole_sketches(hashes, bounds)
+        assert setjoin.hamming(one, other) == setjoin.hamming(other, one) <= len(np.setxor1d(a, b))
+        assert len(other) * 8 >= 2 * len(b)
+
+
 def test_near_rows_keep_links():
     rng = np.random.default_rng(2)
     sets = [s for _ in range(20) for s in near_pair(rng, int(rng.integers(3, 400)), 400)[:2] if len(s)]
@@ -336,7 +346,7 @@ def test_long_lists_lose_no_candidates(monkeypatch, seed):
     left = sizes.astype(int) - place
     sig = np.arange(1, len(sizes) + 1, dtype=np.uint64)
     root = {int(x): int(x) for x in sig}
-    for r, m in zip(*setjoin.forest([setjoin._join(sig, sizes, token, place, np.zeros(2 * len(sig), np.uint64))], spec)):
+    for r, m in zip(*setjoin.forest([setjoin._join(sig, sizes, token, place, np.zeros(2 * len(sig), np.uint64))], spec)[:2]):
         root[int(m)] = int(r)
     for a, b in itertools.combinations(range(len(sizes)), 2):
         least, most = sorted((int(sizes[a]), int(sizes[b])))
