@@ -1,11 +1,11 @@
 """Operator 7: byte-level BPE encoding and decoding by overlapping chunks.
 
 A text is cut into chunks of ``chunk`` code points, each with an overlap into the next, which are pre-tokenised in
-parallel, each from its own arbitrary start. Where a boundary of one chunk falls on a boundary of the
-next inside the overlap, both agree from there on, as the pattern only looks ahead; there the text is cut, and the
-pieces are encoded in parallel. Where chunks don't resynchronise, as within one very long token, the text is
-followed from the last sure boundary until it meets a later chunk's. Decoding concatenates the raw bytes of the ids.
-A text of one chunk is one piece, and is encoded where it is.
+parallel, each from its own arbitrary start, and encoded between its boundaries. Where a boundary of one chunk falls on a
+boundary of the next inside the overlap, both agree from there on, as the pattern only looks ahead; there the ids
+of the one end and those of the next begin. Where chunks don't resynchronise, as within one very long token,
+the text itself is followed from the last sure boundary until it meets a later chunk's, cut there, and its pieces
+are encoded in parallel. Decoding concatenates the raw bytes of the ids. A text of one chunk is encoded where it is.
 """
 
 from __future__ import annotations
@@ -77,6 +77,30 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     return [np.array(enc.encode_ordinary(t), "<u4") if t else np.zeros(0, "<u4") for t in texts]
 
 
+def encode_window(window: str, chunk: int, overlap: int, path: str) -> tuple[list[int], list[int], np.ndarray]:
+    """(marks, places, ids) of a chunk with its overlap: the boundaries in the overlap with the chunk before and in that with the next,
+    and where in the ids each of them is. What lies between the overlaps is encoded at one go."""
+    found = boundaries(window)
+    marks = found[(found < overlap) | (found >= chunk)].tolist()
+    ids = encode_texts([window[a:b] for a, b in zip(marks, [*marks[1:], len(window)])], path)
+    return marks, np.cumsum([0, *map(len, ids)])[: len(marks)].tolist(), np.concatenate(ids) if ids else np.zeros(0, "<u4")
+
+
+def stitch_ids(chunks: list[tuple[int, list[int], list[int], bytes]], chunk: int) -> np.ndarray | None:
+    """The ids of a text from its chunks (number, marks, places, ids); None if two chunks don't resynchronise."""
+    out, begin = [], 0
+    chunks = sorted(chunks, key=lambda c: c[0])
+    for (_, marks, places, ids), (_, next_marks, next_places, _) in zip(chunks, chunks[1:]):
+        heads = dict(zip(next_marks, next_places))
+        meet = next(((place, heads[mark - chunk]) for mark, place in zip(marks, places) if mark >= chunk and mark - chunk in heads), None)
+        if meet is None:
+            return None
+        out.append(np.frombuffer(ids, "<u4")[begin : meet[0]])
+        begin = meet[1]
+    out.append(np.frombuffer(chunks[-1][3], "<u4")[begin:])
+    return np.concatenate(out)
+
+
 def digest(ids: np.ndarray, path: str) -> tuple[int, str, str]:
     """(number of ids, their SHA-256, the SHA-256 of the bytes they decode to)."""
     decoded = encoding(path).decode_bytes(ids.tolist()) if len(ids) else b""
@@ -91,8 +115,14 @@ def _digests(ids: pa.Array, encoded: list[np.ndarray], path: str) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def encode_long(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
-    """(key, k, ids binary) of texts (key, text) longer than a chunk, worked on in parallel chunks."""
+def _windows(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(key, k, window) of the chunks of (key, text), spread over tasks; the chunks of equal texts are the same and come once."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk)), lambda k: F.substring("text", k * chunk + 1, F.lit(chunk + overlap)))
+    return long.select("key", F.posexplode(parts).alias("k", "window")).groupBy("key", "k").agg(F.first("window").alias("window"))
+
+
+def follow_long(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+    """(key, k, ids binary) of texts (key, text) whose chunks don't all resynchronise, in pieces."""
 
     def pre_tokenise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -109,15 +139,9 @@ def encode_long(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFra
         for frame in frames:
             yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "ids": [x.tobytes() for x in encode_texts(list(frame["piece"]), path)]})
 
-    windows = long.select(
-        "key",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk)), lambda k: F.substring("text", k * chunk + 1, F.lit(chunk + overlap)))).alias("k", "window"),
-    )
-    chunks = (
-        windows.repartition("key", "k").mapInPandas(lean(pre_tokenise), "key string, k int, head array<int>, tail array<int>")
-        .groupBy("key").agg(F.collect_list(F.struct("k", "head", "tail")).alias("chunks"))
-    )
-    pieces = long.join(chunks, "key").mapInPandas(lean(cut), "key string, k int, piece string")
+    found = _windows(long, chunk, overlap).mapInPandas(lean(pre_tokenise), "key string, k int, head array<int>, tail array<int>")
+    chunks = found.groupBy("key").agg(F.collect_list(F.struct("k", "head", "tail")).alias("chunks"))
+    pieces = long.dropDuplicates(["key"]).join(chunks, "key").mapInPandas(lean(cut), "key string, k int, piece string")
     return pieces.repartition("key", "k").mapInPandas(lean(encode), "key string, k int, ids binary")
 
 
@@ -133,17 +157,35 @@ def byte_bpe(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVER
         for batch in batches:
             yield _digests(batch.column(0), encode_texts(batch.column(1).to_pylist(), path), path)
 
+    def encode_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            marks, places, ids = zip(*(encode_window(w, chunk, overlap, path) for w in frame["window"])) if len(frame) else ((), (), ())
+            yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "marks": marks, "places": places, "ids": [x.tobytes() for x in ids]})
+
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [digest(np.frombuffer(b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["k"])), "<u4"), path) for parts in frame["parts"]]
-            yield pd.DataFrame({"key": frame["key"], "n_tokens": [x[0] for x in found], "ids_sha256": [x[1] for x in found], "decoded_sha256": [x[2] for x in found]})
+            for key, parts in zip(frame["key"], frame["parts"]):
+                ids = stitch_ids([(p["k"], p["marks"], p["places"], p["ids"]) for p in parts], chunk)
+                n, a, b = (None, None, None) if ids is None else digest(ids, path)
+                yield pd.DataFrame({"key": [key], "n_tokens": pd.array([n], "Int64"), "ids_sha256": [a], "decoded_sha256": [b]})
+
+    def finish_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, parts in zip(frame["key"], frame["parts"]):
+                n, a, b = digest(np.frombuffer(b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["k"])), "<u4"), path)
+                yield pd.DataFrame({"key": [key], "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b]})
 
+    schema = "key string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     short = docs.where(f"coalesce(length(text), 0) <= {chunk}").mapInArrow(lean(encode), RESULT)
-    # Equal texts are encoded once.
     rows = docs.where(f"length(text) > {chunk}").withColumn("key", F.sha2("text", 256))
-    long = persist(rows.select("key", "text").dropDuplicates(["key"]), "long")
-    whole = encode_long(long, path, chunk, overlap).groupBy("key").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
-    digests = whole.mapInPandas(lean(finish), "key string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    chunks = _windows(rows, chunk, overlap).mapInPandas(lean(encode_chunks), "key string, k int, marks array<int>, places array<int>, ids binary")
+    whole = chunks.groupBy("key").agg(F.collect_list(F.struct("k", "marks", "places", "ids")).alias("parts"))
+    digests = persist(whole.mapInPandas(lean(finish), schema), "digests")
+    apart = digests.where("n_tokens is null").select("key")
+    if not apart.isEmpty():
+        pieces = follow_long(rows.join(apart, "key", "left_semi").select("key", "text"), path, chunk, overlap)
+        followed = pieces.groupBy("key").agg(F.collect_list(F.struct("k", "ids")).alias("parts")).mapInPandas(lean(finish_pieces), schema)
+        digests = digests.where("n_tokens is not null").unionByName(followed)
     return short.unionByName(rows.select("doc_id", "key").join(digests, "key").drop("key"))
 
 
