@@ -86,8 +86,8 @@ def encode_window(window: str, chunk: int, overlap: int, path: str) -> tuple[lis
     return marks, np.cumsum([0, *map(len, ids)])[: len(marks)].tolist(), np.concatenate(ids) if ids else np.zeros(0, "<u4")
 
 
-def stitch_ids(chunks: list[tuple[int, list[int], list[int], bytes]], chunk: int) -> np.ndarray | None:
-    """The ids of a text from its chunks (number, marks, places, ids); None if two chunks don't resynchronise."""
+def stitch_ids(chunks: list[tuple[int, list[int], list[int], bytes]], chunk: int, kind: str = "<u4") -> np.ndarray | None:
+    """The ids of a text from its chunks (number, marks, places, ids as numbers of ``kind``); None if two chunks don't resynchronise."""
     out, begin = [], 0
     chunks = sorted(chunks, key=lambda c: c[0])
     for (_, marks, places, ids), (_, next_marks, next_places, _) in zip(chunks, chunks[1:]):
@@ -95,10 +95,10 @@ def stitch_ids(chunks: list[tuple[int, list[int], list[int], bytes]], chunk: int
         meet = next(((place, heads[mark - chunk]) for mark, place in zip(marks, places) if mark >= chunk and mark - chunk in heads), None)
         if meet is None:
             return None
-        out.append(np.frombuffer(ids, "<u4")[begin : meet[0]])
+        out.append(np.frombuffer(ids, kind)[begin : meet[0]])
         begin = meet[1]
-    out.append(np.frombuffer(chunks[-1][3], "<u4")[begin:])
-    return np.concatenate(out)
+    out.append(np.frombuffer(chunks[-1][3], kind)[begin:])
+    return np.concatenate(out).astype("<u4")
 
 
 def digest(ids: np.ndarray, path: str) -> tuple[int, str, str]:
@@ -152,6 +152,8 @@ def byte_bpe(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVER
     """
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Ids travel in two bytes if the vocabulary allows it.
+    kind = "<u2" if encoding(path).max_token_value < 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,12 +162,12 @@ def byte_bpe(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVER
     def encode_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             marks, places, ids = zip(*(encode_window(w, chunk, overlap, path) for w in frame["window"])) if len(frame) else ((), (), ())
-            yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "marks": marks, "places": places, "ids": [x.tobytes() for x in ids]})
+            yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "marks": marks, "places": places, "ids": [x.astype(kind).tobytes() for x in ids]})
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for key, parts in zip(frame["key"], frame["parts"]):
-                ids = stitch_ids([(p["k"], p["marks"], p["places"], p["ids"]) for p in parts], chunk)
+                ids = stitch_ids([(p["k"], p["marks"], p["places"], p["ids"]) for p in parts], chunk, kind)
                 n, a, b = (None, None, None) if ids is None else digest(ids, path)
                 yield pd.DataFrame({"key": [key], "n_tokens": pd.array([n], "Int64"), "ids_sha256": [a], "decoded_sha256": [b]})
 
