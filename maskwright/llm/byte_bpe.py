@@ -154,6 +154,8 @@ def byte_bpe(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVER
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Ids travel in two bytes if the vocabulary allows it.
     kind = "<u2" if encoding(path).max_token_value < 1 << 16 else "<u4"
+    # A window has at most four ids a code point.
+    small = "<u2" if 4 * (chunk + overlap) < 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,12 +164,13 @@ def byte_bpe(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVER
     def encode_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             marks, places, ids = zip(*(encode_window(w, chunk, overlap, path) for w in frame["window"])) if len(frame) else ((), (), ())
+            marks, places = ([np.array(x, small).tobytes() for x in y] for y in (marks, places))
             yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "marks": marks, "places": places, "ids": [x.astype(kind).tobytes() for x in ids]})
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for key, parts in zip(frame["key"], frame["parts"]):
-                ids = stitch_ids([(p["k"], p["marks"], p["places"], p["ids"]) for p in parts], chunk, kind)
+                ids = stitch_ids([(p["k"], np.frombuffer(p["marks"], small).tolist(), np.frombuffer(p["places"], small).tolist(), p["ids"]) for p in parts], chunk, kind)
                 n, a, b = (None, None, None) if ids is None else digest(ids, path)
                 yield pd.DataFrame({"key": [key], "n_tokens": pd.array([n], "Int64"), "ids_sha256": [a], "decoded_sha256": [b]})
 
@@ -180,7 +183,7 @@ def byte_bpe(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVER
     schema = "key string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     short = docs.where(f"coalesce(length(text), 0) <= {chunk}").mapInArrow(lean(encode), RESULT)
     rows = docs.where(f"length(text) > {chunk}").withColumn("key", F.sha2("text", 256))
-    chunks = _windows(rows, chunk, overlap).mapInPandas(lean(encode_chunks), "key string, k int, marks array<int>, places array<int>, ids binary")
+    chunks = _windows(rows, chunk, overlap).mapInPandas(lean(encode_chunks), "key string, k int, marks binary, places binary, ids binary")
     whole = chunks.groupBy("key").agg(F.collect_list(F.struct("k", "marks", "places", "ids")).alias("parts"))
     digests = persist(whole.mapInPandas(lean(finish), schema), "digests")
     apart = digests.where("n_tokens is null").select("key")
