@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Patterns of the ``pattern`` emission source, ASCII classes only so that every regex engine agrees.
 PATTERNS = {
@@ -12,6 +12,17 @@ PATTERNS = {
     "card_number": r"[0-9]{16}",
 }
 
+#: The same for the JVM's engine. A run of an address's characters is tried once, from its start or where the last match ended.
+_JVM = PATTERNS | {"email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"}
+
+#: White space as text runtimes know it: ASCII (with vertical tab), no-break and typographic spaces, separators, byte order mark.
+WHITE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def trim_unicode(text: Column) -> Column:
+    """Without Unicode white space at either end."""
+    return F.regexp_replace(F.regexp_replace(text, f"^{WHITE}+", ""), f"{WHITE}++$", "")
+
 
 def placeholder(label: Column) -> Column:
     """<LABEL>: upper case, each run of other characters one underscore, none at the end."""
@@ -58,8 +69,8 @@ def trim_ascii(text: Column) -> Column:
 
 
 def snippet(text: Column, limit: int = 200) -> Column:
-    """White space flattened, cut at ``limit`` code points with an ellipsis."""
-    flat = F.regexp_replace(text, r"[ \t\n\r\f]+", " ")
+    """Runs of Unicode white space made one space, cut at ``limit`` code points with an ellipsis."""
+    flat = F.regexp_replace(text, WHITE + "+", " ")
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("…"))).otherwise(flat)
 
 
@@ -68,24 +79,44 @@ def span_key(span: Column) -> Column:
     return F.concat(span["label"], F.lit("@"), span["byte_start"].cast("string"), F.lit(".."), span["byte_end"].cast("string"))
 
 
+def masked_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with column masked, the text as mask_patterns gives it, the number of each pattern's matches under its name, and
+    their sum as hits.
+
+    Each step works on the value that the step before it made, held in an array of one element, so none is evaluated twice."""
+    value = F.col(text)
+    held = F.array(F.struct(value.alias("masked"), *[F.lit(0).cast("long").alias(k) for k in [*PATTERNS, "hits"]]))
+
+    def step(label: str, pattern: str):
+        def change(s: Column) -> Column:
+            found = F.regexp_count(s["masked"], F.lit(pattern)).cast("long")
+            return F.struct(found.alias("found"), s.alias("s"))
+
+        def put(x: Column) -> Column:
+            s, found = x["s"], x["found"]
+            new = F.when(found > 0, F.regexp_replace(s["masked"], pattern, f"<{label.upper()}>")).otherwise(s["masked"])
+            return F.struct(new.alias("masked"), *[(found if k == label else s[k]).alias(k) for k in PATTERNS], (s["hits"] + found).alias("hits"))
+
+        return change, put
+
+    for label, pattern in _JVM.items():
+        change, put = step(label, pattern)
+        held = F.transform(F.transform(held, change), put)
+    # Most texts hold neither a digit nor an at sign and skip the patterns.
+    out = df.withColumn("__steps", F.when(value.rlike("[0-9@]"), held[0]))
+    counts = {k: F.coalesce(F.col("__steps")[k], F.lit(0).cast("long")) for k in [*PATTERNS, "hits"]}
+    return out.withColumns({"masked": F.coalesce(F.col("__steps")["masked"], value), **counts}).drop("__steps")
+
+
 def mask_patterns(text: Column) -> Column:
     """Every pattern's matches replaced by its placeholder, in the order of PATTERNS."""
     out = text
-    for label, pattern in PATTERNS.items():
+    for label, pattern in _JVM.items():
         out = F.regexp_replace(out, pattern, f"<{label.upper()}>")
     # Most texts hold neither a digit nor an at sign and skip the patterns.
     return F.when(text.rlike("[0-9@]"), out).otherwise(text)
 
 
-def pattern_count(text: Column, label: str) -> Column:
-    """Matches of one pattern after the earlier ones were replaced."""
-    for name, pattern in PATTERNS.items():
-        if name == label:
-            return F.when(text.rlike("[0-9@]"), F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("long")
-        text = F.regexp_replace(text, pattern, f"<{name.upper()}>")
-    raise ValueError(f"no pattern {label!r}")
-
-
 def redact(text: Column, spans: Column) -> Column:
     """Spans of array<struct<label, byte_start, byte_end, ...>> replaced by placeholders, left to right.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -61,7 +63,7 @@ def joined(path: str | F.Column) -> F.Column:
     return F.array_join(F.transform(path, lambda x: x.cast("string")), ",")
 
 
-# -- pattern source ---------------------------------------------------------------------------------------------
+# Pattern source
 
 
 def redact_documents(spark, d):
@@ -77,11 +79,11 @@ def redact_pages(spark, d):
 
 
 def _counts(df: DataFrame) -> DataFrame:
-    return df.select("*", *[T.pattern_count(F.col("text"), k).alias(k) for k in T.PATTERNS])
+    return T.masked_counts(df)
 
 
 def _any() -> F.Column:
-    return sum((F.col(k) for k in T.PATTERNS), F.lit(0)) > 0
+    return F.col("hits") > 0
 
 
 def check_documents(spark, d):
@@ -102,7 +104,7 @@ def pii_report_by_lang_rollup(spark, d):
 
 def pii_examples_topn(spark, d):
     rows = _counts(table(spark, d, "documents").select("doc_id", "source", "text")).where(_any())
-    return report.first_examples(rows.withColumn("spans", F.array(F.lit(1))), "source", ["doc_id"], 3).select("source", "rank", "doc_id", F.md5(T.mask_patterns(F.col("text"))).alias("redacted_md5"))
+    return report.first_examples(rows.withColumn("spans", F.array(F.lit(1))), "source", ["doc_id"], 3).select("source", "rank", "doc_id", F.md5("masked").alias("redacted_md5"))
 
 
 def span_lines(spark, d):
@@ -112,7 +114,7 @@ def span_lines(spark, d):
     return found.select("doc_id", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), F.col("text").alias("card"))
 
 
-# -- scans and filters --------------------------------------------------------------------------------------------
+# Scans and filters
 
 
 def byte_length_filter(spark, d):
@@ -143,7 +145,7 @@ def event_scan(spark, d):
     return e.where((F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")) & F.col("event_type").contains("c") & (F.col("props") != "")).select("event_id", "event_type", F.substring("props", 1, 12).alias("message"))
 
 
-# -- labels and decoders ------------------------------------------------------------------------------------------
+# Labels and decoders
 
 
 def label_space(spark, d):
@@ -215,17 +217,13 @@ def overlap_per_label(spark, d):
     return _intervals(spark, d).select("g", F.explode(S.drop_overlaps_per_label(F.col("spans"))).alias("s")).select("g", "s.label", "s.byte_start", "s.byte_end")
 
 
-# -- text functions ----------------------------------------------------------------------------------------------
-
-
-def _piece() -> F.Column:
-    """A slice of the text that begins and ends at white space more often than not."""
-    return F.substring("text", F.instr("text", " "), F.lit(20))
+# Text functions
 
 
 def trim_ascii(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", _piece().alias("p"))
-    return docs.select("doc_id", T.trim_start(F.col("p")).cast("long").alias("lead"), T.trim_ascii(F.col("p")).alias("trimmed"))
+    """Every whole text from its first space on, trimmed."""
+    docs = table(spark, d, "documents").select("doc_id", F.expr("substring(text, instr(text, ' '))").alias("p"))
+    return docs.select("doc_id", T.trim_start(F.col("p")).cast("long").alias("lead"), F.md5(T.trim_ascii(F.col("p"))).alias("trimmed_md5"))
 
 
 def char_to_byte(spark, d):
@@ -248,13 +246,15 @@ def snippets(spark, d):
 
 
 def redact_spans(spark, d):
-    """Every document with bytes 0..4 and, where it is long enough, 10..20 replaced, if on character boundaries."""
-    docs = table(spark, d, "documents").where("octet_length(text) > 40 and text rlike '^[ -~]{40}'")
-    spans = F.expr("array(named_struct('label', 'first part', 'byte_start', 0, 'byte_end', 4), named_struct('label', 'b', 'byte_start', 10, 'byte_end', 20))")
+    """Every document with its characters 0..4 and 10..20, as far as it has them, replaced by way of their byte offsets."""
+    docs = table(spark, d, "documents")
+    at = lambda k: T.byte_offset(F.col("text"), F.lit(k)).cast("int")
+    span = lambda label, a, b: F.struct(F.lit(label).alias("label"), at(a).alias("byte_start"), at(b).alias("byte_end"))
+    spans = F.array(span("first part", 0, 4), span("b", 10, 20))
     return docs.select("doc_id", F.md5(T.redact(F.col("text"), spans)).alias("redacted_md5"))
 
 
-# -- agreement and reports ---------------------------------------------------------------------------------------
+# Agreement and reports
 
 
 def _differences(spark, d) -> DataFrame:
@@ -290,7 +290,7 @@ def stage_shares(spark, d):
     return found.select("event_type", "calls", "total", F.round("per_call", 4).alias("per_call"), F.round("share", 6).alias("share"))
 
 
-# -- protocol ----------------------------------------------------------------------------------------------------
+# Protocol
 
 
 def _requests(spark, d) -> DataFrame:
@@ -320,18 +320,21 @@ def jsonl_replies(spark, d):
 
 
 def stream_redact(spark, d):
-    """The documents as a file stream, run to its end, redacted as the batch query does."""
-    import uuid
-
-    name = f"stream_{uuid.uuid4().hex}"
+    """The documents as a file stream, run to its end into files of the shared folder, redacted as the batch query does."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="maskwright-")
+    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*")
     rows = stream.select("doc_id", F.md5(T.mask_patterns(F.col("text"))).alias("redacted_md5"))
-    query = rows.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    query = rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows")
 
 
-# -- SQL -----------------------------------------------------------------------------------------------------------
+# SQL
 
 
 def _sql_mask(text: str) -> str:
@@ -438,12 +441,12 @@ ORACLES: dict[str, str] = {
     "span_assembly_argmax": f"WITH {_sql_paths(None)}, {_sql_spans('paths', 'x')} SELECT * FROM x",
     "overlap_global": _sql_greedy("g"),
     "overlap_per_label": _sql_greedy("g, label"),
-    "trim_ascii": r"SELECT doc_id, strlen(p) - strlen(ltrim(p, e' \t\n\r\f')) AS lead, trim(p, e' \t\n\r\f') AS trimmed FROM (SELECT doc_id, substring(text, instr(text, ' '), 20) AS p FROM documents)",
+    "trim_ascii": r"SELECT doc_id, strlen(p) - strlen(ltrim(p, e' \t\n\r\f')) AS lead, md5(trim(p, e' \t\n\r\f')) AS trimmed_md5 FROM (SELECT doc_id, CASE WHEN instr(text, ' ') = 0 THEN text ELSE substring(text, instr(text, ' ')) END AS p FROM documents)",
     "char_to_byte": "SELECT doc_id, strlen(substring(text, 1, length(text) // 2)) AS middle_byte FROM documents",
     "line_col": r"SELECT doc_id, length(b) - length(replace(b, chr(10), '')) + 1 AS line, strlen(string_split(b, chr(10))[-1]) + 1 AS col FROM (SELECT doc_id, substring(text, 1, length(text) // 2) AS b FROM documents)",
     "placeholders": "SELECT p_partkey, '<' || regexp_replace(n, '_+$', '') || '>' AS placeholder, '<' || regexp_replace(n, '^_+|_+$', '', 'g') || '>' AS log_placeholder FROM (SELECT p_partkey, regexp_replace(upper('_' || p_name || '--'), '[^A-Z0-9]+', '_', 'g') AS n FROM part)",
-    "snippets": r"SELECT doc_id, CASE WHEN length(f) > 200 THEN substring(f, 1, 200) || '…' ELSE f END AS snippet FROM (SELECT doc_id, regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g') AS f FROM documents)",
-    "redact_spans": "SELECT doc_id, md5('<FIRST_PART>' || substring(text, 5, 6) || '<B>' || substring(text, 21)) AS redacted_md5 FROM documents WHERE strlen(text) > 40 AND regexp_matches(text, '^[ -~]{40}')",
+    "snippets": r"SELECT doc_id, CASE WHEN length(f) > 200 THEN substring(f, 1, 200) || '…' ELSE f END AS snippet FROM (SELECT doc_id, regexp_replace(text, '[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g') AS f FROM documents)",
+    "redact_spans": "SELECT doc_id, md5('<FIRST_PART>' || substring(text, 5, 6) || '<B>' || substring(text, 21)) AS redacted_md5 FROM documents",
     "agreement_matrix": f"{_DIFF} SELECT pair, total, exact, left_only, right_only, mismatched, exact_pct FROM mm",
     "agreement_by_label": f"{_DIFF} SELECT label, count(*) FILTER (k = 0) AS left_only, count(*) FILTER (k = 1) AS right_only FROM (SELECT label, 0 AS k FROM ol UNION ALL SELECT label, 1 FROM onr) GROUP BY label",
     "regression_gate": f"{_DIFF} SELECT a.pair, a.threshold::DOUBLE AS threshold, exact_pct, coalesce(exact_pct >= threshold, false) AS passed FROM (VALUES ('argmax/viterbi', 96.8), ('viterbi/none', 99.0)) a(pair, threshold) LEFT JOIN mm USING (pair)",

@@ -40,8 +40,10 @@ def read_document(spark: SparkSession, text: str | None = None, file: str | None
 
 def read_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad): the last row of each (decoder, id) of an append-only folder of JSON lines, and how many
-    lines didn't parse."""
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines didn't parse. Later means: of a file written later, or further down in the same file."""
+    # Files are read in splits of any order, so a line's place is that of its file and its split; lines of a split keep their order.
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("line"))
     parsed = lines.withColumn("r", F.from_json("value", CACHE, {"mode": "PERMISSIVE"}))
     good = parsed.where("r.decoder is not null and r.id is not null")
     bad = parsed.where("value <> '' and (r is null or r.decoder is null or r.id is null)").agg(F.count("*").alias("bad"))

@@ -1,3 +1,4 @@
+import os
 import io
 import json
 
@@ -183,3 +184,14 @@ def test_cli(spark):
     assert run_cli(spark, "check", "-t", "a", "--operating-point", "z")[0] == 2
     code, out, _ = run_cli(spark, "stream", "-t", '{"id":1,"text":"a@b.com"}\n\nbad')
     assert code == 0 and [("error" in json.loads(x)) for x in out.splitlines()] == [False, True]
+
+
+def test_cache_takes_the_row_written_last(spark, tmp_path):
+    # A long file is split, and a short one may be read together with any split; the younger file still wins.
+    line = '{"decoder": "viterbi", "id": %d, "spans": [], "decoded_mismatch": %s}\n'
+    (tmp_path / "part-b.json").write_text("".join(line % (k, "true") for k in range(3000)))
+    (tmp_path / "part-a.json").write_text(line % (5, "false") + line % (7, "true") + line % (7, "false"))
+    os.utime(tmp_path / "part-b.json", (1_000_000_000, 1_000_000_000))
+    rows, bad = corpus.read_cache(spark, str(tmp_path))
+    found = {r.id: r.decoded_mismatch for r in rows.collect()}
+    assert len(found) == 3000 and [k for k, v in found.items() if not v] == [5, 7] and bad.first().bad == 0

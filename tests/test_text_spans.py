@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -81,3 +84,17 @@ def test_percentiles(spark):
     assert percentiles(df, "g", "v", {"p50": 50, "p90": 90, "p99": 99}).collect()[0][1:] == (6.0, 10.0, 10.0)
     lists = spark.createDataFrame([([float(x) for x in range(1, 11)],), ([],)], "v array<double>")
     assert [r.r for r in lists.select(percentile_at(F.col("v"), 50).alias("r")).collect()] == [6.0, 0.0]
+
+
+def test_address_pattern_of_the_jvm_equals_the_plain_one(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab@._%+- 1") for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["a@b.c_x@d.e", "a" * 200_000, "a@" * 20_000]
+    got = T.masked_counts(spark.createDataFrame([(t,) for t in texts], "text string")).select("text", "masked", "email", "hits").collect()
+    for r in got:
+        want, n = re.subn(T.PATTERNS["email"], "<EMAIL>", r.text) if len(r.text) < 1000 else (r.text, 0)
+        assert (r.masked, r.email) == (want, n) and r.hits >= n
+
+
+def test_trim_unicode(spark):
+    for text, want in (("  a　b ﻿ ", "a　b"), ("\x0b\t", ""), ("a", "a"), ("​ a", "​ a")):
+        assert one(spark, T.trim_unicode(F.col("t")), t=text) == want
