@@ -11,7 +11,8 @@ five distributed steps:
 4. unite     per bucket, sets that share a key and pass the length, positional and sketch filters are
              united; only a spanning forest leaves the task, never all pairs. With parity sketches, pairs that a short
              sketch doesn't show to be alike go out singly, and stay if the Hamming distance of
-             their whole sketches allows a link. A hot key is a vertex of the candidate graph, so its list is never gathered.
+             their whole sketches allows a link. A hot block is a vertex of the candidate graph, so its list is never
+             gathered; a hot token goes out in pairs with others, as such a vertex would tie unlike sets together.
 5. verify    the sets of one candidate component meet in tasks of bounded size, where Hamming distances of bit
              sketches rule sets out (parity sketches only) and exact intersection counts settle the rest.
 
@@ -53,7 +54,8 @@ HOT_TIMES = 64
 PAIRS_AT_ONCE = 2_000_000
 #: Bits of the short sketches that travel with keys.
 SKETCH_BITS = 128
-CHAIN_FROM = 4096
+#: A list in which some set has more possible partners is compared by products of sketches; with parity sketches, one of 16 times as many.
+CHAIN_FROM = 128
 
 
 @dataclass(frozen=True)
@@ -211,6 +213,13 @@ def parity_blocks(spec: Similarity, hashes: np.ndarray, bounds: np.ndarray) -> B
     return Blocks(row, own, np.where(size > 0, filled - np.maximum(equal, 1) + 1, 0), keys, np.concatenate([[0], np.cumsum(filled)]))
 
 
+def count(table: np.ndarray, parts: list[np.ndarray]) -> None:
+    """Add one to a cell of the table for each time it is named: in order, which spares the cache."""
+    cells = np.sort(np.concatenate([np.zeros(0, np.uint32), *parts]))
+    cuts = _runs(cells)
+    table[cells[cuts[:-1]]] += np.diff(cuts).astype(table.dtype)
+
+
 PROFILE = "id long, tie long, sub int, n int, sig long, sketch binary, slice int, payload binary"
 
 
@@ -222,18 +231,25 @@ def profile(docs: DataFrame, units: Units, spec: Similarity) -> DataFrame:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.uint32)
+        held: list[np.ndarray] = []
+        load = 0
         names = [c.split()[0] for c in PROFILE.split(", ")]
         for batch in batches:
             for ids, ties, subs, hashes, bounds in units(batch):
                 hashes, bounds = distinct_sets(hashes, bounds)
                 n = np.diff(bounds)
                 keys = parity_blocks(spec, hashes, bounds).keys if spec.parity else hashes if spec.least <= 1 else hashes[np.repeat(n >= spec.least, n)]
-                np.add.at(table, (keys >> _U(64 - bits)).astype(np.int64), 1)
+                held.append((keys >> _U(64 - bits)).astype(np.uint32))
+                load += len(keys)
+                if load >= FLUSH:
+                    count(table, held)
+                    held, load = [], 0
                 k = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [ids, ties, pa.array(subs, pa.int32()), pa.array(n, pa.int32()), pa.array(signatures(hashes, bounds).view(np.int64)),
                      pa.array(whole_sketches(hashes, bounds), pa.binary()) if spec.parity else pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names
                 )
+        count(table, held)
         packed = list(hashtable.pack_counts(table))
         if packed:
             k = len(packed)
@@ -435,6 +451,78 @@ def _keys(counted: DataFrame, buckets: int) -> DataFrame:
     return counted.repartition(buckets, "load").sortWithinPartitions("load").mapInArrow(run, "bucket int, blob binary")
 
 
+_SIGNS = np.where(np.arange(256)[:, None] >> np.arange(8)[None, :] & 1, -1, 1).astype(np.float32)
+
+
+def _signs(sketch: np.ndarray, one: np.ndarray | int, other: np.ndarray | int) -> np.ndarray:
+    """1 and -1 for the bits of sketches, and two more columns."""
+    bits = 64 * sketch.shape[1]
+    out = np.empty((len(sketch), bits + 2), np.float32)
+    out[:, :bits] = _SIGNS[np.ascontiguousarray(sketch).view(np.uint8)].reshape(len(sketch), bits)
+    out[:, bits], out[:, bits + 1] = one, other
+    return out
+
+
+def list_roots(before: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], spec: Similarity, fits: Callable) -> np.ndarray:
+    """For the sets of one list, ascending by size n, the place of the least set of each one's component: sets are united that have the
+    same label ``before``, or differ in no more bits than linked sets differ in tokens if ``fits`` (smaller, larger, tokens of both) admits
+    them. sketches: matrices of growing width, row after row the list's.
+
+    The bits in which all sets of two tiles differ are one matrix product, with the bound as two more columns. Neighbours come
+    first: where most sets of a list are alike, only the others are left to compare with all.
+    """
+    share = 2 * (spec.den - spec.num) / (spec.den + spec.num)
+    _, first_of, label = np.unique(before, return_index=True, return_inverse=True)
+    label = first_of[label]
+
+    def judge(a: np.ndarray, b: np.ndarray) -> None:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        keep = (label[a] != label[b]) & (n[a] >= spec.shortest(n[b]))
+        a, b = a[keep], b[keep]
+        keep = fits(a, b, n[a] + n[b])
+        unite(label, a[keep], b[keep])
+
+    def meet(rows: np.ndarray, one: np.ndarray, cols: np.ndarray, other: np.ndarray, twice: bool = False) -> None:
+        """twice: rows and columns are the same, so that half of the pairs will do."""
+        bits = 64 * one.shape[1]
+        step = max(16, (1 << 14) // bits)
+        # A bound beyond 2 * bits passes every pair.
+        bound = lambda at: np.minimum(share * n[at], 2 * bits)
+        for x in range(0, len(rows), step):
+            some = rows[x : x + step]
+            first, last = np.searchsorted(n[cols], [spec.shortest(n[some[0]]), n[some[-1]] * spec.den // spec.num + 1])
+            last = x + len(some) if twice else int(last)
+            left = _signs(one[x : x + step], bound(some), 1)
+            for y in range(int(first), last, 16 * step):
+                at = slice(y, min(y + 16 * step, last))
+                hit = np.flatnonzero(left @ _signs(other[at], 1, bound(cols[at])).T >= bits - 0.25)
+                for z in range(0, len(hit), 1 << 18):
+                    i, j = np.divmod(hit[z : z + (1 << 18)], at.stop - y)
+                    judge(some[i], cols[at][j])
+
+    ends = np.cumsum([0, *(len(m) for m in sketches)])
+    for k, m in enumerate(sketches):
+        rows = np.arange(ends[k], ends[k + 1])
+        for step in (1, 2, 4, 8, 16):
+            close = np.flatnonzero(np.bitwise_count(m[step:] ^ m[:-step]).sum(1, dtype=np.int64) <= spec.differ(n[rows[step:]] + n[rows[:-step]]))
+            judge(rows[close], rows[close + step])
+        for j in range(k + 1):
+            one = m
+            while one.shape[1] > sketches[j].shape[1]:
+                one = one[:, : one.shape[1] // 2] ^ one[:, one.shape[1] // 2 :]
+            cols = np.arange(ends[j], ends[j + 1])
+            main = np.bincount(label[np.concatenate([rows, cols])], minlength=1).argmax()
+            apart = label[rows] != main
+            outside = label[cols] != main
+            if j == k:
+                meet(rows[apart], one[apart], rows[apart], one[apart], True)
+                meet(rows[apart], one[apart], rows[~apart], one[~apart])
+            else:
+                meet(rows[apart], one[apart], cols, sketches[j])
+                meet(rows[~apart], one[~apart], cols[outside], sketches[j][outside])
+    return label
+
+
 def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
     """Star edges (signature of the root, of the member) that unite the candidates of a bucket, and pairs (signature, signature) of
     those that only their whole sketches can judge."""
@@ -460,14 +548,17 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
     if spec.parity:
         # Of a pair the larger set is in its own band; two sets of the band below meet in that one.
         reach[cells & 1 == 0] = 0
-    # In a very long list neighbours by size are united unseen: verification settles the rest. Windows of consecutive
-    # entries of one token overlap, so the first of each run is united whole, and the others follow by their left neighbour.
-    chained = np.flatnonzero(reach > CHAIN_FROM)
-    unite(label, owner[chained], owner[chained - 1])
-    for i in chained[np.diff(chained, prepend=-1) > 1].tolist():
-        unite(label, owner[low[i] : i], owner[low[i] + 1 : i + 1])
-    reach[chained] = 0
     left = (filled if spec.parity else n) - place
+    if not spec.parity:
+        cuts = _runs(key[order])
+        alike: list[np.ndarray] = []
+        for k in np.unique(np.searchsorted(cuts, np.flatnonzero(reach > CHAIN_FROM), side="right") - 1).tolist():
+            at = slice(cuts[k], cuts[k + 1])
+            rest = left[at]
+            root = list_roots(owner[at], n[at], [sketch[owner[at]]], spec, lambda a, b, both: spec.enough(np.minimum(rest[a], rest[b]), both))
+            alike.append(np.stack([owner[at], owner[at][root]])[:, root != np.arange(len(root))])
+            reach[at] = 0
+        unite(label, *(np.concatenate(alike, 1) if alike else np.zeros((2, 0), np.int64)))
     total = np.cumsum(reach)
     start = 0
     weak: list[np.ndarray] = []
@@ -558,14 +649,12 @@ def _within_reach(pairs: DataFrame, sketches: DataFrame, spec: Similarity) -> Da
 
 def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int) -> DataFrame:
     """(bucket, blob) as _keys gives it, with sketches, ranking tokens by the count table (code 255: hot). A token alone in
-    its cell is alone in the corpus and isn't published."""
+    its cell is alone in the corpus and isn't published. Of a hot token its pairs with the set's later tokens go out, as far as the
+    second token that a partner shares may stand: their lists are short. The token itself does if one shared token may be enough."""
     bits = spec.bits
 
     def pack(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        sig, n, token, place, sketch, hot = (np.concatenate(x) for x in zip(*parts))
-        if hot.any():
-            yield _rows([-1], [_join(sig[hot], token[hot])], "bucket")
-            sig, n, token, place, sketch = sig[~hot], n[~hot], token[~hot], place[~hot], sketch[~hot]
+        sig, n, token, place, sketch = (np.concatenate(x) for x in zip(*parts))
         token = mix64(token)
         bucket = _bucket(token, buckets)
         order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
@@ -594,12 +683,20 @@ def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int
                 # Tokens of a set are in the order of their hashes, which a stable sort keeps among equal codes.
                 order = np.argsort(owner << 8 | code, kind="stable")
                 place = np.arange(len(owner)) - bounds[:-1][owner]
-                out = (place < spec.prefix(n)[owner]) & (code[order] > 0)
-                out, place = order[out], place[out]
-                at = owner[out]
+                prefix = spec.prefix(n)[owner]
+                hot = (place < prefix) & (code[order] == 255)
+                first = np.flatnonzero(hot)
+                last = np.minimum(prefix[first] + 1, n[owner[first]]) - place[first] - 1
+                first = np.repeat(first, last)
+                second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(last) - last, last)
+                one = np.flatnonzero((place < prefix) & (code[order] > 0) & (~hot | (spec.shortest(n)[owner] < 2)))
+                with np.errstate(over="ignore"):
+                    token = np.concatenate([hashes[order[one]], mix64(hashes[order[first]]) + hashes[order[second]]])
+                # A pair's second token is no further than where the others that must be shared begin.
+                at, place = owner[np.concatenate([one, second])], np.concatenate([place[one], place[second] - 1])
                 sketch = parity_sketches(hashes, bounds)
-                held.append((sig[at], n[at], hashes[out], place, sketch[at], code[out] == 255))
-                load += len(out)
+                held.append((sig[at], n[at], token, place, sketch[at]))
+                load += len(token)
                 if load >= FLUSH // 4:
                     yield from pack(held)
                     held, load = [], 0

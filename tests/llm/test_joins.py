@@ -352,3 +352,28 @@ def test_long_lists_lose_no_candidates(monkeypatch, seed):
         least, most = sorted((int(sizes[a]), int(sizes[b])))
         if token[a] == token[b] and 100 * least >= 60 * most and spec.enough(min(left[a], left[b]), least + most):
             assert root[int(sig[a])] == root[int(sig[b])]
+
+
+def test_long_lists_tie_no_unlike_sets():
+    # A list of thousands of unlike sets, and one copy of the first: only these two are united.
+    rng = np.random.default_rng(3)
+    k = 5000
+    sketch = rng.integers(0, 1 << 63, size=(k, 2)).astype(np.uint64) << np.uint64(1)
+    sketch[-1] = sketch[0] ^ np.uint64(8)
+    ones, zeros = np.full(k, 60, np.uint32), np.zeros(k, np.uint32)
+    root, member = setjoin.forest([setjoin._join(np.arange(1, k + 1, dtype=np.uint64), ones, zeros, zeros, sketch.reshape(-1))], line_dedup.LINES)[:2]
+    assert (root.tolist(), member.tolist()) == ([1], [k])
+
+
+def test_hot_words_tie_no_unlike_lines(spark):
+    # Every word of the lines is hot; only the two lines that are alike become candidates.
+    rng = random.Random(5)
+    lines = [" ".join(rng.sample([f"w{k}" for k in range(60)], 20)) for _ in range(200)]
+    lines[150] = lines[20].rsplit(" ", 1)[0] + " other"
+    docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate(lines)], "id long, tie long, text string")
+    codes = spark.sparkContext.broadcast(np.full(1 << line_dedup.LINES.bits, 255, np.uint8))
+    keys = setjoin._publish(docs, line_dedup.line_units, line_dedup.LINES, codes, 4)
+    edges = setjoin._candidates(keys, line_dedup.LINES, 4).collect()
+    units = spark.createDataFrame([(k, 0, lines[k]) for k in (20, 150)], "id long, tie long, text string")
+    alike = {r.sig for r in setjoin.profile(units, line_dedup.line_units, line_dedup.LINES).where("slice is null").collect()}
+    assert edges and {x for r in edges for x in (r.u, r.v)} <= alike
