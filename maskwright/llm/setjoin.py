@@ -11,7 +11,8 @@ five distributed steps:
 4. unite     per bucket, sets that share a key and pass the length, positional and sketch filters are
              united; only a spanning forest leaves the task, never all pairs. With parity sketches, pairs that a short
              sketch doesn't show to be alike go out singly, and stay if the Hamming distance of
-             their whole sketches allows a link. A hot block is a vertex of the candidate graph, so its list is never
+             their whole sketches allows a link; of a list with many such pairs the sets go out instead, and meet
+             with their whole sketches in one task. A hot block is a vertex of the candidate graph, so its list is never
              gathered; a hot token goes out in pairs with others, as such a vertex would tie unlike sets together.
 5. verify    the sets of one candidate component meet in tasks of bounded size, where Hamming distances of bit
              sketches rule sets out (parity sketches only) and exact intersection counts settle the rest.
@@ -51,11 +52,13 @@ FLUSH = 1_000_000
 #: A key is hot if its cell of the count table exceeds both.
 HOT_FLOOR = 1 << 16
 HOT_TIMES = 64
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 500_000
 #: Bits of the short sketches that travel with keys.
 SKETCH_BITS = 128
-#: A list in which some set has more possible partners is compared by products of sketches; with parity sketches, one of 16 times as many.
+#: A list in which some set has more possible partners is compared by products of sketches; with parity sketches, one of 8 times as many,
+#: or with so many pairs a set that only whole sketches can judge.
 CHAIN_FROM = 128
+WEAK_TIMES = 2
 
 
 @dataclass(frozen=True)
@@ -524,8 +527,9 @@ def list_roots(before: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], sp
 
 
 def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
-    """Star edges (signature of the root, of the member) that unite the candidates of a bucket, and pairs (signature, signature) of
-    those that only their whole sketches can judge."""
+    """Star edges (signature of the root, of the member) that unite the candidates of a bucket, pairs (signature, signature) of
+    those that only their whole sketches can judge, and the lists with many such pairs: signature, list, size, filled blocks,
+    of which are left, and is the band the set's own?, by list and size."""
     # With parity sketches the last is the number of filled blocks, doubled, and one if the band is the set's own.
     kinds = ["u8", "u4", "u4", "u4", "u8", *["u4"] * spec.parity]
     sig, n, token, place, sketch, *cells = (np.concatenate(x) for x in zip(*(_split(b, kinds) for b in blobs)))
@@ -548,9 +552,13 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
     if spec.parity:
         # Of a pair the larger set is in its own band; two sets of the band below meet in that one.
         reach[cells & 1 == 0] = 0
+    cuts = _runs(ranked >> _U(32))
+    listed = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    # Lists whose pairs stay together: their number grows with the square of the list.
+    dense = np.zeros(len(cuts) - 1, bool)
+    weak_pairs = np.zeros(len(cuts) - 1, np.int64)
     left = (filled if spec.parity else n) - place
     if not spec.parity:
-        cuts = _runs(key[order])
         alike: list[np.ndarray] = []
         for k in np.unique(np.searchsorted(cuts, np.flatnonzero(reach > CHAIN_FROM), side="right") - 1).tolist():
             at = slice(cuts[k], cuts[k + 1])
@@ -559,13 +567,15 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
             alike.append(np.stack([owner[at], owner[at][root]])[:, root != np.arange(len(root))])
             reach[at] = 0
         unite(label, *(np.concatenate(alike, 1) if alike else np.zeros((2, 0), np.int64)))
+    else:
+        dense[listed[reach > 8 * CHAIN_FROM]] = True
     total = np.cumsum(reach)
     start = 0
     weak: list[np.ndarray] = []
     while start < len(reach):
         stop = int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right"))
         stop = max(stop, start + 1)
-        r = reach[start:stop]
+        r = np.where(dense[listed[start:stop]], 0, reach[start:stop])
         b = np.repeat(np.arange(start, stop), r)
         a = np.repeat(low[start:stop] - (np.cumsum(r) - r), r) + np.arange(len(b))
         apart = label[owner[a]] != label[owner[b]]
@@ -576,20 +586,31 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
             good = np.minimum(left[a], left[b]) >= np.maximum(1, np.maximum(filled[a], filled[b]) - spec.differ(both))
         else:
             good = spec.enough(np.minimum(left[a], left[b]), both)
+        place_in = listed[b[good]]
         a, b, both = owner[a[good]], owner[b[good]], both[good]
         apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1).astype(np.int64)
         good = apart <= spec.differ(both)
         if spec.parity:
             # Sets that have nothing in common differ in about so many bits; half of that is no chance.
             likely = 4 * apart <= SKETCH_BITS * (1 - np.exp(-2 * both / SKETCH_BITS))
-            weak.append(np.stack([a, b], 1)[good & ~likely])
+            unsure = good & ~likely
+            weak_pairs += np.bincount(place_in[unsure], minlength=len(dense))
+            dense |= weak_pairs > WEAK_TIMES * np.diff(cuts)
+            unsure &= ~dense[place_in]
+            weak.append(np.stack([a, b, place_in], 1)[unsure])
             good &= likely
         unite(label, a[good], b[good])
         start = stop
     member = np.flatnonzero(label != np.arange(len(sig)))
-    left_over = np.concatenate(weak) if weak else np.zeros((0, 2), np.int64)
+    left_over = np.concatenate(weak) if weak else np.zeros((0, 3), np.int64)
+    left_over = left_over[~dense[left_over[:, 2]], :2]
     left_over = np.unique(left_over[label[left_over[:, 0]] != label[left_over[:, 1]]], axis=0)
-    return sig[label[member]], sig[member], sig[left_over[:, 0]], sig[left_over[:, 1]]
+    # A list whose sets are united by now needs nothing more.
+    split = np.zeros(len(dense), bool)
+    split[listed[1:][label[owner[1:]] != label[owner[:-1]]]] = True
+    at = np.flatnonzero((dense & split)[listed])
+    together = (sig[owner[at]], listed[at].astype(np.uint32), n[at].astype(np.uint32), filled[at].astype(np.uint32), left[at].astype(np.uint32), (cells[at] & 1).astype(np.uint32))
+    return sig[label[member]], sig[member], sig[left_over[:, 0]], sig[left_over[:, 1]], together
 
 
 #: Rows of candidates, of about 60 bytes, that may be broadcast.
@@ -647,6 +668,49 @@ def _within_reach(pairs: DataFrame, sketches: DataFrame, spec: Similarity) -> Da
     return joined.select("u", "v", "u_sketch", "v_sketch", (F.col("u_n") + F.col("v_n")).alias("both")).mapInArrow(run, "u long, v long")
 
 
+def _judged(dense: DataFrame, sketches: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
+    """Edges (u, v) that unite the pairs of the lists in ``dense``, as _candidates gives them, whose sketches are within reach. A set's
+    sketch travels once to each bucket, and pairs never leave their task."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "bucket"):
+            lists, found = group.column("listing").is_valid(), group.filter(group.column("sketch").is_valid())
+            known = found.column("sig").to_numpy().view(np.uint64)
+            order = np.argsort(known)
+            known, blobs = known[order], found.column("sketch").take(pa.array(order)).to_pylist()
+            words = np.array([len(b) // 8 for b in blobs], np.int64)
+            for blob in group.filter(lists).column("listing").to_pylist():
+                sig, listed, n, filled, left, own = _split(blob, ["u8", "u4", "u4", "u4", "u4", "u4"])
+                n, filled, left = n.astype(np.int64), filled.astype(np.int64), left.astype(np.int64)
+                owner = np.searchsorted(known, sig)
+                label = np.arange(len(known))
+                alike: list[np.ndarray] = []
+                cuts = _runs(listed)
+                for x, y in zip(cuts, cuts[1:]):
+                    at, most, rest, mine = owner[x:y], filled[x:y], left[x:y], own[x:y]
+                    fits = lambda a, b, both: (mine[b] > 0) & (np.minimum(rest[a], rest[b]) >= np.maximum(1, np.maximum(most[a], most[b]) - spec.differ(both)))
+                    steps = _runs(words[at])
+                    matrices = [np.frombuffer(b"".join([blobs[k] for k in at[a:b].tolist()]), np.uint64).reshape(b - a, -1) for a, b in zip(steps, steps[1:])]
+                    root = list_roots(label[at], n[x:y], matrices, spec, fits)
+                    alike.append(np.stack([at, at[root]])[:, root != np.arange(len(root))])
+                    if len(alike) == 64:
+                        unite(label, *np.concatenate(alike, 1))
+                        alike = []
+                if alike:
+                    unite(label, *np.concatenate(alike, 1))
+                member = np.flatnonzero(label != np.arange(len(known)))
+                for a in range(0, len(member), 1 << 16):
+                    some = member[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(known[label[some]].view(np.int64)), pa.array(known[some].view(np.int64))], ["u", "v"])
+
+    none = F.lit(None).cast("binary")
+    asked = dense.where("v is not null").select(F.col("u").alias("bucket"), F.col("v").alias("sig"))
+    rows = asked.join(sketches, "sig").select("bucket", "sig", "sketch", none.alias("listing"))
+    rows = rows.unionByName(dense.where("listing is not null").select(F.col("u").alias("bucket"), F.col("v").alias("sig"), none.alias("sketch"), "listing"))
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+
+
 def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int) -> DataFrame:
     """(bucket, blob) as _keys gives it, with sketches, ranking tokens by the count table (code 255: hot). A token alone in
     its cell is alone in the corpus and isn't published. Of a hot token its pairs with the set's later tokens go out, as far as the
@@ -707,7 +771,9 @@ def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int
 
 
 def _candidates(keys: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
-    """Edges (u, v, weak) between signatures that unite all candidate pairs; a weak one is a pair to be judged yet."""
+    """Edges (u, v, weak, listing) between signatures that unite all candidate pairs; a weak one is a pair to be judged yet. Where weak is
+    null, u is a bucket, and v a set of its lists that are to be judged whole, or listing these lists; see forest."""
+    names = ["u", "v", "weak", "listing"]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -717,17 +783,21 @@ def _candidates(keys: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
                 # Hot tokens: each is a vertex of its own, so that no list is gathered.
                 for blob in blobs:
                     sig, token = _split(blob, ["u8", "u8"])
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(mix64(token ^ _U(0xB5297A4D)).view(np.int64)), pa.array(np.zeros(len(sig), bool))], ["u", "v", "weak"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(mix64(token ^ _U(0xB5297A4D)).view(np.int64)), pa.array(np.zeros(len(sig), bool)), pa.nulls(len(sig), pa.binary())], names)
                 continue
-            root, member, one, other = forest(blobs, spec)
+            root, member, one, other, together = forest(blobs, spec)
+            if len(together[0]):
+                sets = np.unique(together[0]).view(np.int64)
+                here = pa.array(np.full(len(sets) + 1, group.column("bucket")[0].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([here, pa.array([*sets.tolist(), None], pa.int64()), pa.nulls(len(here), pa.bool_()), pa.array([None] * len(sets) + [_join(*together)], pa.binary())], names)
             u, v = np.concatenate([root, one]).view(np.int64), np.concatenate([member, other]).view(np.int64)
             for a in range(0, len(u), 1 << 16):
                 at = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(v[at]), pa.array(np.arange(len(u))[at] >= len(root))], ["u", "v", "weak"])
+                yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(v[at]), pa.array(np.arange(len(u))[at] >= len(root)), pa.nulls(len(u[at]), pa.binary())], names)
 
     spread = F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket").cast("long"))
     placed = keys.withColumn("at", spread).repartition(buckets, "at").sortWithinPartitions("bucket").select("bucket", "blob")
-    return placed.mapInArrow(run, "u long, v long, weak boolean")
+    return placed.mapInArrow(run, "u long, v long, weak boolean, listing binary")
 
 
 def _marks(keys: np.ndarray) -> np.ndarray:
@@ -918,9 +988,10 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
     if spec.parity:
         found = persist(edges, "candidates")
         weak = persist(found.where("weak").select("u", "v").distinct(), "weak")
-        ends = weak.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+        dense = found.where("weak is null")
+        ends = weak.select(F.explode(F.array("u", "v")).alias("sig")).unionByName(dense.where("v is not null").select(F.col("v").alias("sig"))).distinct()
         sketches = persist(profiled.where("slice is null").select("sig", "n", "sketch").join(ends, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
-        edges = found.where("not weak").select("u", "v").unionByName(_within_reach(weak, sketches, spec))
+        edges = found.where("not weak").select("u", "v").unionByName(_within_reach(weak, sketches, spec)).unionByName(_judged(dense, sketches, spec, buckets))
     comps = connected_components(edges.select("u", "v"))
     classes = (
         known.groupBy("sig")

@@ -377,3 +377,37 @@ def test_hot_words_tie_no_unlike_lines(spark):
     units = spark.createDataFrame([(k, 0, lines[k]) for k in (20, 150)], "id long, tie long, text string")
     alike = {r.sig for r in setjoin.profile(units, line_dedup.line_units, line_dedup.LINES).where("slice is null").collect()}
     assert edges and {x for r in edges for x in (r.u, r.v)} <= alike
+
+
+def near_copies(rng, n, words, much):
+    """n copies of a text with a share of words replaced, and as many texts that share a third with it."""
+    text = [rng.choice(words) for _ in range(400)]
+    copy = lambda t, share: " ".join(rng.choice(words) if rng.random() < share else w for w in t)
+    return [copy(text, much) for _ in range(n)] + [copy(text[:150], 0.02) + " " + " ".join(rng.choice(words) for _ in range(rng.randint(200, 330))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("many", [0, 2])
+def test_lists_judged_whole_equal_brute_force(spark, monkeypatch, many):
+    # 0: every list is judged by whole sketches, whatever the sizes of its sets.
+    monkeypatch.setattr(setjoin, "WEAK_TIMES", many)
+    if not many:
+        monkeypatch.setattr(setjoin, "CHAIN_FROM", 0)
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(3000)]
+    texts = near_copies(rng, 40, words, 0.12) + [t for _, t in corpus(3, 80)]
+    for n in (60, 120, 200, 250, 256, 300, 500, 1000):
+        text = [rng.choice(words) for _ in range(n)]
+        texts += [" ".join(text + [rng.choice(words) for _ in range(int(more * n))]) for more in (0, 0.1, 0.3, 0.6, 0.65, 0.7)]
+    rows = list(enumerate(texts))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == brute_near(rows)
+
+
+def test_near_copies_send_few_rows(spark):
+    # Of k near copies that short sketches can't judge, not all pairs leave the tasks.
+    rng = random.Random(8)
+    texts = near_copies(rng, 120, [f"w{k}" for k in range(3000)], 0.12)
+    docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "id long, tie long, text string").coalesce(1)
+    cold = spark.sparkContext.broadcast(np.zeros(1 << near_dup.NEAR.bits, bool))
+    keys = setjoin._keys(setjoin._count_keys(setjoin._blocks(docs, near_dup.shingle_units, near_dup.NEAR, cold, 4), 4), 4)
+    assert setjoin._candidates(keys, near_dup.NEAR, 4).count() < 4 * 10 * len(texts)
