@@ -26,6 +26,8 @@ LEVELS = (4, 16)
 #: Vectors in a block of candidates and of queries.
 BLOCK = 8192
 QUERIES = 512
+#: Most lanes, as each gets all queries: of vectors of floats, a fiftieth of them asked, these copies are as large as the input.
+LANES = 100
 #: Components up to this size keep every inner product exact in int64.
 EXACT = 1 << 28
 #: Below this share (one in so many) of a block's pairs, survivors are picked singly.
@@ -33,6 +35,16 @@ SPARSE = 50
 _MOST = np.finfo(np.float64).max
 
 
+def pack_rows(data: np.ndarray) -> bytes:
+    """Rows of integral numbers, in two bytes each if they fit."""
+    small = data.astype(np.int16) if np.abs(data).max(initial=0) < 1 << 15 else None
+    return b"\2" + small.tobytes() if small is not None else b"\0" + data.tobytes()
+
+
+def unpack_rows(blob: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(blob, np.int16 if blob[0] else np.float64, offset=1).astype(np.float64).reshape(rows, -1)
+
+
 def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
     """Per vector sqrt(m) times mean and deviation of each segment, so that a product of two rows is the bound."""
     edges = np.linspace(0, v.shape[1], min(segments, v.shape[1]) + 1).astype(int)
@@ -127,7 +139,7 @@ def top_k(vectors: DataFrame, divisor: int, k: int = K) -> DataFrame:
             ids, rows = zip(*held.pop(dim))
             with np.errstate(over="ignore"):
                 data = np.clip(np.floor(np.stack(rows) * SCALE), -_MOST, _MOST)
-            return pd.DataFrame({"dim": [dim], "at": [int(min(ids))], "ids": [np.array(ids, np.int64).tobytes()], "data": [data.tobytes()]})
+            return pd.DataFrame({"dim": [dim], "at": [int(min(ids))], "ids": [np.array(ids, np.int64).tobytes()], "data": [pack_rows(data)]})
 
         for frame in frames:
             for i, v in zip(frame["vec_id"], frame["x"]):
@@ -146,15 +158,16 @@ def top_k(vectors: DataFrame, divisor: int, k: int = K) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 q_ids, c_ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.ids, np.int64)
-                q, c = np.frombuffer(row.q_data).reshape(len(q_ids), -1), np.frombuffer(row.data).reshape(len(c_ids), -1)
+                q, c = unpack_rows(row.q_data, len(q_ids)), unpack_rows(row.data, len(c_ids))
                 i, j, score = block_top(q_ids, q, c_ids, c, k)
                 yield pd.DataFrame({"query_id": q_ids[i], "vec_id": c_ids[j], "score": score})
 
-    # Candidate blocks are dealt to lanes; every lane gets all blocks of queries.
-    lanes = reducers(spark)
+    # Candidate blocks are dealt to lanes; every lane gets all blocks of queries. More lanes than blocks would be copies for nothing.
+    lanes = max(1, min(reducers(spark), LANES, -(-vectors.count() // BLOCK)))
     dealt = candidates.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
     everywhere = queries.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    pairs = everywhere.join(dealt, ["dim", "lane"])
+    # Spark takes the exploded queries for no larger than the queries, and would broadcast all copies through the driver.
+    pairs = everywhere.hint("merge").join(dealt, ["dim", "lane"])
     best = pairs.mapInPandas(meet, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -411,3 +411,18 @@ def test_near_copies_send_few_rows(spark):
     cold = spark.sparkContext.broadcast(np.zeros(1 << near_dup.NEAR.bits, bool))
     keys = setjoin._keys(setjoin._count_keys(setjoin._blocks(docs, near_dup.shingle_units, near_dup.NEAR, cold, 4), 4), 4)
     assert setjoin._candidates(keys, near_dup.NEAR, 4).count() < 4 * 10 * len(texts)
+
+
+def test_top_k_broadcasts_no_queries(spark):
+    # Every lane has a copy of all queries: these must not go through the driver.
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(200)]
+    best = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10)
+    assert len(best.collect()) == 100
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BroadcastExchange" not in plan
+
+
+def test_packed_rows():
+    for data in (np.array([[-32767.0, 32767.0], [0.0, -1.0]]), np.array([[32768.0, 1.0]]), np.array([[-1e300, 5.0]]), np.zeros((0, 3))):
+        assert np.array_equal(topk.unpack_rows(topk.pack_rows(data), len(data)) if len(data) else data, data)
