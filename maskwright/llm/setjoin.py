@@ -9,7 +9,7 @@ five distributed steps:
              each occurs and returns those that occur more than once. Hot keys are left out: they rank last.
 3. publish   per set the rarest keys that the threshold makes necessary go out, with their places.
 4. unite     per bucket, sets that share a key and pass the length, positional and sketch filters are
-             united; only a spanning forest leaves the task, never all pairs. With parity sketches, pairs that a short
+             united; only a spanning forest leaves the task, never all pairs. Pairs that a short
              sketch doesn't show to be alike go out singly, and stay if the Hamming distance of
              their whole sketches allows a link; of a list with many such pairs the sets go out instead, and meet
              with their whole sketches in one task. A hot block is a vertex of the candidate graph, so its list is never
@@ -55,8 +55,8 @@ HOT_TIMES = 64
 PAIRS_AT_ONCE = 500_000
 #: Bits of the short sketches that travel with keys.
 SKETCH_BITS = 128
-#: A list in which some set has more possible partners is compared by products of sketches; with parity sketches, one of 8 times as many,
-#: or with so many pairs a set that only whole sketches can judge.
+#: A list in which some set has more possible partners is compared by products of sketches, of whole ones where short ones can't judge; with
+#: parity sketches, one of 8 times as many. So is a list with more pairs a set, by WEAK_TIMES, that only whole sketches can judge.
 CHAIN_FROM = 128
 WEAK_TIMES = 2
 
@@ -91,11 +91,26 @@ class Similarity:
         """Most tokens in which two linked sets of ``both`` tokens together differ."""
         return both * (self.den - self.num) // (self.den + self.num)
 
+    def doubtful(self) -> int:
+        """Least number of tokens of two sets together for which sketches of SKETCH_BITS may fail to tell a link from chance."""
+        both = np.arange(64 * SKETCH_BITS * (self.den + self.num) // max(1, self.den - self.num))
+        return int(np.argmax(~likely(self.differ(both), both)))
+
+    def judged_whole(self) -> int:
+        """Size from which sets may need their whole sketches."""
+        return 0 if self.parity else self.doubtful() * self.num // (self.den + self.num)
+
     def enough(self, overlap: np.ndarray, both: np.ndarray) -> np.ndarray:
         """Does the overlap suffice for two sets of ``both`` tokens together?"""
         return overlap * (self.den + self.num) >= self.num * both
 
 
+def likely(apart: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Do the short sketches of two sets of ``both`` tokens together, ``apart`` bits from each other, show that they are alike? Sets
+    that have nothing in common differ in about twice as many bits, so that it is no chance."""
+    return 4 * apart <= SKETCH_BITS * (1 - np.exp(-2 * both / SKETCH_BITS))
+
+
 _LOW = _U((1 << 44) - 1)
 
 
@@ -227,9 +242,9 @@ PROFILE = "id long, tie long, sub int, n int, sig long, sketch binary, slice int
 
 
 def profile(docs: DataFrame, units: Units, spec: Similarity) -> DataFrame:
-    """Rows of two kinds, written to the shared folder: the units (id, tie, sub, n, sig, and with parity sketches the whole bit
-    sketch) and slices of the key counts."""
-    bits = spec.bits
+    """Rows of two kinds, written to the shared folder: the units (id, tie, sub, n, sig, and the whole bit sketch of sets
+    that may need it) and slices of the key counts."""
+    bits, whole = spec.bits, spec.judged_whole()
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +262,12 @@ def profile(docs: DataFrame, units: Units, spec: Similarity) -> DataFrame:
                 if load >= FLUSH:
                     count(table, held)
                     held, load = [], 0
-                k = len(ids)
+                k, long = len(ids), n >= whole
+                sketches = np.full(k, None, object)
+                sketches[long] = whole_sketches(*_take_rows(hashes, bounds, long))
                 yield pa.RecordBatch.from_arrays(
                     [ids, ties, pa.array(subs, pa.int32()), pa.array(n, pa.int32()), pa.array(signatures(hashes, bounds).view(np.int64)),
-                     pa.array(whole_sketches(hashes, bounds), pa.binary()) if spec.parity else pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names
+                     pa.array(sketches, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names
                 )
         count(table, held)
         packed = list(hashtable.pack_counts(table))
@@ -529,7 +546,7 @@ def list_roots(before: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], sp
 def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
     """Star edges (signature of the root, of the member) that unite the candidates of a bucket, pairs (signature, signature) of
     those that only their whole sketches can judge, and the lists with many such pairs: signature, list, size, filled blocks,
-    of which are left, and is the band the set's own?, by list and size."""
+    of which are left, and is the band the set's own?, by list and size. (Without parity sketches the tokens are the blocks.)"""
     # With parity sketches the last is the number of filled blocks, doubled, and one if the band is the set's own.
     kinds = ["u8", "u4", "u4", "u4", "u8", *["u4"] * spec.parity]
     sig, n, token, place, sketch, *cells = (np.concatenate(x) for x in zip(*(_split(b, kinds) for b in blobs)))
@@ -557,15 +574,20 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
     # Lists whose pairs stay together: their number grows with the square of the list.
     dense = np.zeros(len(cuts) - 1, bool)
     weak_pairs = np.zeros(len(cuts) - 1, np.int64)
-    left = (filled if spec.parity else n) - place
+    if not spec.parity:
+        filled, cells = n, np.ones(len(n), np.int64)
+    left = filled - place
+    doubtful, whole = spec.doubtful(), spec.judged_whole()
     if not spec.parity:
         alike: list[np.ndarray] = []
         for k in np.unique(np.searchsorted(cuts, np.flatnonzero(reach > CHAIN_FROM), side="right") - 1).tolist():
-            at = slice(cuts[k], cuts[k + 1])
+            reach[cuts[k] : cuts[k + 1]] = 0
+            # Sets that a short sketch can't judge meet with their whole ones.
+            dense[k] = n[cuts[k + 1] - 1] >= whole
+            at = slice(cuts[k], cuts[k] + int(np.searchsorted(n[cuts[k] : cuts[k + 1]], doubtful * spec.den // (spec.den + spec.num), side="right")))
             rest = left[at]
-            root = list_roots(owner[at], n[at], [sketch[owner[at]]], spec, lambda a, b, both: spec.enough(np.minimum(rest[a], rest[b]), both))
+            root = list_roots(owner[at], n[at], [sketch[owner[at]]], spec, lambda a, b, both: (both < doubtful) & spec.enough(np.minimum(rest[a], rest[b]), both))
             alike.append(np.stack([owner[at], owner[at][root]])[:, root != np.arange(len(root))])
-            reach[at] = 0
         unite(label, *(np.concatenate(alike, 1) if alike else np.zeros((2, 0), np.int64)))
     else:
         dense[listed[reach > 8 * CHAIN_FROM]] = True
@@ -575,7 +597,8 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
     while start < len(reach):
         stop = int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right"))
         stop = max(stop, start + 1)
-        r = np.where(dense[listed[start:stop]], 0, reach[start:stop])
+        # With parity sketches a list that is judged whole is left to that; otherwise its small sets aren't judged whole.
+        r = np.where(dense[listed[start:stop]] & spec.parity, 0, reach[start:stop])
         b = np.repeat(np.arange(start, stop), r)
         a = np.repeat(low[start:stop] - (np.cumsum(r) - r), r) + np.arange(len(b))
         apart = label[owner[a]] != label[owner[b]]
@@ -590,15 +613,13 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
         a, b, both = owner[a[good]], owner[b[good]], both[good]
         apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1).astype(np.int64)
         good = apart <= spec.differ(both)
-        if spec.parity:
-            # Sets that have nothing in common differ in about so many bits; half of that is no chance.
-            likely = 4 * apart <= SKETCH_BITS * (1 - np.exp(-2 * both / SKETCH_BITS))
-            unsure = good & ~likely
-            weak_pairs += np.bincount(place_in[unsure], minlength=len(dense))
-            dense |= weak_pairs > WEAK_TIMES * np.diff(cuts)
-            unsure &= ~dense[place_in]
-            weak.append(np.stack([a, b, place_in], 1)[unsure])
-            good &= likely
+        sure = likely(apart, both)
+        unsure = good & ~sure
+        weak_pairs += np.bincount(place_in[unsure], minlength=len(dense))
+        dense |= weak_pairs > WEAK_TIMES * np.diff(cuts)
+        unsure &= ~dense[place_in]
+        weak.append(np.stack([a, b, place_in], 1)[unsure])
+        good &= sure
         unite(label, a[good], b[good])
         start = stop
     member = np.flatnonzero(label != np.arange(len(sig)))
@@ -606,9 +627,10 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
     left_over = left_over[~dense[left_over[:, 2]], :2]
     left_over = np.unique(left_over[label[left_over[:, 0]] != label[left_over[:, 1]]], axis=0)
     # A list whose sets are united by now needs nothing more.
+    at = np.flatnonzero(dense[listed] & (n >= whole))
     split = np.zeros(len(dense), bool)
-    split[listed[1:][label[owner[1:]] != label[owner[:-1]]]] = True
-    at = np.flatnonzero((dense & split)[listed])
+    split[listed[at[1:]][(label[owner[at[1:]]] != label[owner[at[:-1]]]) & (listed[at[1:]] == listed[at[:-1]])]] = True
+    at = at[split[listed[at]]]
     together = (sig[owner[at]], listed[at].astype(np.uint32), n[at].astype(np.uint32), filled[at].astype(np.uint32), left[at].astype(np.uint32), (cells[at] & 1).astype(np.uint32))
     return sig[label[member]], sig[member], sig[left_over[:, 0]], sig[left_over[:, 1]], together
 
@@ -689,7 +711,10 @@ def _judged(dense: DataFrame, sketches: DataFrame, spec: Similarity, buckets: in
                 cuts = _runs(listed)
                 for x, y in zip(cuts, cuts[1:]):
                     at, most, rest, mine = owner[x:y], filled[x:y], left[x:y], own[x:y]
-                    fits = lambda a, b, both: (mine[b] > 0) & (np.minimum(rest[a], rest[b]) >= np.maximum(1, np.maximum(most[a], most[b]) - spec.differ(both)))
+                    if spec.parity:
+                        fits = lambda a, b, both: (mine[b] > 0) & (np.minimum(rest[a], rest[b]) >= np.maximum(1, np.maximum(most[a], most[b]) - spec.differ(both)))
+                    else:
+                        fits = lambda a, b, both: spec.enough(np.minimum(rest[a], rest[b]), both)
                     steps = _runs(words[at])
                     matrices = [np.frombuffer(b"".join([blobs[k] for k in at[a:b].tolist()]), np.uint64).reshape(b - a, -1) for a, b in zip(steps, steps[1:])]
                     root = list_roots(label[at], n[x:y], matrices, spec, fits)
@@ -984,14 +1009,15 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
         codes[hot] = 255
         keys = _publish(docs, units, spec, share(codes), buckets)
     del table
-    edges = _candidates(keys, spec, buckets)
-    if spec.parity:
-        found = persist(edges, "candidates")
+    found = persist(_candidates(keys, spec, buckets), "candidates")
+    edges = found.where("not weak").select("u", "v")
+    if not found.where("weak or weak is null").isEmpty():
         weak = persist(found.where("weak").select("u", "v").distinct(), "weak")
         dense = found.where("weak is null")
         ends = weak.select(F.explode(F.array("u", "v")).alias("sig")).unionByName(dense.where("v is not null").select(F.col("v").alias("sig"))).distinct()
-        sketches = persist(profiled.where("slice is null").select("sig", "n", "sketch").join(ends, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
-        edges = found.where("not weak").select("u", "v").unionByName(_within_reach(weak, sketches, spec)).unionByName(_judged(dense, sketches, spec, buckets))
+        whole = profiled.where("slice is null").where(F.col("n") >= spec.judged_whole()).select("sig", "n", "sketch")
+        sketches = persist(whole.join(ends, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+        edges = edges.unionByName(_within_reach(weak, sketches, spec)).unionByName(_judged(dense, sketches, spec, buckets))
     comps = connected_components(edges.select("u", "v"))
     classes = (
         known.groupBy("sig")

@@ -379,6 +379,34 @@ def test_hot_words_tie_no_unlike_lines(spark):
     assert edges and {x for r in edges for x in (r.u, r.v)} <= alike
 
 
+@pytest.mark.parametrize("k", [60, 600])
+def test_long_lines_that_short_sketches_cannot_judge_are_not_united(k):
+    # Unlike sets of 300 tokens differ in about as few bits of 128 as linked ones may: in short lists and in long ones none are united unseen.
+    rng = np.random.default_rng(4)
+    sizes, zeros = np.full(k, 300, np.uint32), np.zeros(k, np.uint32)
+    sketch = rng.integers(0, 1 << 64, size=2 * k, dtype=np.uint64)
+    root, _, one, _, together = setjoin.forest([setjoin._join(np.arange(1, k + 1, dtype=np.uint64), sizes, zeros, zeros, sketch)], line_dedup.LINES)
+    assert not len(root) and len(one) <= setjoin.WEAK_TIMES * k and (k < 600 or len(together[0]) == k)
+
+
+@pytest.mark.parametrize("chain, many", [(0, 0), (6, 2), (128, 2), (128, 1000)])
+def test_long_lines_equal_brute_force(spark, monkeypatch, chain, many):
+    monkeypatch.setattr(setjoin, "CHAIN_FROM", chain)
+    monkeypatch.setattr(setjoin, "WEAK_TIMES", many)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(900)]
+    lines = []
+    for n in (20, 100, 127, 128, 145, 160, 200, 260, 300, 450):
+        text = rng.sample(words, n)
+        for more in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.24, 0.25, 0.3):
+            lines.append(" ".join(text + [f"x{rng.randrange(40)}y{k}" for k in range(int(more * n))]))
+            lines.append(" ".join(rng.choice(words) if rng.random() < more / 2 else w for w in text))
+    rng.shuffle(lines)
+    rows = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(len(lines) // 3)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_lines(spark, rows)
+
+
 def near_copies(rng, n, words, much):
     """n copies of a text with a share of words replaced, and as many texts that share a third with it."""
     text = [rng.choice(words) for _ in range(400)]
