@@ -311,6 +311,29 @@ def _split(blob: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The lowest bytes of 32-bit values, then the next ones, and so on: mostly zeros beyond the second, which take no room when compressed."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).reshape(-1)
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def pack_keys(sig: np.ndarray, n: np.ndarray, cells: np.ndarray, sketch: np.ndarray, owner: np.ndarray, token: np.ndarray, place: np.ndarray) -> bytes:
+    """Keys of parity sketches for a bucket, by ascending ``owner``, a row of the first four: what is known of a set is said once."""
+    cuts = _runs(owner)
+    at = owner[cuts[:-1]]
+    return _join(sig[at], _planes(n[at]), _planes(cells[at]), sketch[at].reshape(-1), _planes(np.diff(cuts)), token.astype(np.uint32), _planes(place))
+
+
+def unpack_keys(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(sig, n, token, place, sketch, cells) by key; sketch: one array, two words a key."""
+    sig, n, cells, sketch, times, token, place = _split(blob, ["u8", "u1", "u1", "u8", "u1", "u4", "u1"])
+    owner = np.repeat(np.arange(len(sig)), _whole(times))
+    return sig[owner], _whole(n)[owner], token, _whole(place), sketch.reshape(-1, 2)[owner].reshape(-1), _whole(cells)[owner]
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> _U(20)) % _U(buckets)).astype(np.uint32)
 
@@ -464,7 +487,7 @@ def _keys(counted: DataFrame, buckets: int) -> DataFrame:
                 if rows[-1] < 0:
                     blobs.append(_join(names[at], token[a:b]))
                 else:
-                    blobs.append(_join(names[at], n[at], token[a:b].astype(np.uint32), place[a:b].astype(np.uint32), sketch[at].reshape(-1), cells[at]))
+                    blobs.append(pack_keys(names, n, cells, sketch, at, token[a:b], place[a:b]))
             if rows:
                 yield _rows(rows, blobs, "bucket")
 
@@ -548,8 +571,7 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
     those that only their whole sketches can judge, and the lists with many such pairs: signature, list, size, filled blocks,
     of which are left, and is the band the set's own?, by list and size. (Without parity sketches the tokens are the blocks.)"""
     # With parity sketches the last is the number of filled blocks, doubled, and one if the band is the set's own.
-    kinds = ["u8", "u4", "u4", "u4", "u8", *["u4"] * spec.parity]
-    sig, n, token, place, sketch, *cells = (np.concatenate(x) for x in zip(*(_split(b, kinds) for b in blobs)))
+    sig, n, token, place, sketch, *cells = (np.concatenate(x) for x in zip(*(unpack_keys(b) if spec.parity else _split(b, ["u8", "u4", "u4", "u4", "u8"]) for b in blobs)))
     sig, first, owner = np.unique(sig, return_index=True, return_inverse=True)
     sketch = sketch.reshape(-1, 2)[first]
     cells = cells[0].astype(np.int64) if cells else np.zeros(len(token), np.int64)

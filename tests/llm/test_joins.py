@@ -441,6 +441,19 @@ def test_near_copies_send_few_rows(spark):
     assert setjoin._candidates(keys, near_dup.NEAR, 4).count() < 4 * 10 * len(texts)
 
 
+def test_published_keys_say_once_what_is_known_of_a_set():
+    rng = np.random.default_rng(6)
+    k, owner = 300, np.sort(rng.integers(0, 300, size=3000))
+    sig, sketch, token = (rng.integers(0, 1 << 64, size=s, dtype=np.uint64) for s in (k, (k, 2), 3000))
+    n, cells, place = rng.integers(1, 1 << 17, size=k), rng.integers(1, 1 << 32, size=k), rng.integers(0, 1 << 16, size=3000)
+    token &= np.uint64(0xFFFFFFFF)
+    blob = setjoin.pack_keys(sig, n, cells, sketch, owner, token, place)
+    for got, want in zip(setjoin.unpack_keys(blob), (sig[owner], n[owner], token, place, sketch[owner].reshape(-1), cells[owner])):
+        assert got.astype(np.uint64).tolist() == want.astype(np.uint64).tolist()
+    assert len(blob) < 12 * len(owner)
+    assert all(len(x) == 0 for x in setjoin.unpack_keys(setjoin.pack_keys(sig, n, cells, sketch, owner[:0], token[:0], place[:0])))
+
+
 def test_top_k_broadcasts_no_queries(spark):
     # Every lane has a copy of all queries: these must not go through the driver.
     rng = np.random.default_rng(9)
