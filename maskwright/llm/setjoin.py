@@ -5,9 +5,10 @@ five distributed steps:
 
 1. profile   every unit (document or line) becomes a set of 64-bit token hashes; a fixed table
              of 2 ** bits counters gathers how frequent the keys are.
-2. count     (parity sketches only) keys go to hash buckets, packed 48 bits each; a bucket counts how often
-             each occurs and returns those that occur more than once. Hot keys are left out: they rank last.
-3. publish   per set the rarest keys that the threshold makes necessary go out, with their places.
+2. count     (parity sketches only) fingerprints of the keys go to buckets as ascending numbers, in about two bytes each; a bucket
+             counts how often each occurs and returns a code a key. Hot keys are left out: they rank last.
+3. publish   per set the rarest keys that the threshold makes necessary go out, with their places; with parity sketches
+             only those that occur more than once, for which the texts are read again.
 4. unite     per bucket, sets that share a key and pass the length, positional and sketch filters are
              united; only a spanning forest leaves the task, never all pairs. Pairs that a short
              sketch doesn't show to be alike go out singly, and stay if the Hamming distance of
@@ -26,19 +27,23 @@ that meet pairwise.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
+import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashtable
 from .components import connected_components, unite
-from .shared import lean, persist, reducers, tune, whole_groups
+from .shared import fresh_path, lean, persist, reducers, shared_dir, tune, whole_groups
 from .textvec import mix64
 
 _U = np.uint64
@@ -49,6 +54,9 @@ FILTER_BITS = 24
 BLOCK_SETS = 1536
 BLOCK_TOKENS = 1 << 20
 FLUSH = 1_000_000
+#: Bits that a fingerprint of a key has beyond those that number all keys: of keys that occur once, one in 2 ** SPARE_BITS at most is taken
+#: for one that recurs.
+SPARE_BITS = 5
 #: A key is hot if its cell of the count table exceeds both.
 HOT_FLOOR = 1 << 16
 HOT_TIMES = 64
@@ -66,7 +74,7 @@ class Similarity:
     """Link when den * |A & B| >= num * |A | B|; units of fewer than least tokens link with nothing.
 
     bits: of the table of key counts. parity: True joins by blocks of parity sketches, whose keys mostly occur once and
-    are counted exactly before publishing; False joins by tokens, ranked by the table, for vocabularies not much larger than it.
+    are counted before publishing; False joins by tokens, ranked by the table, for vocabularies not much larger than it.
     """
 
     num: int
@@ -494,6 +502,220 @@ def _keys(counted: DataFrame, buckets: int) -> DataFrame:
     return counted.repartition(buckets, "load").sortWithinPartitions("load").mapInArrow(run, "bucket int, blob binary")
 
 
+def pack_sorted(values: np.ndarray, span: int) -> bytes:
+    """Ascending integers below ``span`` in about 2 + log2(span / their number) bits each (Elias and Fano)."""
+    k = len(values)
+    low = max(0, (span // max(1, k)).bit_length() - 1)
+    high = (values >> _U(low)).astype(np.int64) + np.arange(k)
+    marks = np.zeros(int(high[-1]) + 1 if k else 0, np.uint8)
+    marks[high] = 1
+    lower = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(k, 8), axis=1, count=low, bitorder="little")
+    return np.array([k, low], np.uint32).tobytes() + np.packbits(lower).tobytes() + np.packbits(marks).tobytes()
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    k, low = np.frombuffer(blob, np.uint32, 2).tolist()
+    end = 8 + (k * low + 7) // 8
+    lower = np.zeros((k, 64), np.uint8)
+    lower[:, :low] = np.unpackbits(np.frombuffer(blob, np.uint8, end - 8, 8), count=k * low).reshape(k, low)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, -1, end))) - np.arange(k)
+    return high.astype(np.uint64) << _U(low) | np.packbits(lower, axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
+@dataclass
+class Load:
+    """Sketches of some sets. sig, n, cells, sketch: as in pack_keys. need: keys to publish. keys: of the filled blocks, sketch
+    after sketch. name: a hash of the sketches."""
+
+    name: int
+    sig: np.ndarray
+    n: np.ndarray
+    cells: np.ndarray
+    sketch: np.ndarray
+    need: np.ndarray
+    keys: np.ndarray
+
+
+def _loads(batches: Iterator[pa.RecordBatch], units: Units, spec: Similarity, firsts: np.ndarray) -> Iterator[Load]:
+    """Loads of about FLUSH keys. Of equal sets only the first row takes part, as far as ``firsts`` tells, and one of each task."""
+
+    def load(parts: list[tuple[np.ndarray, ...]]) -> Load:
+        sig, n, cells, sketch, need, keys = (np.concatenate(x) for x in zip(*parts))
+        name = hashlib.blake2b(sig.tobytes() + cells.tobytes(), digest_size=8).digest()
+        return Load(int.from_bytes(name, "little", signed=True), sig, n, cells, sketch, need, keys)
+
+    seen: set[int] = set()
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        for ids, ties, subs, hashes, bounds in units(batch):
+            hashes, bounds = distinct_sets(hashes, bounds)
+            sig = signatures(hashes, bounds)
+            fresh = _fresh(sig, (np.diff(bounds) >= spec.least) & firsts[_marks(row_names(sig.view(np.int64), ids, ties, subs))], seen)
+            if not fresh.any():
+                continue
+            hashes, bounds = _take_rows(hashes, bounds, fresh)
+            found = parity_blocks(spec, hashes, bounds)
+            if not len(found.row):
+                continue
+            cells = np.diff(found.ends) << 1 | found.own
+            held.append((sig[fresh][found.row], np.diff(bounds)[found.row], cells, parity_sketches(hashes, bounds)[found.row], found.need, found.keys))
+            size += len(found.keys)
+            if size >= FLUSH:
+                yield load(held)
+                held, size = [], 0
+    if held:
+        yield load(held)
+
+
+def row_names(sig: np.ndarray, ids: pa.Array, ties: pa.Array, subs: np.ndarray) -> np.ndarray:
+    """64-bit names of rows that hold a set."""
+    out = mix64(sig.view(np.uint64))
+    for part, none in ((ids, np.iinfo(np.int64).min), (ties, 0)):
+        out = mix64(out ^ part.cast(pa.int64()).fill_null(none).to_numpy(zero_copy_only=False).view(np.uint64))
+    return mix64(out ^ np.asarray(subs).astype(np.int64).view(np.uint64)).view(np.int64)
+
+
+def _first_rows(known: DataFrame, buckets: int) -> np.ndarray:
+    """A filter of fixed size that passes the first row of each set, and few others unless there are very many sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, ids, ties, subs = batch.columns
+            yield pa.RecordBatch.from_arrays([pa.array(row_names(sig.to_numpy(zero_copy_only=False), ids, ties, subs.to_numpy(zero_copy_only=False)))], ["id"])
+
+    first = known.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "tie", "sub")).alias("f")).select("sig", "f.id", "f.tie", "f.sub")
+    return _filter_table(first.mapInArrow(run, "id long"), buckets)
+
+
+def _fingerprints(keys: np.ndarray, width: int) -> np.ndarray:
+    return mix64(keys ^ _U(0x6C8E9CF570932BD5)) >> _U(64 - width)
+
+
+def _hot(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return hot[(keys >> _U(64 - (len(hot).bit_length() - 1))).astype(np.int64)]
+
+
+def _sent(docs: DataFrame, units: Units, spec: Similarity, hot, firsts, width: int, buckets: int) -> DataFrame:
+    """(load, bucket, blob): the fingerprints of ``width`` bits of a load's keys, hot ones aside, as one bucket after another takes them."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = (np.arange(buckets + 1, dtype=object) * (1 << width) // buckets).astype(np.uint64)
+        for load in _loads(batches, units, spec, firsts.value):
+            prints = np.sort(_fingerprints(load.keys[~_hot(load.keys, hot.value)], width))
+            at = np.searchsorted(prints, edges)
+            some = np.flatnonzero(np.diff(at)).tolist()
+            blobs = [pack_sorted(prints[at[k] : at[k + 1]] - edges[k], int(edges[k + 1] - edges[k])) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array([load.name] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["load", "bucket", "blob"])
+
+    return docs.mapInArrow(run, "load long, bucket int, blob binary")
+
+
+def _count_prints(sent: DataFrame, buckets: int) -> DataFrame:
+    """(load, bucket, codes): for each fingerprint of a blob, compressed, the code of how often it occurs; 0: once."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "bucket"):
+            parts = [unpack_sorted(b) for b in group.column("blob").to_pylist()]
+            prints = np.concatenate(parts)
+            order = np.argsort(prints)
+            times = np.diff(_runs(prints[order]))
+            codes = np.zeros(len(prints), np.uint8)
+            codes[order] = np.repeat(rarity(times), times)
+            ends = np.cumsum([0, *(len(p) for p in parts)])
+            packed = [zlib.compress(codes[a:b].tobytes(), 1) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(group.column(c).to_pylist(), t) for c, t in (("load", pa.int64()), ("bucket", pa.int32()))] + [pa.array(packed, pa.binary())], ["load", "bucket", "codes"])
+
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "load long, bucket int, codes binary")
+
+
+def _write_codes(counted: DataFrame, folder: str, buckets: int) -> None:
+    """A file for each load in ``folder``: the compressed codes of its fingerprints in ascending order."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for group in whole_groups(batches, "load"):
+            # Loads of the same sets have the same name, and the same codes.
+            _, first = np.unique(group.column("bucket").to_numpy(), return_index=True)
+            codes = b"".join(zlib.decompress(b) for b in group.column("codes").take(pa.array(first)).to_pylist())
+            name = group.column("load")[0].as_py()
+            with fs.open_output_stream(scratch := f"{root}/part-{name}-{uuid.uuid4().hex}") as out:
+                out.write(zlib.compress(codes, 1))
+            fs.move(scratch, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64())], ["load"])
+
+    counted.repartition(buckets, "load").sortWithinPartitions("load", "bucket").mapInArrow(run, "load long").count()
+
+
+def _read_codes(fs: pafs.FileSystem, path: str, k: int) -> np.ndarray | None:
+    """The codes of a load's k fingerprints; None if the load was another one when they were counted, as rows may come in another order
+    when they are read again."""
+    try:
+        with fs.open_input_file(path) as file:
+            codes = np.frombuffer(zlib.decompress(file.read()), np.uint8)
+    except FileNotFoundError:
+        return None
+    return codes if len(codes) == k else None
+
+
+def _publish_blocks(docs: DataFrame, units: Units, spec: Similarity, hot, firsts, width: int, folder: str, buckets: int) -> DataFrame:
+    """(bucket, blob) as _keys gives it. A load whose codes aren't there can't rank its keys as others do: all go out, and any may be
+    the first."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for load in _loads(batches, units, spec, firsts.value):
+            filled = load.cells >> 1
+            warm = _hot(load.keys, hot.value)
+            cold = np.flatnonzero(~warm)
+            found = _read_codes(fs, f"{root}/{load.name}", len(cold)) if len(cold) else np.zeros(0, np.uint8)
+            code = np.full(len(warm), 255, np.uint64)
+            code[cold[np.argsort(_fingerprints(load.keys[cold], width))]] = 1 if found is None else found
+            owner = np.repeat(np.arange(len(filled)), filled)
+            # Blocks with equal codes are in the order of their places in the sketch.
+            ranked = np.sort((owner.astype(np.uint64) << _U(8) | code) << _U(32) | np.arange(len(owner), dtype=np.uint64))
+            order, code = (ranked & _U(0xFFFFFFFF)).astype(np.int64), ranked >> _U(32) & _U(0xFF)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(filled) - filled, filled)
+            out = (place < load.need[owner]) & (code > 0)
+            if found is None:
+                out[:], place[:] = True, 0
+            owner, keys, place, warm = owner[out], load.keys[order[out]], place[out], code[out] == 255
+            bucket = np.where(warm, -1, _bucket(keys, buckets).astype(np.int64))
+            order = np.argsort(bucket, kind="stable")
+            owner, keys, place, bucket = owner[order], keys[order], place[order], bucket[order]
+            cuts = _runs(bucket)
+            rows, blobs = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                rows.append(int(bucket[a]))
+                at = owner[a:b]
+                blobs.append(_join(load.sig[at], keys[a:b]) if rows[-1] < 0 else pack_keys(load.sig, load.n, load.cells, load.sketch, at, keys[a:b], place[a:b]))
+            if rows:
+                yield _rows(rows, blobs, "bucket")
+
+    return docs.mapInArrow(run, "bucket int, blob binary")
+
+
+def _parity_keys(docs: DataFrame, units: Units, spec: Similarity, known: DataFrame, table: np.ndarray, share: Callable, buckets: int) -> DataFrame:
+    """(bucket, blob): of each sketch the keys it must publish, with their places; see _publish_blocks. Where tasks can't open
+    files in the shared folder, keys travel to be counted, and back."""
+    spark = docs.sparkSession
+    hot = share(hot_cells(table))
+    try:
+        pafs.FileSystem.from_uri(shared_dir(spark))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return _keys(_count_keys(_blocks(docs, units, spec, hot, buckets), buckets), buckets)
+    firsts = share(_first_rows(known, buckets))
+    width = min(44, int(table.sum(dtype=np.int64)).bit_length() + SPARE_BITS)
+    folder = fresh_path(spark, "codes")
+    _write_codes(_count_prints(_sent(docs, units, spec, hot, firsts, width, buckets), buckets), folder, buckets)
+    return _publish_blocks(docs, units, spec, hot, firsts, width, folder, buckets)
+
+
 _SIGNS = np.where(np.arange(256)[:, None] >> np.arange(8)[None, :] & 1, -1, 1).astype(np.float32)
 
 
@@ -1023,12 +1245,11 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
     profiled = profile(docs, units, spec)
     table = hashtable.sum_slices(profiled.where("slice is not null"), spec.bits, buckets)
     known = profiled.where("slice is null").select("id", "tie", "sub", "n", "sig")
-    hot = hot_cells(table)
     if spec.parity:
-        keys = _keys(_count_keys(_blocks(docs, units, spec, share(hot), buckets), buckets), buckets)
+        keys = _parity_keys(docs, units, spec, known, table, share, buckets)
     else:
         codes = rarity(table)
-        codes[hot] = 255
+        codes[hot_cells(table)] = 255
         keys = _publish(docs, units, spec, share(codes), buckets)
     del table
     found = persist(_candidates(keys, spec, buckets), "candidates")

@@ -454,6 +454,41 @@ def test_published_keys_say_once_what_is_known_of_a_set():
     assert all(len(x) == 0 for x in setjoin.unpack_keys(setjoin.pack_keys(sig, n, cells, sketch, owner[:0], token[:0], place[:0])))
 
 
+def test_sorted_numbers_are_packed_whole():
+    rng = np.random.default_rng(9)
+    for k, span in ((0, 10), (1, 1), (1, 1 << 40), (5, 3), (1000, 10), (20000, 1 << 31)):
+        values = np.sort(rng.integers(0, span, size=k, dtype=np.uint64))
+        blob = setjoin.pack_sorted(values, span)
+        assert setjoin.unpack_sorted(blob).tolist() == values.tolist()
+    assert len(blob) < 2.5 * k
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_keys_are_counted_by_fingerprints(spark, tmp_path, counted):
+    # Each set sends its keys once, in few bytes; keys of no other set aren't published. A load without counts publishes all.
+    rng = random.Random(10)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(100)]
+    texts += [" ".join(w if rng.random() < 0.95 else "x" for w in texts[0].split()), texts[1]]
+    docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "id long, tie long, text string").repartition(3).localCheckpoint()
+    units = near_dup.shingle_units
+    known = setjoin.profile(docs, units, near_dup.NEAR).where("slice is null").select("id", "tie", "sub", "n", "sig")
+    firsts = spark.sparkContext.broadcast(setjoin._first_rows(known, 4))
+    cold = spark.sparkContext.broadcast(np.zeros(1 << near_dup.NEAR.bits, bool))
+    folder = f"file://{tmp_path}/codes"
+    sent = setjoin._sent(docs, units, near_dup.NEAR, cold, firsts, 24, 4)
+    blobs = [r.blob for r in sent.collect()]
+    keys = sum(len(setjoin.unpack_sorted(b)) for b in blobs)
+    assert keys > 101 * 200 and sum(map(len, blobs)) < 2.5 * keys
+    if counted:
+        setjoin._write_codes(setjoin._count_prints(sent, 4), folder, 4)
+    out = setjoin._publish_blocks(docs, units, near_dup.NEAR, cold, firsts, 24, folder, 4)
+    published = sum(len(setjoin.unpack_keys(r.blob)[0]) for r in out.collect())
+    assert published < keys / 10 if counted else published == keys
+    u, v = (next(r.sig for r in known.where(f"id = {k}").collect()) for k in (0, 100))
+    assert {u, v} in [{r.u, r.v} for r in setjoin._candidates(out, near_dup.NEAR, 4).collect()]
+
+
 def test_top_k_broadcasts_no_queries(spark):
     # Every lane has a copy of all queries: these must not go through the driver.
     rng = np.random.default_rng(9)
