@@ -20,6 +20,8 @@ from .shared import persist
 from .textvec import bigram_hashes, is_space, mix64, slices, utf8_parts, word_hashes
 
 _ID, _TIE, _SUBS, _HOW, _UID = (f"__line_dedup_{x}" for x in ("id", "tie", "subs", "how", "uid"))
+#: Bytes of text taken at once: what is made of them stays in the cache.
+SLICE = 1 << 18
 LINES = Similarity(num=80, den=100, bits=24, parity=False)
 
 
@@ -56,7 +58,7 @@ def line_units(batch: pa.RecordBatch) -> Iterator[tuple]:
     """Lines as hashed words; see setjoin.Units. Lines are numbered from 0 within their document."""
     ids, ties = (batch.column(batch.schema.names.index(c)) for c in ("id", "tie"))
     raw, offsets = utf8_parts(batch.column(batch.schema.names.index("text")))
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SLICE):
         at = offsets[a : b + 1] - offsets[a]
         part = raw[offsets[a] : offsets[b]]
         breaks = np.flatnonzero(part == 10) + 1
@@ -74,7 +76,7 @@ def line_units(batch: pa.RecordBatch) -> Iterator[tuple]:
 def matched_lines(docs: DataFrame, spec: Similarity = LINES) -> tuple[DataFrame, DataFrame]:
     """(id, tie, subs): per document, known by its id and the hash of its text, the numbers of the lines that have a match before
     them, ascending; and (id, tie) of documents that several rows hold."""
-    known, classes, links = similar_classes(docs, line_units, spec)
+    known, classes, links = similar_classes(docs, line_units, spec, several=True)
     late = links.groupBy("sig").agg(F.max("earlier").alias("earlier"))
     verdict = classes.where("n > 0").join(late, "sig", "left").where("weight > 1 or earlier").select("sig", "first_id", "first_tie", "first_sub", F.coalesce("earlier", F.lit(False)).alias("earlier"))
     gone = known.where("n > 0").join(verdict, "sig").where("earlier or not (id <=> first_id and tie = first_tie and sub = first_sub)")

@@ -795,18 +795,23 @@ def forest(blobs: list[bytes], spec: Similarity) -> tuple[np.ndarray, ...]:
     # With parity sketches the last is the number of filled blocks, doubled, and one if the band is the set's own.
     sig, n, token, place, sketch, *cells = (np.concatenate(x) for x in zip(*(unpack_keys(b) if spec.parity else _split(b, ["u8", "u4", "u4", "u4", "u8"]) for b in blobs)))
     sig, first, owner = np.unique(sig, return_index=True, return_inverse=True)
-    sketch = sketch.reshape(-1, 2)[first]
+    # Sets are numbered by size, so that one sort puts each list in order.
+    by_size = np.argsort(n[first], kind="stable")
+    turn = np.empty(len(sig), np.int64)
+    turn[by_size] = np.arange(len(sig))
+    sig, owner = sig[by_size], turn[owner]
+    sketch = sketch.reshape(-1, 2)[first[by_size]]
     cells = cells[0].astype(np.int64) if cells else np.zeros(len(token), np.int64)
     key, n, place = token.astype(np.uint64) << _U(32), n.astype(np.int64), place.astype(np.int64)
-    # A set that came from several map tasks counts once.
-    order = np.lexsort((owner, key))
-    key, owner, n, place, cells = key[order], owner[order], n[order], place[order], cells[order]
-    once = np.concatenate([np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-    key, owner, n, place, cells = key[once], owner[once], n[once], place[once], cells[once]
+    # A set that came from several map tasks counts once, with its least place.
+    named = key | owner.astype(np.uint64)
+    order = np.argsort(named, kind="stable" if spec.parity else None)
+    once = _runs(named[order])[:-1]
+    place = np.minimum.reduceat(place[order], once) if len(once) else place
+    order = order[once]
+    key, owner, n, cells = key[order], owner[order], n[order], cells[order]
     label = np.arange(len(sig))
     ranked = key | n.astype(np.uint64)
-    order = np.argsort(ranked)
-    ranked, owner, place, n, cells = ranked[order], owner[order], place[order], n[order], cells[order]
     low = np.searchsorted(ranked, (ranked & _U(0xFFFFFFFF00000000)) | spec.shortest(n).astype(np.uint64))
     reach = np.arange(len(ranked)) - low
     filled = cells >> 1
@@ -980,6 +985,13 @@ def _judged(dense: DataFrame, sketches: DataFrame, spec: Similarity, buckets: in
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
+def ranked_tokens(owner: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The order of tokens by set and code; those with equal codes stay in the order of their hashes."""
+    if not len(owner) or owner[-1] < 1 << 24:
+        return (np.sort((owner.astype(np.uint64) << _U(8) | code) << _U(32) | np.arange(len(owner), dtype=np.uint64)) & _U(0xFFFFFFFF)).astype(np.int64)
+    return np.argsort(owner << 8 | code, kind="stable")
+
+
 def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int) -> DataFrame:
     """(bucket, blob) as _keys gives it, with sketches, ranking tokens by the count table (code 255: hot). A token alone in
     its cell is alone in the corpus and isn't published. Of a hot token its pairs with the set's later tokens go out, as far as the
@@ -1013,8 +1025,7 @@ def _publish(docs: DataFrame, units: Units, spec: Similarity, rank, buckets: int
                 sig, n = sig[fresh], n[fresh]
                 owner = np.repeat(np.arange(len(n)), n)
                 code = codes[(hashes >> _U(64 - bits)).astype(np.int64)]
-                # Tokens of a set are in the order of their hashes, which a stable sort keeps among equal codes.
-                order = np.argsort(owner << 8 | code, kind="stable")
+                order = ranked_tokens(owner, code)
                 place = np.arange(len(owner)) - bounds[:-1][owner]
                 prefix = spec.prefix(n)[owner]
                 hot = (place < prefix) & (code[order] == 255)
@@ -1223,14 +1234,15 @@ def _links(placed: DataFrame, spec: Similarity, buckets: int) -> DataFrame:
     return placed.repartition(buckets, "task").sortWithinPartitions("task").mapInArrow(run, LINKS)
 
 
-def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, units: Units, spec: Similarity, several: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of equal sets and their links.
 
     ``docs`` has long columns ``id`` and ``tie`` and whatever ``units`` reads. Returns
     (units: id, tie, sub, n, sig), (classes: sig, weight, first_id, first_tie, first_sub, n, least_id, null being first but not
     least, keep: the first document, null last), and (links: sig, links, earlier, root): for every class with a link the number of units in other classes
     linked with it, whether one of those comes before it (by first_id, first_tie, first_sub), and edges (sig, root)
-    that connect linked classes. A class may have several rows of links, one per task it took part in.
+    that connect linked classes. A class may have several rows of links, one per task it took part in. several: of the classes only
+    those of several units or in a component of candidates are given, as they were written for the links, and without least_id and keep.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -1267,7 +1279,13 @@ def similar_classes(docs: DataFrame, units: Units, spec: Similarity) -> tuple[Da
         .agg(F.count("*").alias("weight"), F.min(F.struct("id", "tie", "sub")).alias("f"), F.first("n").alias("n"), F.min("id").alias("least_id"), F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "tie")).alias("keep"))
         .select("sig", "weight", F.col("f.id").alias("first_id"), F.col("f.tie").alias("first_tie"), F.col("f.sub").alias("first_sub"), "n", "least_id", "keep")
     )
-    members = persist(comps.join(classes, F.col("vertex") == F.col("sig")).select("root", "sig", "weight", "first_id", "first_tie", "first_sub", "n"), "members")
+    columns = ["root", "sig", "weight", "first_id", "first_tie", "first_sub", "n"]
+    if several:
+        classes = persist(classes.join(comps, F.col("vertex") == F.col("sig"), "left").where("root is not null or weight > 1").select(columns), "classes")
+        members = classes.where("root is not null")
+        classes = classes.drop("root")
+    else:
+        members = persist(comps.join(classes, F.col("vertex") == F.col("sig")).select(columns), "members")
     # A component that is too large for one task is cut by size band, and a band by hash. Partners' sizes differ by less than
     # a band, so a block meets the blocks of its own band and the two next to it.
     whole = members.groupBy("root").agg((F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS) <= 1).alias("small"))

@@ -7,6 +7,8 @@ Python string is made per word.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,6 +20,8 @@ _RADIX_INV = pow(_RADIX, -1, 1 << 64)
 _A, _B, _C = _U64(0xD6E8FEB86659FD93), _U64(0xA3AAAC6C61E0A3D1), _U64(0xC2B2AE3D27D4EB4F)
 
 _powers: dict[int, np.ndarray] = {}
+#: Bytes of text hashed at once.
+BLOCK = 1 << 15
 
 
 def is_space(raw: np.ndarray) -> np.ndarray:
@@ -25,14 +29,25 @@ def is_space(raw: np.ndarray) -> np.ndarray:
     return ((raw - np.uint8(9)) < 5) | (raw == 32)
 
 
-def _byte_codes(raw: np.ndarray, fold_case: bool) -> np.ndarray:
+@functools.lru_cache(maxsize=2)
+def _byte_codes(fold_case: bool) -> np.ndarray:
+    """What each of the 256 bytes counts in a word's hash."""
+    x = np.arange(256, dtype=np.uint64)
     if fold_case:
-        raw = raw + (((raw - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
-    x = raw.astype(np.uint64)
-    out = x * _A
-    out += _B
-    out *= x
-    out += _C
+        x[65:91] += _U64(32)
+    with np.errstate(over="ignore"):
+        return (x * _A + _B) * x + _C
+
+
+def _running(raw: np.ndarray, fold_case: bool) -> np.ndarray:
+    """Sums, before each byte and at the end, of codes times powers; by blocks that stay in the cache."""
+    out = np.zeros(len(raw) + 1, np.uint64)
+    codes, powers = _byte_codes(fold_case), _power_table(_RADIX, len(raw))
+    for a in range(0, len(raw), BLOCK):
+        part = codes[raw[a : a + BLOCK]]
+        part *= powers[a : a + BLOCK]
+        part[:1] += out[a : a + 1]
+        np.cumsum(part, out=out[a + 1 : a + 1 + len(part)])
     return out
 
 
@@ -97,24 +112,18 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold_case: bool = True, br
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
-    solid = ~is_space(raw)
+    solid = np.zeros(n + 2, bool)
+    np.logical_not(is_space(raw), out=solid[1:-1])
     if breaks is not None:
-        solid &= ~breaks[raw]
-    edge = np.zeros(n + 1, dtype=bool)
-    edge[offsets] = True
-    begin = solid.copy()
-    begin[1:] &= ~solid[:-1] | edge[1:n]
-    end = solid.copy()
-    end[:-1] &= ~solid[1:] | edge[1:n]
-    start = np.flatnonzero(begin)
-    stop = np.flatnonzero(end) + 1
+        solid[1:-1] &= ~breaks[raw]
+    turns = np.flatnonzero(solid[1:] != solid[:-1])
+    start, stop = np.ascontiguousarray(turns[::2]), np.ascontiguousarray(turns[1::2])
+    # Where a row ends within a word.
+    cut = np.unique(offsets[solid[offsets] & solid[offsets + 1]])
+    if len(cut):
+        start, stop = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([stop, cut]))
     with np.errstate(over="ignore"):
-        running = np.empty(n + 1, dtype=np.uint64)
-        running[0] = 0
-        codes = _byte_codes(raw, fold_case)
-        codes *= _power_table(_RADIX, n)
-        np.cumsum(codes, out=running[1:])
-        del codes
+        running = _running(raw, fold_case)
         hashes = mix64((running[stop] - running[start]) * _power_table(_RADIX_INV, n)[start])
     return hashes, start, np.searchsorted(start, offsets)
 

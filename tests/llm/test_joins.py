@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from maskwright.llm import byte_bpe, components, line_dedup, near_dup, packing, setjoin, topk
+from maskwright.llm import byte_bpe, components, line_dedup, near_dup, packing, setjoin, textvec, topk
 
 from . import cases
 
@@ -502,3 +502,31 @@ def test_top_k_broadcasts_no_queries(spark):
 def test_packed_rows():
     for data in (np.array([[-32767.0, 32767.0], [0.0, -1.0]]), np.array([[32768.0, 1.0]]), np.array([[-1e300, 5.0]]), np.zeros((0, 3))):
         assert np.array_equal(topk.unpack_rows(topk.pack_rows(data), len(data)) if len(data) else data, data)
+
+
+def test_line_classes_are_gathered_once(spark):
+    rows = [(k, t) for k, t in enumerate(["a b c d e\nx y", "a b c d e f\nx y", None, "", "x y\nq"])]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    # Least rows of classes are structs, which Spark gathers by sorting all lines; what is read back needs no more of it.
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in found.collect()) == [(0, rows[0][1], 0), (1, "", 2), (2, None, 0), (3, "", 0), (4, "q", 1)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_words_are_hashed_by_blocks(monkeypatch, size):
+    text = " Ab\tc é  abc\nab zz".encode() * 5
+    raw, offsets = np.frombuffer(text, np.uint8), np.array([0, 0, 2, 9, 40, 41, len(text)])
+    words = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for a, b in itertools.pairwise(offsets) for w in re.findall(rb"[^ \t-\r]+", text[a:b])]
+    monkeypatch.setattr(textvec, "BLOCK", size)
+    hashes, start, bounds = textvec.word_hashes(raw, offsets)
+    known = {w: textvec.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] for w in words}
+    assert len(set(known.values())) == len(known) and hashes.tolist() == [known[w] for w in words]
+    assert start.tolist() == [a + m.start() for a, b in itertools.pairwise(offsets) for m in re.finditer(rb"[^ \t-\r]+", text[a:b])]
+    assert np.diff(bounds).tolist() == [len(re.findall(rb"[^ \t-\r]+", text[a:b])) for a, b in itertools.pairwise(offsets)]
+
+
+def test_tokens_are_ranked_by_code_then_place():
+    rng = np.random.default_rng(5)
+    owner, code = np.sort(rng.integers(0, 50, 4000)), rng.integers(0, 9, 4000).astype(np.uint8)
+    for far in (0, 1 << 24):
+        assert setjoin.ranked_tokens(owner + far, code).tolist() == np.lexsort((code, owner)).tolist()
