@@ -90,6 +90,41 @@ def test_corpus_and_cache(spark, tmp_path):
     assert sorted((r.id, r.text) for r in numbered.collect()) == [(0, "b"), (1, "a")]
 
 
+def test_english_rows_of_several_partitions(spark):
+    """Texts fill several partitions, while their keys alone fit into one."""
+    text = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda x: F.md5(F.concat_ws(" ", F.col("d"), x))))
+    df = spark.range(900).select(((F.col("id") * 7) % 900).alias("d"), F.when(F.col("id") % 3 > 0, "en").otherwise("fr").alias("lang")).withColumn("text", text)
+    wanted = [(r.d, r.m) for r in df.where("lang = 'en'").select("d", F.md5("text").alias("m")).orderBy("d").collect()]
+    for order in (F.col("d"), F.format_string("k%05d", "d"), F.col("d") / 7):
+        numbered = corpus.english_rows(df.withColumn("k", order), "k").select("id", F.md5("text").alias("m")).collect()
+        assert sorted((r.id, r.m) for r in numbered) == [(k, m) for k, (_, m) in enumerate(wanted)]
+    assert corpus.english_rows(df.where("d < 0"), "d").collect() == []
+
+
+def test_ranges_are_even(spark):
+    df = spark.range(20000).select((F.col("id") + 5).alias("d")).coalesce(1)
+    rows = df.groupBy(corpus._range_of(df, "d").alias("p")).agg(F.count("*").alias("n"), F.min("d").alias("a"), F.max("d").alias("b")).orderBy("p").collect()
+    assert [r.p for r in rows] == list(range(len(rows))) and len(rows) in (4, 5) and max(r.n for r in rows[:-1]) < 10000
+    assert rows[0].a == 5 and rows[-1].b == 20004 and all(x.b < y.a for x, y in zip(rows, rows[1:]))
+
+
+def test_english_rows_equal_sql_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    from maskwright.plans.catalogue import ORACLES, english_nonblank_renumber
+
+    texts = ["", " ", "\u00a0", " \u3000\u2003", "\n", " \t ", "\u200b", "\ufeff", "a\nb", "\u00a0x\u00a0", " \n", "\U0001f600", None]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(-5, "first", "en"), (None, "last", "en"), (3, "other", "fr"), (4, "none", None), (2**62, "far", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        wanted = db.execute(ORACLES["english_nonblank_renumber"]).fetchall()
+    assert sorted(map(tuple, english_nonblank_renumber(spark, str(tmp_path)).collect())) == sorted(wanted)
+    # Rows of the same order, which SQL leaves open, go by their texts.
+    ties = spark.createDataFrame([(1, "en", t) for t in "cab"], "d int, lang string, text string").repartition(3)
+    assert sorted((r.id, r.text) for r in corpus.english_rows(ties, "d").collect()) == [(0, "a"), (1, "b"), (2, "c")]
+
+
 CONFIG = dict(
     vocab_size=40, hidden_size=16, intermediate_size=8, num_hidden_layers=2, num_attention_heads=4, num_key_value_heads=2, head_dim=8, num_local_experts=4,
     num_experts_per_tok=2, sliding_window=3, rms_norm_eps=1e-5, num_labels=5,
